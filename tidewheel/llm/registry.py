@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup
+from tidewheel.llm import exact_dedup, media, warc
 
 QUERIES = {
+    "op7_media_columns": media.op7_media_columns,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
