@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup, media, packing, token_files, warc
+from tidewheel.llm import exact_dedup, media, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_columns": media.op7_media_columns,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,

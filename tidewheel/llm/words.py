@@ -68,9 +68,10 @@ class Words:
         return np.diff(self.first)
 
 
-def find(data: np.ndarray, offsets: np.ndarray) -> Words:
+def find(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes outside ``space`` (a table of 256 flags); a run ends with its text."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -90,6 +91,16 @@ def find(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, end, text, h, first)
 
 
+def prefix_hashes(data: np.ndarray, words: Words, length: int) -> np.ndarray:
+    """Hash of the first ``length`` bytes of each word; 0 for shorter words."""
+    prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
+    long = words.end - words.start >= length
+    start = words.start[long]
+    out = np.zeros(len(words.hash), np.uint64)
+    out[long] = mix(range_hash(prefix, start, start + length, _BYTE_BASE) ^ (np.uint64(length) << np.uint64(48)))
+    return out
+
+
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words that begin a run of ``k`` words of one text, and the hashes of these runs."""
     n = len(words.hash)
