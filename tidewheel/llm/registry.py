@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup, media, packing, token_files, toxicity, warc
+from tidewheel.llm import exact_dedup, langid, media, packing, token_files, toxicity, warc
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_toxicity": toxicity.op6_toxicity,
