@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup, langid, media, minhash, packing, token_files, toxicity, warc
+from tidewheel.llm import exact_dedup, langid, media, minhash, packing, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_minhash_dedup": minhash.OP1_SQL,
+    "op2_substring_dedup": substrings.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes at once; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,43 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     This cuts the lineage: what follows survives the loss of any executor
-    without computing ``df`` again.
+    without computing ``df`` again. The shuffle files behind it are of no more
+    use then and are removed as soon as the write has ended.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def maybe_among(keys: DataFrame, key: str, bits: int = 1 << 26) -> Callable[[Column], Column] | None:
+    """A filter that keeps every value of ``keys.key`` and few others, or None if it would keep most.
+
+    It is a bitmap of hashes of ``bits`` bits at most (8 MB), so what is sent
+    to the executors doesn't grow beyond that. It only saves work: rows that it
+    lets through by chance must not do harm.
+    """
+    spark = keys.sparkSession
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # bitmap functions count from 1
+    parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map")).collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for bucket, chunk in parts:
+        at = (bucket - 1) * len(chunk)
+        table[at : at + len(chunk)] = np.frombuffer(chunk, np.uint8)
+    if np.unpackbits(table).mean() > 0.5:
+        return None
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    return lambda column: among(F.pmod(F.xxhash64(column), F.lit(bits)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
