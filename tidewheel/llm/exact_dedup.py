@@ -97,6 +97,16 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", capaci
     return rows.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
+def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = BUCKET_ENTRIES) -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Where all keys of a group of equal texts are null, all its rows stay.
+    """
+    index = build_index(docs, text, key, capacity).select(F.col("text_sha256").alias("_entry"), F.col("keep_id").alias("_keep"))
+    digest = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
+    return docs.join(index, docs[key].eqNullSafe(index["_keep"]) & (digest == index["_entry"]), "left_semi")
+
+
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 

@@ -285,6 +285,17 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
     return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of :func:`near_duplicates`, with all columns: that of the smallest key.
+
+    Rows that repeat a kept key stay; where all keys of a class are null, all
+    its rows stay.
+    """
+    classes = near_duplicates(docs, text, key, threshold)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

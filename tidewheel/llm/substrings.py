@@ -73,15 +73,15 @@ def _kept(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [b" ".join(raw[a:b].split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def profiles(docs: DataFrame, keep: list[str], window: int = WINDOW, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
-    """row (unique number), the columns ``keep``, n_words, t1 and t2 (identity), anchors, and kept_text or its digest.
+def profiles(docs: DataFrame, keep: list[str], window: int = WINDOW, anchor: int = ANCHOR, texts: str = "all") -> DataFrame:
+    """row (unique number), doc_id, the columns ``keep`` as a struct, n_words, t1 and t2 (identity), anchors, and kept_text or its digest.
 
     An anchor that repeats within the text is listed twice.
     """
 
     def run(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
-        for part in slices(batches):
+        for part in slices(batches, "_text"):
             data, offsets = text_buffers(col(part, "_text"))
             w = find(data, offsets)
             _, _, chosen, hashes = windows(w, window, anchor)
@@ -97,14 +97,13 @@ def profiles(docs: DataFrame, keep: list[str], window: int = WINDOW, anchor: int
             n = part.num_rows
             begin = np.searchsorted(of, np.arange(n + 1), "left")
             anchors = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h))
-            kept = pa.array(_kept(data, offsets), pa.binary())
-            yield pa.record_batch([pa.array(task + number + np.arange(n)), *(col(part, c) for c in keep), pa.array(w.counts()), pa.array(t1), pa.array(t2), anchors, kept.cast(pa.string())], names=["_row", *keep, "n_words", "_t1", "_t2", "_anchors", "kept_text"])
+            kept = pa.array(_kept(data, offsets) if texts != "changed" else [None] * n, pa.binary())
+            yield pa.record_batch([pa.array(task + number + np.arange(n)), col(part, "_doc"), col(part, "_keep"), pa.array(w.counts()), pa.array(t1), pa.array(t2), anchors, kept.cast(pa.string())], names=["_row", "doc_id", "_keep", "n_words", "_t1", "_t2", "_anchors", "kept_text"])
             number += n
 
-    own = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema)
-    out = own.mapInArrow(run, f"_row long, {kinds}, n_words long, _t1 long, _t2 long, _anchors array<long>, kept_text string")
-    return out if texts else out.withColumn("kept_text", F.sha2("kept_text", 256))
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*keep).alias("_keep"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    out = own.mapInArrow(run, f"_row long, doc_id long, _keep {own.schema['_keep'].dataType.simpleString()}, n_words long, _t1 long, _t2 long, _anchors array<long>, kept_text string")
+    return out.withColumn("kept_text", F.sha2("kept_text", 256)) if texts == "digest" else out
 
 
 def _member(of: np.ndarray, values: np.ndarray, table_of: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -183,22 +182,22 @@ def _cut(candidates: DataFrame, window: int) -> DataFrame:
     return candidates.mapInArrow(run, "row long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, texts: str = "all", prefix: str = "") -> DataFrame:
     """Remove from each text the words covered by ``window`` words that also start earlier.
 
     Earlier is a smaller doc_id, or the same row and an earlier word. All
     windows are judged on the input. Returns the columns ``keep`` (doc_id if
-    not given; names must not clash with the new ones) with n_words, n_removed,
+    not given) with the new columns, whose names begin with ``prefix``: n_words, n_removed,
     spans (word numbers of removed stretches) and kept_text, the kept words
-    joined by one space; with ``texts`` false that column holds its SHA-256.
+    joined by one space. ``texts`` may also be ``digest`` (the column holds its
+    SHA-256) or ``changed`` (it is null where nothing was removed).
 
     Null texts have no words. A null doc_id is later than all others. Rows that
     repeat a doc_id do not count as earlier than one another. Other columns of
     ``docs`` are ignored. An empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
-    shown = keep if "doc_id" in keep else [*keep, "doc_id"]
-    profile = stored(profiles(docs, shown, window, anchor, texts), "substring-profiles")
+    profile = stored(profiles(docs, keep, window, anchor, texts), "substring-profiles")
     # texts that equal an earlier one go as a whole
     sequence = profile.groupBy("_t1", "_t2", "n_words").agg(F.min("doc_id").alias("_least"))
     later = F.coalesce(F.col("_least") < F.col("doc_id"), F.col("_least").isNotNull() & F.col("doc_id").isNull()) & (F.col("n_words") >= window)
@@ -209,7 +208,7 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int
     repeated = stored(twice.groupBy("a").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x != y").select("a"), "substring-anchors")
     lists = anchors.join(repeated, "a").groupBy("_row").agg(F.collect_set("a").alias("repeated"))
     chosen = stored(lists.withColumnRenamed("_row", "row").join(rows.where("NOT copy"), "row").select("row", F.col("doc_id").alias("own_id"), "_t1", "_t2", "repeated"), "substring-chosen")
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     among = maybe_among(chosen, "own_id")
     if among is not None:
         own = own.where(among(F.col("doc_id")))
@@ -220,19 +219,19 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int
     nodes = stored(leaves.groupBy("path", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1 AND least IS NOT NULL").drop("c"), "substring-nodes")
     earlier = leaves.join(nodes, ["path", "check"]).where("doc_id IS NULL OR least < doc_id").groupBy("row").agg(F.collect_list("path").alias("earlier"))
     results = _cut(candidates.select("row", "text").join(earlier, "row", "left"), window)
-    if not texts:
+    if texts == "digest":
         results = results.withColumn("kept_text", F.sha2("kept_text", 256))
     results = stored(results.where("n_removed > 0"), "substring-results").withColumnsRenamed({"n_removed": "_n", "kept_text": "_kept", "row": "_row"})
     all_rows = profile.drop("_t1", "_t2", "_anchors").join(rows.select(F.col("row").alias("_row"), F.col("copy").alias("_copy")), "_row").join(results, "_row", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    empty = F.lit("") if texts else F.sha2(F.lit(""), 256)
+    empty = F.sha2(F.lit(""), 256) if texts == "digest" else F.lit("")
     return all_rows.select(
-        *keep,
-        "n_words",
-        F.when(F.col("_copy"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0))).alias("n_removed"),
-        F.when(F.col("_copy"), whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(F.col("_copy"), empty).otherwise(F.coalesce("_kept", "kept_text")).alias("kept_text"),
+        "_keep.*",
+        F.col("n_words").alias(f"{prefix}n_words"),
+        F.when(F.col("_copy"), F.col("n_words")).otherwise(F.coalesce("_n", F.lit(0))).alias(f"{prefix}n_removed"),
+        F.when(F.col("_copy"), whole).otherwise(F.coalesce("spans", none)).alias(f"{prefix}spans"),
+        F.when(F.col("_copy"), empty).otherwise(F.coalesce("_kept", "kept_text")).alias(f"{prefix}kept_text"),
     )
 
 
@@ -250,7 +249,7 @@ def _matching(found: DataFrame) -> DataFrame:
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = substring_dedup(documents(spark, sf_dir), texts=False)
+    out = substring_dedup(documents(spark, sf_dir), texts="digest")
     return out.select("doc_id", "n_words", "n_removed", F.col("kept_text").alias("kept_sha256"))
 
 
