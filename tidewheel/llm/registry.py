@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup, langid, media, minhash, packing, substrings, token_files, toxicity, warc
+from tidewheel.llm import exact_dedup, langid, media, minhash, packing, pieces, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_columns": media.op7_media_columns,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,
 }
