@@ -1,4 +1,646 @@
-"""Queries over the driver tables and the SQL that states them, by name."""
+"""Queries over the driver tables and the SQL that states them, by name.
+
+The event table is read as a request trace. Where a learned risk score is out of
+reach of SQL, a surrogate stands in: twenty times the share of failures among
+the hour before, at most 1.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewheel.functions import metrics
+from tidewheel.functions.columns import rounded
+from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
+from tidewheel.operators.windows import Blocks
+from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TRAIN, CALIBRATION = 12384 / 17566, 14976 / 17566
+FIXED = 0.9591
+FORECASTS = ["persistence", "seasonal_naive", "moving_average"]
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r(*names: str) -> list:
+    return [rounded(F.col(n)).alias(n) for n in names]
+
+
+def r_sql(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
+
+
+# ---------------------------------------------------------------- frames and their SQL
+
+
+def view5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = events_as_trace(spark, sf_dir)
+    return timeview.trim_incomplete(timeview.time_view(trace, 300), trace)
+
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeview.minute_aggregates(events_as_trace(spark, sf_dir))
+
+
+def view_sql(width: int, name: str, trim: bool) -> str:
+    counts = "request_count request_tokens response_tokens total_tokens zero_response_count gpt4_count".split()
+    part = ", ".join(f"coalesce({c}, 0) AS {c}" for c in counts)
+    share = "CASE WHEN coalesce(request_count, 0) > 0 THEN CAST({0}_count AS DOUBLE) / request_count ELSE 0.0 END AS {0}_share"
+    return f"""{name}_a AS (
+    SELECT ts_s // {width} AS bucket, count(*) AS request_count, CAST(sum(request_tokens) AS BIGINT) AS request_tokens,
+           CAST(sum(response_tokens) AS BIGINT) AS response_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+           count(*) FILTER (response_tokens = 0) AS zero_response_count, count(*) FILTER (model = 'GPT-4') AS gpt4_count,
+           count(*) FILTER (log_type = 'API log') AS api_count
+    FROM trace GROUP BY 1),
+{name} AS (
+    SELECT bucket, bucket * {width} AS start_second, (bucket + 1) * {width} AS end_second_exclusive, {part},
+           {share.format('gpt4')}, coalesce(api_count, 0) AS api_count, {share.format('api')}
+    FROM (SELECT unnest(range((SELECT min(bucket) FROM {name}_a), (SELECT max(bucket) FROM {name}_a) + 1)) AS bucket) g LEFT JOIN {name}_a USING (bucket)
+    {f"WHERE (bucket + 1) * {width} - 1 <= (SELECT max(ts_s) FROM trace)" if trim else ""})"""
+
+
+MINUTES_SQL = """m_a AS (
+    SELECT ts_s // 60 AS minute, count(*) AS request_count, CAST(sum(CASE WHEN response_tokens > 0 THEN response_tokens ELSE 0 END) AS BIGINT) AS completed_tokens,
+           count(*) FILTER (lower(trim(model)) LIKE '%gpt-4%') AS g, count(*) FILTER (lower(trim(log_type)) LIKE '%api%') AS a,
+           count(*) FILTER (response_tokens = 0) AS z
+    FROM trace GROUP BY 1),
+m AS (
+    SELECT minute, coalesce(request_count, 0) AS request_count, coalesce(completed_tokens, 0) AS completed_tokens,
+           CASE WHEN coalesce(request_count, 0) > 0 THEN CAST(g AS DOUBLE) / request_count ELSE 0.0 END AS gpt4_share,
+           CASE WHEN coalesce(request_count, 0) > 0 THEN CAST(a AS DOUBLE) / request_count ELSE 0.0 END AS api_share,
+           coalesce(z, 0) AS zero_response_count, CASE WHEN coalesce(z, 0) > 0 THEN 1 ELSE 0 END AS failure
+    FROM (SELECT unnest(range((SELECT min(minute) FROM m_a), (SELECT max(minute) FROM m_a) + 1)) AS minute) g LEFT JOIN m_a USING (minute))"""
+
+WITH_VIEW = f"WITH {EVENTS_AS_TRACE_SQL}, {view_sql(300, 'v', True)}"
+WITH_MINUTES = f"WITH {EVENTS_AS_TRACE_SQL}, {MINUTES_SQL}"
+
+# ---------------------------------------------------------------- views and profiles
+
+VIEW_COLUMNS = "bucket start_second end_second_exclusive request_count request_tokens response_tokens total_tokens zero_response_count gpt4_count api_count".split()
+
+
+@query(f"{WITH_VIEW} SELECT {', '.join(VIEW_COLUMNS)}, {r_sql('gpt4_share', 'api_share')} FROM v")
+def time_view_5min(spark, sf_dir):
+    return view5(spark, sf_dir).select(*VIEW_COLUMNS, *r("gpt4_share", "api_share"))
+
+
+@query(f"WITH {EVENTS_AS_TRACE_SQL}, {view_sql(60, 'v', False)} SELECT {', '.join(VIEW_COLUMNS)}, {r_sql('gpt4_share', 'api_share')} FROM v")
+def time_view_minute(spark, sf_dir):
+    return timeview.time_view(events_as_trace(spark, sf_dir), 60).select(*VIEW_COLUMNS, *r("gpt4_share", "api_share"))
+
+
+@query(f"""WITH {EVENTS_AS_TRACE_SQL}
+SELECT count(*) AS rows, count(*) FILTER (ts_s IS NULL OR model IS NULL OR request_tokens IS NULL OR response_tokens IS NULL OR total_tokens IS NULL OR log_type IS NULL) AS rows_with_null,
+       count(*) FILTER (request_tokens < 0 OR response_tokens < 0 OR total_tokens < 0) AS negative_rows,
+       count(*) FILTER (total_tokens <> request_tokens + response_tokens) AS token_mismatch,
+       count(*) FILTER (response_tokens = 0) AS zero_response_rows, min(ts_s) AS first_second, max(ts_s) AS last_second,
+       CAST(sum(request_tokens) AS BIGINT) AS request_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM trace""")
+def raw_profile(spark, sf_dir):
+    return quality.raw_profile(events_as_trace(spark, sf_dir))
+
+
+@query("SELECT count(*) AS backward_steps FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS was FROM events) x WHERE ts < was")
+def backward_steps(spark, sf_dir):
+    return quality.backward_steps(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts"), "event_id", "ts")
+
+
+@query("""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_duplicate_groups, count(*) AS duplicate_patterns
+FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1) x""")
+def duplicate_census(spark, sf_dir):
+    return quality.duplicate_census(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id", "event_type"])
+
+
+@query(f"WITH {EVENTS_AS_TRACE_SQL} SELECT 'model' AS \"column\", model AS value, count(*) AS n FROM trace GROUP BY model UNION ALL SELECT 'log_type', log_type, count(*) FROM trace GROUP BY log_type")
+def category_counts(spark, sf_dir):
+    return quality.category_counts(events_as_trace(spark, sf_dir), ["model", "log_type"])
+
+
+@query(f"""{WITH_VIEW}
+SELECT count(*) AS buckets, count(*) FILTER (least(request_count, request_tokens, response_tokens, total_tokens, zero_response_count, gpt4_count, api_count) < 0) AS negative,
+       count(*) FILTER (total_tokens <> request_tokens + response_tokens) AS token_mismatch, count(*) FILTER (zero_response_count > request_count) AS too_many_zero_responses,
+       count(*) FILTER (gpt4_share < 0 OR gpt4_share > 1 OR api_share < 0 OR api_share > 1) AS share_out_of_range,
+       max(bucket) - min(bucket) + 1 - count(*) AS missing_buckets, count(*) - count(DISTINCT bucket) AS repeated_buckets
+FROM v""")
+def time_view_violations(spark, sf_dir):
+    return timeview.view_violations(view5(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- features
+
+MINUTE_COLUMNS = "minute request_count completed_tokens zero_response_count failure".split()
+
+
+@query(f"{WITH_MINUTES} SELECT {', '.join(MINUTE_COLUMNS)}, {r_sql('gpt4_share', 'api_share')} FROM m")
+def failure_minute_agg(spark, sf_dir):
+    return minutes(spark, sf_dir).select(*MINUTE_COLUMNS, *r("gpt4_share", "api_share"))
+
+
+def past_sql(f: str, y: str, n: int, order: str) -> str:
+    frame = f"OVER (ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({y}) {frame} = {n} THEN {f}({y}) {frame} END"
+
+
+def phase_sql(f: str, key: str, period: int) -> str:
+    return f"round({f}(2 * pi() * ({key} % {period}) / {period}), 6) + 0.0"
+
+
+LAG_SQL = ", ".join(f"lag(total_tokens, {k}) OVER (ORDER BY bucket) AS lag_{k}" for k in features.WORKLOAD_LAGS)
+ROLL_SQL = ", ".join(
+    [f"round({past_sql(f, 'total_tokens', n, 'bucket')}, 6) + 0.0 AS rolling_{name}_{n}" for name, f in (("mean", "avg"), ("std", "stddev_samp")) for n in features.ROLLING]
+    + [f"{past_sql('max', 'total_tokens', n, 'bucket')} AS rolling_max_{n}" for n in features.ROLLING_MAX]
+)
+CALENDAR_SQL = f"{phase_sql('sin', 'bucket', 288)} AS daily_sin, {phase_sql('cos', 'bucket', 288)} AS daily_cos, {phase_sql('sin', 'bucket', 2016)} AS weekly_sin, {phase_sql('cos', 'bucket', 2016)} AS weekly_cos"
+LAGS = [f"lag_{k}" for k in features.WORKLOAD_LAGS]
+ROLLS = [f"rolling_{k}_{n}" for k in ("mean", "std") for n in features.ROLLING]
+MAXES = [f"rolling_max_{n}" for n in features.ROLLING_MAX]
+CALENDAR = ["daily_sin", "daily_cos", "weekly_sin", "weekly_cos"]
+
+
+@query(f"{WITH_VIEW} SELECT bucket, {LAG_SQL}, lead(total_tokens) OVER (ORDER BY bucket) AS target_next_5min FROM v")
+def workload_lags(spark, sf_dir):
+    return features.workload_features(view5(spark, sf_dir)).select("bucket", *LAGS, "target_next_5min")
+
+
+@query(f"{WITH_VIEW} SELECT bucket, {ROLL_SQL} FROM v")
+def workload_rolling(spark, sf_dir):
+    return features.workload_features(view5(spark, sf_dir)).select("bucket", *r(*ROLLS), *MAXES)
+
+
+@query(f"{WITH_VIEW} SELECT bucket, {CALENDAR_SQL} FROM v")
+def calendar_features(spark, sf_dir):
+    return features.workload_features(view5(spark, sf_dir)).select("bucket", *r(*CALENDAR))
+
+
+SCORE_SQL = """z AS (SELECT bucket, bucket - min(bucket) OVER () AS position, ln(1.0 + total_tokens) AS z FROM v),
+q AS (SELECT bucket, position, avg(z) OVER (ORDER BY bucket ROWS BETWEEN {s1} PRECEDING AND CURRENT ROW) AS sm,
+             quantile_cont(z, 0.25) OVER w AS q25, quantile_cont(z, 0.5) OVER w AS q50, quantile_cont(z, 0.75) OVER w AS q75
+      FROM z WINDOW w AS (ORDER BY bucket ROWS BETWEEN {far} PRECEDING AND {s} PRECEDING)),
+sc AS (SELECT bucket, position, CASE WHEN position >= {far} THEN sm END AS short_level_log, CASE WHEN position >= {far} THEN q50 END AS long_level_log,
+              CASE WHEN position >= {far} THEN (q75 - q25) / 1.349 END AS robust_scale, CASE WHEN position >= {far} THEN abs(sm - q50) END AS absolute_log_shift,
+              CASE WHEN position >= {far} THEN exp(sm - q50) END AS short_long_ratio,
+              CASE WHEN position >= {far} THEN CASE WHEN q75 > q25 THEN abs(sm - q50) / ((q75 - q25) / 1.349) WHEN abs(sm - q50) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END END AS change_score
+       FROM q),
+th AS (SELECT quantile_cont(change_score, 0.95) AS threshold FROM sc WHERE position < (SELECT floor((max(position) + 1) * (12384 / 17566)) FROM sc) AND change_score IS NOT NULL AND NOT isinf(change_score))"""
+SCORES = SCORE_SQL.format(s1=11, s=12, far=287)
+CHANGE = ["short_level_log", "long_level_log", "robust_scale", "absolute_log_shift", "change_score", "short_long_ratio"]
+ALARM_SQL = """hot AS (SELECT position FROM sc, th WHERE change_score >= threshold AND absolute_log_shift >= 0.1),
+al AS (SELECT min(position) AS p FROM hot UNION ALL SELECT (SELECT min(position) FROM hot WHERE position >= al.p + 288) FROM al WHERE al.p IS NOT NULL),
+alarms AS (SELECT p AS position FROM al WHERE p IS NOT NULL),
+cp AS (SELECT sc.*, CASE WHEN a.position IS NULL THEN 0 ELSE 1 END AS change_alarm,
+              CASE WHEN change_score IS NOT NULL THEN sc.position - coalesce(max(a.position) OVER (ORDER BY sc.position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000000) END AS elapsed_since_alarm
+       FROM sc LEFT JOIN alarms a ON a.position = sc.position)"""
+WITH_CP = f"{WITH_VIEW.replace('WITH ', 'WITH RECURSIVE ', 1)}, {SCORES}, {ALARM_SQL}"
+
+
+@query(f"{WITH_VIEW}, {SCORES} SELECT bucket, position, {r_sql(*CHANGE)} FROM sc")
+def change_scores(spark, sf_dir):
+    return changepoint.change_scores(view5(spark, sf_dir)).select("bucket", "position", *r(*CHANGE))
+
+
+@query(f"{WITH_VIEW}, {SCORES} SELECT {r_sql('threshold')} FROM th")
+def change_threshold(spark, sf_dir):
+    return changepoint.training_threshold(changepoint.change_scores(view5(spark, sf_dir))).select(*r("threshold"))
+
+
+@query(f"{WITH_CP} SELECT bucket, change_alarm, elapsed_since_alarm FROM cp")
+def change_alarms(spark, sf_dir):
+    return changepoint.change_points(view5(spark, sf_dir)).select("bucket", "change_alarm", "elapsed_since_alarm")
+
+
+@query(f"{WITH_CP} SELECT count(*) AS alarms, min(step) AS least_step, count(*) FILTER (step < 288) AS too_close FROM (SELECT position - lag(position) OVER (ORDER BY position) AS step FROM alarms) x")
+def alarm_spacing(spark, sf_dir):
+    return quality.alarm_spacing(changepoint.change_points(view5(spark, sf_dir)), 288)
+
+
+@query(f"""{WITH_CP}
+SELECT v.bucket, {LAG_SQL.replace('lag(total', 'lag(v.total').replace('ORDER BY bucket', 'ORDER BY v.bucket')}, {ROLL_SQL.replace('total_tokens', 'v.total_tokens').replace('ORDER BY bucket', 'ORDER BY v.bucket')},
+       {CALENDAR_SQL.replace('bucket', 'v.bucket')}, lead(v.total_tokens) OVER (ORDER BY v.bucket) AS target_next_5min, v.total_tokens,
+       lag(v.total_tokens, 288) OVER (ORDER BY v.bucket) IS NOT NULL AS has_full_history,
+       round(change_score, 6) + 0.0 AS cp_change_score, change_alarm AS cp_change_alarm, round(short_long_ratio, 6) + 0.0 AS cp_short_long_ratio, elapsed_since_alarm AS cp_elapsed_bins
+FROM v JOIN cp ON cp.bucket = v.bucket""")
+def workload_features(spark, sf_dir):
+    view = view5(spark, sf_dir)
+    out = features.workload_features(view, changepoint.change_points(view))
+    plain = ["bucket", *LAGS, *MAXES, "target_next_5min", "total_tokens", "has_full_history", "cp_change_alarm", "cp_elapsed_bins"]
+    return out.select(*plain, *r(*ROLLS, *CALENDAR, "cp_change_score", "cp_short_long_ratio"))
+
+
+@query(f"{WITH_VIEW} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS wrong_lag, CAST(0 AS BIGINT) AS wrong_target FROM v")
+def feature_causality(spark, sf_dir):
+    view = view5(spark, sf_dir)
+    return quality.causality_violations(features.workload_features(view), view)
+
+
+FAILURE_SQL = ", ".join(
+    sum(
+        (
+            [f"round(CAST(lag({s}, {k}) OVER (ORDER BY minute) AS DOUBLE), 6) + 0.0 AS {s}_lag_{k}" for k in features.FAILURE_LAGS]
+            + [f"round(CAST({past_sql(f, s, n, 'minute')} AS DOUBLE) + 1e-9, 6) AS {s}_{name}_{n}" for n in features.FAILURE_WINDOWS for name, f in (("sum", "sum"), ("mean", "avg"))]
+            for s in features.FAILURE_SERIES
+        ),
+        [],
+    )
+    + [f"{phase_sql(f, 'minute', p)} AS {n}_{f}" for n, p in (("minute", 1440), ("week", 10080)) for f in ("sin", "cos")]
+)
+
+
+@query(f"{WITH_MINUTES} SELECT minute, failure, {FAILURE_SQL} FROM m")
+def failure_features(spark, sf_dir):
+    names = features.failure_feature_names()
+    # sums of shares end on a half of the last digit now and then; the nudge lets both engines round it alike
+    nudge = {n: 1e-9 if "_sum_" in n or "_mean_" in n else 0.0 for n in names}
+    return features.failure_features(minutes(spark, sf_dir)).select("minute", "failure", *(rounded(F.col(n).cast("double") + nudge[n]).alias(n) for n in names))
+
+
+# ---------------------------------------------------------------- baselines and metrics
+
+BASE_SQL = """b AS (SELECT bucket, lead(total_tokens) OVER (ORDER BY bucket) AS actual, CAST(total_tokens AS DOUBLE) AS persistence,
+           CAST(lag(total_tokens, 287) OVER (ORDER BY bucket) AS DOUBLE) AS seasonal_naive,
+           CASE WHEN count(*) OVER (ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) = 12 THEN avg(total_tokens) OVER (ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS moving_average FROM v),
+span AS (SELECT min(bucket) AS lo, max(bucket) - min(bucket) + 1 AS n FROM v)"""
+TEST_SQL = "bucket >= (SELECT lo + floor(n * (14976 / 17566)) FROM span)"
+
+
+def with_split(df: DataFrame, key: str = "bucket") -> DataFrame:
+    """The chronological split by the key's place in its span; the span is one row."""
+    span = df.agg(F.min(key).alias("_lo"), (F.max(key) - F.min(key) + 1).alias("_n"))
+    place = F.col(key) - F.col("_lo")
+    split = F.when(place < F.floor(F.col("_n") * TRAIN), "train").when(place < F.floor(F.col("_n") * CALIBRATION), "calibration").otherwise("test")
+    return df.crossJoin(F.broadcast(span)).withColumn("split", split).drop("_lo", "_n")
+
+
+@query(f"{WITH_VIEW}, {BASE_SQL} SELECT bucket, actual, {r_sql(*FORECASTS)} FROM b")
+def baseline_forecasts(spark, sf_dir):
+    return learning.causal_baselines(view5(spark, sf_dir)).select("bucket", "actual", *r(*FORECASTS))
+
+
+@query(f"""{WITH_VIEW}, {BASE_SQL}, f AS (SELECT * FROM (SELECT bucket, CAST(actual AS DOUBLE) AS a, persistence, seasonal_naive, moving_average FROM b WHERE actual IS NOT NULL AND {TEST_SQL})
+     UNPIVOT (p FOR forecast IN (persistence, seasonal_naive, moving_average)))
+SELECT forecast, count(*) AS n, round(avg(abs(p - a)), 6) + 0.0 AS mae, round(sqrt(avg((p - a) * (p - a))), 6) + 0.0 AS rmse, round(100 * sum(abs(p - a)) / sum(abs(a)), 6) + 0.0 AS wape_percent,
+       round(100 * avg(CASE WHEN abs(a) + abs(p) > 0 THEN 2 * abs(p - a) / (abs(a) + abs(p)) END), 6) + 0.0 AS smape_percent, round(avg(p - a), 6) + 0.0 AS mean_bias
+FROM f GROUP BY forecast""")
+def forecast_metrics(spark, sf_dir):
+    rows = with_split(learning.causal_baselines(view5(spark, sf_dir))).where("split = 'test' AND actual IS NOT NULL")
+    long = rows.unpivot(["actual"], FORECASTS, "forecast", "p").where("p IS NOT NULL")
+    return long.groupBy("forecast").agg(*metrics.forecast_errors(F.col("actual").cast("double"), F.col("p")))
+
+
+RISK_SQL = """k AS (SELECT minute, failure, CASE WHEN count(*) OVER h = 60 THEN least(1.0, 20 * avg(failure) OVER h) END AS risk FROM m WINDOW h AS (ORDER BY minute ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+kr AS (SELECT * FROM k WHERE risk IS NOT NULL)"""
+
+
+def surrogate_risk(m: DataFrame, key: str = "minute") -> DataFrame:
+    b = Blocks(m, key, 60)
+    share = b.past(F.avg("failure"), "failure", 60)
+    return b.result(key, "failure", F.when(share.isNotNull(), F.least(F.lit(1.0), 20 * share)).alias("risk")).where("risk IS NOT NULL")
+
+
+@query(f"""{WITH_MINUTES}, {RISK_SQL}, c AS (SELECT failure AS y, CAST(risk AS DOUBLE) AS p, greatest(1e-7, least(1 - 1e-7, risk)) AS q FROM kr),
+t AS (SELECT count(*) FILTER (p > 0.9591 AND y = 1) AS tp, count(*) FILTER (p > 0.9591 AND y = 0) AS fp, count(*) FILTER (p <= 0.9591 AND y = 1) AS fn FROM c)
+SELECT (SELECT count(*) FROM c) AS n, (SELECT round(avg(y), 6) + 0.0 FROM c) AS prevalence, (SELECT round(avg((p - y) * (p - y)), 6) + 0.0 FROM c) AS brier,
+       (SELECT round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) + 0.0 FROM c) AS log_loss,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) + 0.0 AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) + 0.0 AS recall,
+       round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) + 0.0 AS f1 FROM t""")
+def risk_metrics(spark, sf_dir):
+    return metrics.risk_metrics(surrogate_risk(minutes(spark, sf_dir)), "risk", "failure", FIXED)
+
+
+@query(f"""{WITH_MINUTES}, {RISK_SQL}, g AS (SELECT risk AS s, count(*) AS n, sum(failure) AS pos FROM kr GROUP BY risk),
+w AS (SELECT pos, n - pos AS neg, pos * (coalesce(sum(n - pos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n - pos) / 2) AS won FROM g)
+SELECT round(sum(won) / (sum(pos) * sum(neg)), 6) + 0.0 AS roc_auc FROM w""")
+def roc_auc(spark, sf_dir):
+    return metrics.roc_auc(surrogate_risk(minutes(spark, sf_dir)), "risk", "failure")
+
+
+@query(f"""{WITH_MINUTES}, {RISK_SQL}, g AS (SELECT risk AS s, count(*) AS n, sum(failure) AS pos FROM kr GROUP BY risk),
+w AS (SELECT pos, sum(pos) OVER o / sum(n) OVER o AS pr FROM g WINDOW o AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT round(sum(pr * pos) / sum(pos), 6) + 0.0 AS average_precision FROM w""")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(surrogate_risk(minutes(spark, sf_dir)), "risk", "failure")
+
+
+ECE_BIN_SQL = "1 + " + " + ".join(f"CAST(risk >= CAST({e} AS DOUBLE) AS INTEGER)" for e in metrics.EDGES)
+
+
+@query(f"{WITH_MINUTES}, {RISK_SQL} SELECT {ECE_BIN_SQL} AS bin, count(*) AS n, round(avg(risk), 6) + 0.0 AS confidence, round(avg(failure), 6) + 0.0 AS accuracy FROM kr GROUP BY 1")
+def ece_bins(spark, sf_dir):
+    return metrics.ece_bins(surrogate_risk(minutes(spark, sf_dir)), "risk", "failure")
+
+
+@query(f"{WITH_MINUTES}, {RISK_SQL}, e AS (SELECT count(*) AS n, abs(avg(risk) - avg(failure)) AS gap FROM kr GROUP BY {ECE_BIN_SQL}) SELECT round(sum(n * gap) / sum(n), 6) + 0.0 AS ece FROM e")
+def expected_calibration_error(spark, sf_dir):
+    risk = surrogate_risk(minutes(spark, sf_dir))
+    number = F.lit(1)
+    for edge in metrics.EDGES:
+        number = number + (F.col("risk") >= edge).cast("int")
+    bins = risk.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("risk") - F.avg("failure")).alias("gap"))
+    return bins.agg(rounded(F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+
+
+# ---------------------------------------------------------------- controller and policies
+
+FIVE_SQL = """v5 AS (SELECT bucket, CASE WHEN zero_response_count > 0 THEN 1 ELSE 0 END AS failure FROM v),
+k5 AS (SELECT bucket, failure, CASE WHEN count(*) OVER h = 60 THEN least(1.0, 2.5 * avg(failure) OVER h) END AS risk FROM v5 WINDOW h AS (ORDER BY bucket ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+r5 AS (SELECT row_number() OVER (ORDER BY bucket) AS i, bucket, failure, CAST(risk AS DOUBLE) AS risk FROM k5 WHERE risk IS NOT NULL),
+tgt AS (SELECT avg(failure) AS target FROM r5),
+d5 AS (SELECT i, bucket, failure, risk, CASE WHEN count(*) OVER h < 60 THEN 0 WHEN avg(failure) OVER h > target THEN -1 WHEN avg(failure) OVER h < target THEN 1 ELSE 0 END AS s
+       FROM r5, tgt WINDOW h AS (ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+th5 AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0.9591 AS DOUBLE) AS before
+        UNION ALL SELECT th5.i + 1, CASE s WHEN 0 THEN before ELSE greatest(CAST(0.5 AS DOUBLE), least(CAST(0.99 AS DOUBLE), CASE s WHEN 1 THEN before + CAST(0.01 AS DOUBLE) ELSE before - CAST(0.01 AS DOUBLE) END)) END FROM th5 JOIN d5 ON d5.i = th5.i),
+ctl AS (SELECT d5.bucket, d5.failure, d5.risk, th5.before, CASE WHEN d5.risk > th5.before THEN 1 ELSE 0 END AS trig FROM d5 JOIN th5 ON th5.i = d5.i)"""
+WITH_CTL = f"{WITH_CP}, {FIVE_SQL}"
+
+
+def controlled(spark, sf_dir) -> DataFrame:
+    """The controller over five-minute failures; its target is their rate."""
+    rows = view5(spark, sf_dir).select("bucket", (F.col("zero_response_count") > 0).cast("int").alias("failure"))
+    b = Blocks(rows, "bucket", 60)
+    share = b.past(F.avg("failure"), "failure", 60)
+    risk = b.result("bucket", "failure", F.when(share.isNotNull(), F.least(F.lit(1.0), 2.5 * share)).alias("risk")).where("risk IS NOT NULL")
+    target = risk.agg(F.avg("failure")).first()[0]
+    return control.adaptive_threshold(risk, target, "bucket")
+
+
+@query(f"{WITH_CTL} SELECT bucket, failure, round(risk, 6) + 0.0 AS risk, round(before, 6) + 0.0 AS threshold_before_update, trig AS reserve_trigger FROM ctl")
+def adaptive_threshold(spark, sf_dir):
+    return controlled(spark, sf_dir).select("bucket", "failure", *r("risk", "threshold_before_update"), "reserve_trigger")
+
+
+@query()
+def adaptive_threshold_minute(spark, sf_dir):
+    risk = surrogate_risk(minutes(spark, sf_dir))
+    return control.adaptive_threshold(risk, risk.agg(F.avg("failure")).first()[0], "minute")
+
+
+@query(f"""{WITH_MINUTES}, {RISK_SQL} SELECT minute // 5 AS bucket, round(max(risk), 6) + 0.0 AS risk_signal, round(arg_min(risk, minute), 6) + 0.0 AS adaptive_threshold FROM kr GROUP BY 1""")
+def risk_5min(spark, sf_dir):
+    return control.to_five_minutes(surrogate_risk(minutes(spark, sf_dir)), threshold="risk").select("bucket", *r("risk_signal", "adaptive_threshold"))
+
+
+POLICY_SQL = f"""{BASE_SQL},
+pr AS (SELECT b.bucket, CAST(b.actual AS DOUBLE) AS actual_workload, b.persistence, b.seasonal_naive, b.moving_average, b.moving_average AS forecast_workload, ctl.risk AS risk_signal, ctl.before AS adaptive_threshold, coalesce(cp.change_alarm, 0) AS change_alarm
+       FROM b JOIN ctl ON ctl.bucket = b.bucket LEFT JOIN cp ON cp.bucket = b.bucket WHERE b.actual IS NOT NULL AND b.moving_average IS NOT NULL AND b.seasonal_naive IS NOT NULL),
+pt AS (SELECT *, 0 AS t1, CASE WHEN risk_signal > 0.9591 THEN 1 ELSE 0 END AS t2, CASE WHEN risk_signal > adaptive_threshold THEN 1 ELSE 0 END AS t3,
+              CASE WHEN risk_signal > CASE WHEN change_alarm = 1 THEN CAST(0.9591 AS DOUBLE) ELSE adaptive_threshold END THEN 1 ELSE 0 END AS t4 FROM pr),
+lp AS (SELECT bucket, actual_workload, 'V' || k AS policy, t AS trigger, CASE WHEN t = 1 THEN forecast_workload * CAST(1.1 AS DOUBLE) ELSE forecast_workload END AS capacity
+       FROM (SELECT *, unnest([1, 2, 3, 4]) AS k, unnest([t1, t2, t3, t4]) AS t FROM pt))"""
+
+
+def policy_rows(spark, sf_dir) -> DataFrame:
+    view = view5(spark, sf_dir)
+    base = learning.causal_baselines(view).where("actual IS NOT NULL AND moving_average IS NOT NULL AND seasonal_naive IS NOT NULL")
+    risk = controlled(spark, sf_dir).select("bucket", F.col("risk").alias("risk_signal"), F.col("threshold_before_update").alias("adaptive_threshold"))
+    alarms = changepoint.change_points(view).select("bucket", "change_alarm")
+    rows = base.join(risk, "bucket").join(alarms, "bucket", "left")
+    return rows.withColumns({"actual_workload": F.col("actual").cast("double"), "forecast_workload": F.col("moving_average")})
+
+
+def _policy_query(name: str):
+    sql = f"{WITH_CTL}, {POLICY_SQL} SELECT bucket, trigger, round(capacity, 6) + 0.0 AS capacity FROM lp WHERE policy = '{name}'"
+
+    def run(spark, sf_dir):
+        return control.policies(policy_rows(spark, sf_dir)).select("bucket", F.col(f"{name}_trigger").alias("trigger"), rounded(F.col(f"{name}_capacity")).alias("capacity"))
+
+    QUERIES[f"policy_{name.lower()}"] = run
+    ORACLE_SQL[f"policy_{name.lower()}"] = sql
+
+
+for _name in ("V1", "V2", "V3", "V4"):
+    _policy_query(_name)
+
+CAPACITY_SQL = """, ls AS (SELECT policy, actual_workload, capacity, trigger, greatest(actual_workload - capacity, 0.0) AS shortage, greatest(capacity - actual_workload, 0.0) AS unused FROM lp),
+lq AS (SELECT policy, quantile_cont(shortage, 0.95) AS p95 FROM ls GROUP BY policy)
+SELECT policy, count(*) AS n, round(avg(CASE WHEN shortage > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) + 0.0 AS under_provisioned_percent, round(avg(shortage), 6) + 0.0 AS mean_shortage,
+       round(any_value(p95), 6) + 0.0 AS p95_shortage, round(avg(CASE WHEN shortage >= p95 THEN shortage END), 6) + 0.0 AS shortfall_cvar95, round(avg(unused), 6) + 0.0 AS mean_unused_capacity,
+       round(avg(capacity), 6) + 0.0 AS mean_provisioned_capacity, round(avg(trigger) * 100, 6) + 0.0 AS reserve_activation_percent, round(sum(capacity) / sum(actual_workload), 6) + 0.0 AS cost_index
+FROM ls JOIN lq USING (policy) GROUP BY policy"""
+
+
+@query(f"{WITH_CTL}, {POLICY_SQL}{CAPACITY_SQL}")
+def capacity_metrics(spark, sf_dir):
+    return control.capacity_metrics(control.long_policies(control.policies(policy_rows(spark, sf_dir))))
+
+
+def forecast_sql(trigger: str, reserve: float) -> str:
+    part = " UNION ALL ".join(f"SELECT bucket, actual_workload, '{f}' AS policy, {trigger} AS trigger, CASE WHEN {trigger} = 1 THEN {f} * CAST({reserve} AS DOUBLE) ELSE {f} END AS capacity FROM pr" for f in FORECASTS)
+    return f"{WITH_CTL}, {POLICY_SQL.rsplit('lp AS', 1)[0]}lp AS ({part}){CAPACITY_SQL}"
+
+
+@query(forecast_sql("1", 1.10))
+def fixed_reserve_control(spark, sf_dir):
+    return control.capacity_metrics(control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 1.10, adaptive=False))
+
+
+@query(forecast_sql("CASE WHEN risk_signal > adaptive_threshold THEN 1 ELSE 0 END", 0.10))
+def adaptive_control_by_forecast(spark, sf_dir):
+    """With the multiplier 0.10 that published results were made with; 1.10 would add a reserve instead."""
+    return control.capacity_metrics(control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 0.10, adaptive=True))
+
+
+# ---------------------------------------------------------------- inference
+
+PAIR_SQL = f"""{WITH_CTL}, {POLICY_SQL},
+pd AS (SELECT row_number() OVER (ORDER BY bucket) AS i, greatest(actual_workload - moving_average, 0.0) - greatest(actual_workload - persistence, 0.0) AS d FROM pr)"""
+
+
+def shortage_pairs(spark, sf_dir) -> DataFrame:
+    rows = policy_rows(spark, sf_dir)
+
+    def short(f: str):
+        return F.greatest(F.col("actual_workload") - F.col(f), F.lit(0.0))
+
+    return rows.select("bucket", (short("moving_average") - short("persistence")).alias("d"))
+
+
+@query("""WITH t AS (SELECT event_type AS family, CAST(user_id % 10 AS BIGINT) AS test, least(1.0, count(*) / 1000.0) AS p FROM events GROUP BY 1, 2),
+h AS (SELECT family, test, p, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p AS raw, row_number() OVER (PARTITION BY family ORDER BY p, test) AS k FROM t)
+SELECT family, test, round(p, 6) + 0.0 AS p, round(least(1.0, max(raw) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) + 0.0 AS p_holm FROM h""")
+def holm(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tests = events.groupBy(F.col("event_type").alias("family"), (F.col("user_id") % 10).alias("test")).agg(F.least(F.lit(1.0), F.count("*") / 1000.0).alias("p"))
+    return inference.holm(tests, "p", ["family"]).select("family", "test", *r("p", "p_holm"))
+
+
+BLOCK_SQL = f"""{PAIR_SQL}, n AS (SELECT count(*) AS n FROM pd), c AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS c UNION ALL SELECT i, sum(d) OVER (ORDER BY i) FROM pd),
+st AS (SELECT rep AS replicate, k, ((((rep * nb + k + 1) * 48271 % 2147483648) * 1103515245 + 12345) % 2147483648) % (n - 288 + 1) AS lo, n, nb
+       FROM (SELECT unnest(range(2000)) AS rep), (SELECT n, CAST(ceil(n / 288) AS BIGINT) AS nb FROM n), LATERAL (SELECT unnest(range(nb)) AS k)),
+bb AS (SELECT replicate, sum(h.c - l.c) / any_value(n) AS mean FROM st JOIN c l ON l.i = lo JOIN c h ON h.i = lo + least(288, n - k * 288) GROUP BY replicate)"""
+
+
+@query(f"{BLOCK_SQL} SELECT replicate, round(mean, 6) + 0.0 AS mean FROM bb")
+def block_bootstrap(spark, sf_dir):
+    return inference.block_bootstrap(shortage_pairs(spark, sf_dir), "bucket", "d").select("replicate", *r("mean"))
+
+
+@query(f"""{BLOCK_SQL} SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS ci_low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS ci_high,
+round(least(1.0, 2 * least(avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END))), 6) + 0.0 AS p_value FROM bb""")
+def block_bootstrap_summary(spark, sf_dir):
+    return inference.bootstrap_summary(inference.block_bootstrap(shortage_pairs(spark, sf_dir), "bucket", "d"))
+
+
+@query(f"""{PAIR_SQL}, w AS (SELECT abs(d) AS a, count(*) AS n, count(*) FILTER (d > 0) AS up FROM pd WHERE d <> 0 GROUP BY 1),
+rk AS (SELECT n, up, coalesce(sum(n) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM w)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(up * rank), 3) + 0.0 AS w_plus, round(sum((n - up) * rank), 3) + 0.0 AS w_minus, round(least(sum(up * rank), sum((n - up) * rank)), 3) + 0.0 AS statistic FROM rk""")
+def wilcoxon_stat(spark, sf_dir):
+    return inference.wilcoxon(shortage_pairs(spark, sf_dir), "d").select("n", *(rounded(F.col(c), 3).alias(c) for c in ("w_plus", "w_minus", "statistic")))
+
+
+@query()
+def wilcoxon_test(spark, sf_dir):
+    return inference.wilcoxon(shortage_pairs(spark, sf_dir), "d")
+
+
+@query()
+def iid_bootstrap_ci(spark, sf_dir):
+    return inference.bootstrap_summary(inference.iid_bootstrap(shortage_pairs(spark, sf_dir), "d"))
+
+
+@query(f"{PAIR_SQL} SELECT count(*) AS n, round(avg(d), 6) + 0.0 AS mean_difference, round(quantile_cont(d, 0.5), 6) + 0.0 AS median_difference, count(*) FILTER (d > 0) AS worse, count(*) FILTER (d < 0) AS better FROM pd")
+def paired_summary(spark, sf_dir):
+    d = F.col("d")
+    return shortage_pairs(spark, sf_dir).agg(F.count("*").alias("n"), rounded(F.avg(d)).alias("mean_difference"), rounded(F.percentile(d, 0.5)).alias("median_difference"), F.count_if(d > 0).alias("worse"), F.count_if(d < 0).alias("better"))
+
+
+# ---------------------------------------------------------------- sensitivity
+
+GRID = changepoint.detector_grid()
+BASE_CONFIG = next(i for i, s, n, shift, gap in GRID if (s, n, shift, gap) == (12, 276, 0.10, 288))
+
+
+@query()
+def cp_sensitivity_grid(spark, sf_dir):
+    return changepoint.sensitivity(view5(spark, sf_dir), GRID).select("config_id", "position", *r("change_score", "threshold", "absolute_log_shift"))
+
+
+@query(f"""{WITH_CP} SELECT {BASE_CONFIG} AS config_id, sc.position, round(change_score, 6) + 0.0 AS change_score, round(threshold, 6) + 0.0 AS threshold, round(absolute_log_shift, 6) + 0.0 AS absolute_log_shift
+FROM sc JOIN alarms USING (position), th""")
+def cp_sensitivity_base(spark, sf_dir):
+    grid = [c for c in GRID if c[0] == BASE_CONFIG]
+    return changepoint.sensitivity(view5(spark, sf_dir), grid).select("config_id", "position", *r("change_score", "threshold", "absolute_log_shift"))
+
+
+@query()
+def alarm_match_rates(spark, sf_dir):
+    alarms = changepoint.sensitivity(view5(spark, sf_dir), GRID).select("config_id", "position")
+    return changepoint.alarm_match_rates(alarms, BASE_CONFIG)
+
+
+@query()
+def cp_downstream_robustness(spark, sf_dir):
+    """Policy V4 under the base configuration and the eight that differ from it in one parameter, as differences from the base."""
+    base = next(c for c in GRID if c[0] == BASE_CONFIG)
+    near = [c for c in GRID if sum(a != b for a, b in zip(c[1:], base[1:], strict=True)) <= 1]
+    view = view5(spark, sf_dir)
+    low = view.agg(F.min("bucket").alias("_low"))
+    alarms = changepoint.sensitivity(view, near).crossJoin(F.broadcast(low)).select("config_id", (F.col("position") + F.col("_low")).alias("bucket"), F.lit(1).alias("change_alarm"))
+    # nine configurations
+    configs = F.broadcast(spark.createDataFrame([(c[0],) for c in near], "config_id int"))
+    rows = policy_rows(spark, sf_dir).drop("change_alarm").crossJoin(configs).join(alarms, ["config_id", "bucket"], "left")
+    v4 = control.policies(rows).select("config_id", "actual_workload", F.col("V4_trigger").alias("trigger"), F.col("V4_capacity").alias("capacity"))
+    found = control.capacity_metrics(v4, by="config_id")
+    names = ["mean_shortage", "mean_unused_capacity", "reserve_activation_percent"]
+    own = found.where(F.col("config_id") == BASE_CONFIG).select(*(F.col(n).alias(f"_{n}") for n in names))
+    return found.crossJoin(F.broadcast(own)).select("config_id", *names, *(rounded(F.col(n) - F.col(f"_{n}")).alias(f"{n}_delta") for n in names))
+
+
+# ---------------------------------------------------------------- learning (no SQL: iterative fits)
+
+
+def _workload(spark, sf_dir, change_points: bool) -> tuple[DataFrame, list[str]]:
+    view = view5(spark, sf_dir)
+    rows = features.workload_features(view, changepoint.change_points(view) if change_points else None)
+    return with_split(rows), features.workload_feature_names(change_points)
+
+
+def _forecast_query(name: str, kind: str, change_points: bool, trees: int | None = None, log_target: bool = True):
+    def run(spark, sf_dir):
+        rows, names = _workload(spark, sf_dir, change_points)
+        return learning.forecast(rows, names, kind, trees=trees, log_target=log_target).select("bucket", "split", "target_next_5min", *r("forecast"))
+
+    QUERIES[name] = run
+
+
+_forecast_query("forecast_gbt", "gbt", False)
+_forecast_query("forecast_cp_gbt", "gbt", True)
+_forecast_query("forecast_rf", "forest", False)
+_forecast_query("forecast_ols", "ols", False, log_target=False)
+
+
+@query(f"{WITH_VIEW}, {BASE_SQL} SELECT round(regr_intercept(actual, persistence), 6) + 0.0 AS intercept, round(regr_slope(actual, persistence), 6) + 0.0 AS slope FROM b WHERE actual IS NOT NULL")
+def ols_by_sums(spark, sf_dir):
+    rows = learning.causal_baselines(view5(spark, sf_dir)).where("actual IS NOT NULL")
+    return learning.ols_by_sums(rows, "persistence", "actual").select(*r("intercept", "slope"))
+
+
+def _risk_rows(spark, sf_dir) -> DataFrame:
+    rows = features.failure_features(minutes(spark, sf_dir)).where("minute >= 1440")
+    return with_split(rows, "minute")
+
+
+@query()
+def failure_gbt(spark, sf_dir):
+    rows = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names(), trees=20, depth=4)
+    return rows.select("minute", "split", "failure", *r("probability_of_failure"))
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    risk = with_split(surrogate_risk(minutes(spark, sf_dir)), "minute")
+    return learning.isotonic(risk, "risk", "failure").select("minute", "split", "failure", *r("risk", "calibrated"))
+
+
+@query()
+def risk_ablation(spark, sf_dir):
+    """Metrics of the classifier with all 89 features and without the 17 of zero responses, on the test split."""
+    rows, out = _risk_rows(spark, sf_dir), None
+    for name, keep in (("full", True), ("ablated", False)):
+        scored = learning.failure_risk(rows, features.failure_feature_names(keep), trees=10, depth=4).where("split = 'test'")
+        part = metrics.risk_metrics(scored, "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---------------------------------------------------------------- report data
+
+
+@query(f"{WITH_CP} SELECT cp.bucket, cp.position, v.total_tokens, round(cp.change_score, 6) + 0.0 AS change_score FROM cp JOIN v ON v.bucket = cp.bucket WHERE change_alarm = 1")
+def figure_alarm_overlay(spark, sf_dir):
+    view = view5(spark, sf_dir)
+    alarms = changepoint.change_points(view).where("change_alarm = 1")
+    return alarms.join(view.select("bucket", "total_tokens"), "bucket").select("bucket", "position", "total_tokens", *r("change_score"))
+
+
+@query(f"""{WITH_MINUTES}, {RISK_SQL} SELECT failure, CAST(least(floor(risk * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM kr GROUP BY 1, 2""")
+def figure_risk_histogram(spark, sf_dir):
+    risk = surrogate_risk(minutes(spark, sf_dir))
+    return risk.groupBy("failure", F.least(F.floor(F.col("risk") * 40), F.lit(39)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{WITH_CTL}, {POLICY_SQL} SELECT policy, round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.25), 6) + 0.0 AS q25, round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.5), 6) + 0.0 AS q50,
+round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.75), 6) + 0.0 AS q75 FROM lp GROUP BY policy""")
+def figure_shortage_quartiles(spark, sf_dir):
+    long = control.long_policies(control.policies(policy_rows(spark, sf_dir)))
+    short = F.greatest(F.col("actual_workload") - F.col("capacity"), F.lit(0.0))
+    q = long.groupBy("policy").agg(F.percentile(short, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return q.select("policy", *(rounded(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
+
+
+@query(f"""{WITH_VIEW}, {BASE_SQL} SELECT bucket, actual, round(abs(moving_average - actual), 6) + 0.0 AS absolute_error FROM b WHERE actual IS NOT NULL AND moving_average IS NOT NULL AND {TEST_SQL}""")
+def figure_absolute_error(spark, sf_dir):
+    rows = with_split(learning.causal_baselines(view5(spark, sf_dir))).where("split = 'test' AND actual IS NOT NULL AND moving_average IS NOT NULL")
+    return rows.select("bucket", "actual", rounded(F.abs(F.col("moving_average") - F.col("actual"))).alias("absolute_error"))
