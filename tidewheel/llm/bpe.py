@@ -3,25 +3,29 @@
 A byte-level BPE vocabulary never merges across the pieces of its split
 pattern, and that pattern ends a piece before each space that is not followed
 by more white space. So the ids of a text are the ids of its stretches between
-spaces, in order. Each worker keeps the ids of the stretches it has met (up to
-``CACHE_STRETCHES``) and lets the library encode only new ones.
+spaces, in order. Each worker keeps the ids of up to ``CACHE_STRETCHES`` of them
+and lets the library encode only others, many of them joined to one text; the
+bytes of the ids tell where each ends.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Stretches that a worker remembers; beyond, it starts anew.
-CACHE_STRETCHES = 1_200_000
-CACHE_IDS = 8_000_000
+#: Stretches that a worker remembers: the first it meets, among them the frequent ones.
+CACHE_STRETCHES = 800_000
+#: New stretches that the library gets as one text.
+JOINED = 500
 END = 0
 #: A space inside a run of white space that goes on behind it: a cut there could change the pieces.
-_UNSAFE = re.compile(r"\s (?:\s|$)").search
+_SPACE = r"[\s\v\x{85}\p{Z}\x{1c}-\x{1f}]"
+_UNSAFE = rf"{_SPACE} ({_SPACE}|\z)"
 
 
 class _Codes(dict):
@@ -41,43 +45,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         # strings of special tokens in a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self):
+        # a byte-level vocabulary writes each byte as one character
+        self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
         self.codes = _Codes()
         self.ids = np.zeros(1 << 20, np.int32)
         self.starts = np.zeros(1 << 18, np.int64)
         self.lengths = np.zeros(1 << 18, np.int32)
         self.known = self.used = 0
 
-    def _learn(self, pieces: list[str]):
-        """Encode pieces and append their ids to the store, in order of their numbers."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum()))
+    def _learn(self, stretches: list):
+        """Encode stretches and append their ids to the store, in order of their numbers.
+
+        Those that begin with white space, or have no space before them, are
+        encoded on their own: joined to others they could be cut differently.
+        """
+        alone = [i for i, k in enumerate(stretches) if type(k) is tuple or not k or k[0].isspace()]
+        if alone:
+            lone = set(alone)
+            joined = [i for i in range(len(stretches)) if i not in lone]
+        else:
+            joined = range(len(stretches))
+        words = [" " + stretches[i] for i in joined]
+        texts = ["".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
+        texts += [stretches[i][0] if type(stretches[i]) is tuple else " " + stretches[i] for i in alone]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
+        size = np.array([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in chain(words, texts[len(texts) - len(alone) :])], np.int64)
+        bound = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size), "left") + 1
+        bound[size == 0] = 0
+        bound = np.maximum.accumulate(bound)
+        lengths = np.diff(bound, prepend=0)
+        if alone:
+            order = np.empty(len(stretches), np.int64)
+            order[np.concatenate([np.array(list(joined), np.int64), np.array(alone, np.int64)])] = np.arange(len(stretches))
+            bound, lengths = bound[order], lengths[order]
+        starts = self.used + bound - lengths
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(pieces) > len(self.starts):
+        while self.known + len(stretches) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         self.ids[self.used : self.used + len(flat)] = flat
-        at = slice(self.known, self.known + len(pieces))
-        self.lengths[at] = lengths
-        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        at = slice(self.known, self.known + len(stretches))
+        self.lengths[at], self.starts[at] = lengths, starts
         self.used += len(flat)
-        self.known += len(pieces)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each ended by id 0, and the count of each (with the end)."""
-        if self.known > CACHE_STRETCHES or self.used > CACHE_IDS:
-            self._forget()
+        self.known += len(stretches)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each ended by id 0, and the count of each (with the end). Null is empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        remembered = self.known, self.used
+        whole = pc.match_substring_regex(texts, _UNSAFE)
+        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        counts = np.asarray(lists.value_lengths()).astype(np.int64)
+        distinct = lists.flatten().dictionary_encode()
+        code = np.fromiter(map(self.codes.__getitem__, distinct.dictionary.to_pylist()), np.int64)
+        codes = code[np.asarray(distinct.indices)]
         # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under (text,)
-        found = [[(t,)] if _UNSAFE(t) else _stretches(t) for t in texts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
-        del found
+        head = np.cumsum(counts) - counts
+        first = pc.if_else(whole, texts, lists.flatten().take(pa.array(head))).to_pylist()
+        codes[head] = [self.codes[(t,)] for t in first]
         if len(self.codes) > self.known:
-            self._learn([k[0] if type(k) is tuple else " " + k for k in islice(self.codes, self.known, None)])
+            self._learn(list(islice(self.codes, self.known, None)))
         lengths = self.lengths[codes].astype(np.int64)
         starts = self.starts[codes]
         ends = np.cumsum(lengths)
@@ -85,14 +118,16 @@ class Encoder:
         flat = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
         text_end = np.concatenate([[0], ends])[np.cumsum(counts)]
         sizes = np.diff(np.concatenate([[0], text_end])) + 1
-        out = np.insert(flat, text_end, END) if len(texts) else flat
+        out = np.insert(flat, text_end, END)
+        self._trim(remembered)
         return out, sizes
 
-
-def _stretches(text: str) -> list:
-    parts = text.split(" ")
-    parts[0] = (parts[0],)
-    return parts
+    def _trim(self, before: tuple[int, int]):
+        """Forget what the last call has added if the memory is full."""
+        if self.known > CACHE_STRETCHES:
+            self.known, self.used = before
+            while len(self.codes) > self.known:
+                self.codes.popitem()
 
 
 _encoders: dict[str | None, Encoder] = {}

@@ -120,7 +120,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
 
     def run(batches):
         for part in slices(batches):
-            flat, sizes = encoder(tokenizer).encode([x or "" for x in col(part, "text").to_pylist()])
+            flat, sizes = encoder(tokenizer).encode(col(part, "text"))
             pieces = -(-sizes // capacity)
             of = np.repeat(np.arange(len(sizes)), pieces)
             number = np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of]

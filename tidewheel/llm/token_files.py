@@ -38,11 +38,10 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
     def run(batches):
         shard, at = TaskContext.get().partitionId(), 0
         for part in slices(batches):
-            texts = [x or "" for x in col(part, "text").to_pylist()]
-            ids, sizes = encoder(tokenizer).encode(texts)
+            ids, sizes = encoder(tokenizer).encode(col(part, "text"))
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            yield pa.record_batch([col(part, "doc_id"), pa.array(np.full(len(texts), shard, np.int32)), pa.array(starts), pa.array(sizes), list_array(ids, sizes, pa.int32())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            yield pa.record_batch([col(part, "doc_id"), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(starts), pa.array(sizes), list_array(ids, sizes, pa.int32())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
