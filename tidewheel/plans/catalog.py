@@ -527,7 +527,7 @@ def cp_sensitivity_grid(spark, sf_dir):
     return changepoint.sensitivity(view5(spark, sf_dir), GRID).select("config_id", "position", *r("change_score", "threshold", "absolute_log_shift"))
 
 
-@query(f"""{WITH_CP} SELECT {BASE_CONFIG} AS config_id, sc.position, round(change_score, 6) + 0.0 AS change_score, round(threshold, 6) + 0.0 AS threshold, round(absolute_log_shift, 6) + 0.0 AS absolute_log_shift
+@query(f"""{WITH_CP.replace('change_score >= threshold', 'change_score >= threshold AND NOT isinf(change_score)')} SELECT {BASE_CONFIG} AS config_id, sc.position, round(change_score, 6) + 0.0 AS change_score, round(threshold, 6) + 0.0 AS threshold, round(absolute_log_shift, 6) + 0.0 AS absolute_log_shift
 FROM sc JOIN alarms USING (position), th""")
 def cp_sensitivity_base(spark, sf_dir):
     grid = [c for c in GRID if c[0] == BASE_CONFIG]
