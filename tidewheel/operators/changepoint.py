@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import is_finite
 from tidewheel.operators.windows import Blocks
+from tidewheel.sources.shared import settled
 
 #: Interquartile range of a normal distribution in standard deviations.
 IQR_TO_SIGMA = 1.349
@@ -75,10 +76,10 @@ def change_points(view: DataFrame, detector: Detector = Detector(), key: str = "
     On an alarm row elapsed_since_alarm is the time since the alarm before it;
     before the first alarm it counts from the far past.
     """
-    scores = change_scores(view, detector.short, detector.long, key=key)
+    scores = settled(change_scores(view, detector.short, detector.long, key=key), "scores")
     limit = training_threshold(scores, detector.quantile, detector.train_fraction)
     hot = scores.crossJoin(F.broadcast(limit)).where((F.col("change_score") >= F.col("threshold")) & (F.col("absolute_log_shift") >= detector.least_shift))
-    alarms = greedy_alarms(hot.select(F.lit(0).alias("_series"), "position"), "position", detector.gap, ["_series"]).select("position", F.lit(1).alias("_alarm"))
+    alarms = settled(greedy_alarms(hot.select(F.lit(0).alias("_series"), "position"), "position", detector.gap, ["_series"]).select("position", F.lit(1).alias("_alarm")), "alarms")
     out = scores.join(alarms, "position", "left").withColumn("change_alarm", F.coalesce("_alarm", F.lit(0)))
     # rows before the next alarm share the last one; alarms are few, so their table is small beside the series
     bounds = alarms.select(F.col("position").alias("_at"), F.lead("position").over(Window.orderBy("position")).alias("_next"))
@@ -97,14 +98,14 @@ def detector_grid(shorts=(6, 12, 24), longs=(138, 276, 552), shifts=(0.05, 0.10,
 def sensitivity(view: DataFrame, grid: list[tuple[int, int, int, float, int]], quantile: float = 0.95, train_fraction: float = 12384 / 17566) -> DataFrame:
     """Alarms of each configuration: config_id, position, change_score, threshold, absolute_log_shift.
 
-    Scores are made once for each pair of windows and shared by the
+    Scores are made once for each pair of windows, written, and shared by the
     configurations with that pair. Infinite scores raise no alarm here.
     """
-    spark = view.sparkSession
+    spark, view = view.sparkSession, settled(view.select("bucket", "total_tokens"), "view")
     pairs = sorted({(s, n) for _, s, n, _, _ in grid})
     found = None
     for short, long in pairs:
-        scores = change_scores(view, short, long)
+        scores = settled(change_scores(view, short, long).select("position", "change_score", "absolute_log_shift"), "scores")
         rows = scores.where(is_finite(F.col("change_score"))).crossJoin(F.broadcast(training_threshold(scores, quantile, train_fraction)))
         part = rows.where("change_score >= threshold").select(F.lit(short).alias("short"), F.lit(long).alias("long"), "position", "change_score", "threshold", "absolute_log_shift")
         found = part if found is None else found.unionByName(part)
@@ -126,6 +127,7 @@ def alarm_match_rates(alarms: DataFrame, base_config: int, tolerance: int = 12)
     Each alarm is spread over the keys within reach of it, so the band join is
     a join on equal keys.
     """
+    alarms = settled(alarms.select("config_id", "position"), "alarms")
     base = alarms.where(F.col("config_id") == base_config).select(F.col("position").alias("b"))
     configs = alarms.select("config_id").distinct()
     near = base.select("b", F.explode(F.sequence(F.col("b") - tolerance, F.col("b") + tolerance)).alias("position"))
