@@ -91,7 +91,9 @@ def iid_bootstrap(pairs: DataFrame, difference: str, replicates: int = 10_000, s
     """replicate and mean under the IID bootstrap.
 
     Only how often each distinct difference occurs matters, so a replicate is a
-    multinomial draw over the distinct values, made where the replicate is.
+    multinomial draw over the distinct values, made where the replicate is. The
+    distinct values of a series (a row for each bucket of time, not for each
+    request) come to the driver.
     """
     counts = pairs.groupBy(F.col(difference).alias("d")).count().orderBy("d").toPandas()
     values, weight = counts["d"].to_numpy(float), counts["count"].to_numpy(np.int64)
@@ -106,3 +108,35 @@ def iid_bootstrap(pairs: DataFrame, difference: str, replicates: int = 10_000, s
                 yield pd.DataFrame({"replicate": start * chunk + np.arange(many), "mean": draws})
 
     return pairs.sparkSession.range(math.ceil(replicates / chunk)).mapInPandas(run, "replicate long, mean double")
+
+
+def paired_differences(long: DataFrame, key: str, model: str, metrics: list[str]) -> DataFrame:
+    """For each unordered pair of models, metric and key: model_a, model_b, metric, key, difference (a - b).
+
+    The models are a handful, so each row meets its partners of the same key;
+    keys that a model lacks give no pair.
+    """
+    a = long.select(key, F.col(model).alias("model_a"), *(F.col(m).alias(f"a_{m}") for m in metrics))
+    b = long.select(key, F.col(model).alias("model_b"), *(F.col(m).alias(f"b_{m}") for m in metrics))
+    both = a.join(b, key).where("model_a < model_b")
+    parts = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(f"a_{m}") - F.col(f"b_{m}")).alias("difference")) for m in metrics))).alias("p")
+    return both.select(key, "model_a", "model_b", parts).select("model_a", "model_b", "p.metric", key, "p.difference")
+
+
+def pairing_violations(long: DataFrame, key: str, model: str) -> DataFrame:
+    """One row: (key, model) groups of more than one row, and keys that do not have all models."""
+    groups = long.groupBy(key, model).count()
+    models = long.agg(F.count_distinct(model).alias("m"))  # one row
+    keys = groups.groupBy(key).agg(F.count("*").alias("have"), F.count_if(F.col("count") > 1).alias("repeated"))
+    return keys.crossJoin(F.broadcast(models)).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"), F.count_if(F.col("have") != F.col("m")).alias("incomplete_keys"))
+
+
+def paired_statistics(differences: DataFrame) -> DataFrame:
+    """For each pair and metric: n, mean and median difference, W+ and W- of the signed ranks (mean ranks for ties)."""
+    by = ["model_a", "model_b", "metric"]
+    plain = differences.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.avg("difference")).alias("mean_difference"), rounded(F.percentile("difference", 0.5)).alias("median_difference"))
+    sizes = differences.where("difference <> 0").groupBy(*by, F.abs("difference").alias("d")).agg(F.count("*").alias("k"), F.count_if(F.col("difference") > 0).alias("up"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("rank", before + (F.col("k") + 1) / 2)
+    ranks = ranked.groupBy(*by).agg(rounded(F.sum(F.col("up") * F.col("rank")), 3).alias("w_plus"), rounded(F.sum((F.col("k") - F.col("up")) * F.col("rank")), 3).alias("w_minus"))
+    return plain.join(ranks, by, "left").na.fill(0.0, ["w_plus", "w_minus"])

@@ -516,6 +516,35 @@ def paired_summary(spark, sf_dir):
     return shortage_pairs(spark, sf_dir).agg(F.count("*").alias("n"), rounded(F.avg(d)).alias("mean_difference"), rounded(F.percentile(d, 0.5)).alias("median_difference"), F.count_if(d > 0).alias("worse"), F.count_if(d < 0).alias("better"))
 
 
+def forecast_long(spark, sf_dir) -> DataFrame:
+    """A row for each bucket and forecast with shortage and unused capacity under the always-on reserve."""
+    long = control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 1.10, adaptive=False)
+    gap = F.col("actual_workload") - F.col("capacity")
+    return long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"))
+
+
+PAIRS_SQL = f"""{forecast_sql("1", 1.10).rsplit(', ls AS', 1)[0]},
+fl AS (SELECT bucket, policy, greatest(actual_workload - capacity, 0.0) AS shortage, greatest(capacity - actual_workload, 0.0) AS unused FROM lp),
+df AS (SELECT a.policy AS model_a, b.policy AS model_b, unnest(['shortage', 'unused']) AS metric, unnest([a.shortage - b.shortage, a.unused - b.unused]) AS difference
+       FROM fl a JOIN fl b ON a.bucket = b.bucket AND a.policy < b.policy)"""
+
+
+@query(f"""{PAIRS_SQL},
+sz AS (SELECT model_a, model_b, metric, abs(difference) AS d, count(*) AS k, count(*) FILTER (difference > 0) AS up FROM df WHERE difference <> 0 GROUP BY ALL),
+rk AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY model_a, model_b, metric ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2 AS rank FROM sz),
+ws AS (SELECT model_a, model_b, metric, round(sum(up * rank), 3) + 0.0 AS w_plus, round(sum((k - up) * rank), 3) + 0.0 AS w_minus FROM rk GROUP BY ALL)
+SELECT model_a, model_b, metric, n, mean_difference, median_difference, coalesce(w_plus, 0.0) AS w_plus, coalesce(w_minus, 0.0) AS w_minus
+FROM (SELECT model_a, model_b, metric, count(*) AS n, round(avg(difference), 6) + 0.0 AS mean_difference, round(quantile_cont(difference, 0.5), 6) + 0.0 AS median_difference FROM df GROUP BY ALL)
+LEFT JOIN ws USING (model_a, model_b, metric)""")
+def paired_policy_statistics(spark, sf_dir):
+    return inference.paired_statistics(inference.paired_differences(forecast_long(spark, sf_dir), "bucket", "policy", ["shortage", "unused"]))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS incomplete_keys")
+def pairing_contract(spark, sf_dir):
+    return inference.pairing_violations(forecast_long(spark, sf_dir), "bucket", "policy")
+
+
 # ---------------------------------------------------------------- sensitivity
 
 GRID = changepoint.detector_grid()
@@ -577,7 +606,7 @@ def _forecast_query(name: str, kind: str, change_points: bool, trees: int | None
 
 _forecast_query("forecast_gbt", "gbt", False)
 _forecast_query("forecast_cp_gbt", "gbt", True)
-_forecast_query("forecast_rf", "forest", False)
+_forecast_query("forecast_rf", "forest", False, trees=60)
 _forecast_query("forecast_ols", "ols", False, log_target=False)
 
 
