@@ -15,8 +15,9 @@ length; texts with a register left get more time.
 Candidates share a band of registers. Within a bucket members are compared with
 a hub, not with one another: hubs join what they match, and only members whose
 components still differ go on, with other hubs and more of them in each round,
-until no bucket holds two components with an untested pair. Links are verified
-on the whole multisets.
+until no bucket holds two components with an untested pair. How many shingles a
+text shares with no other candidate bounds its similarity to all; pairs beyond
+the bound are never made. Links are verified on the whole multisets.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.components import components
-from tidewheel.llm.support import col, documents, slices, stored, text_buffers
+from tidewheel.llm.components import components, roots
+from tidewheel.llm.support import col, documents, maybe_among, slices, stored, stored_with, text_buffers
 from tidewheel.llm.words import find, grams, mix, prefix_hash, range_hash
 
 SHINGLE = 5
@@ -40,6 +41,8 @@ ROWS = 7
 LEAST_AGREEMENT = 0.55
 #: Seconds of the Poisson processes in units of the text's weight, beyond ln(registers).
 SLACK = 3.5
+#: Hubs of a bucket in the first round after that with the smallest; each round has as many times more.
+HUBS = 16
 _SHORT_BASE = 0xA24BAED4963EE407 | 1
 
 
@@ -178,37 +181,48 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree often enough."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(col(batch, c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-            keep = pa.array((x == y).mean(1) >= LEAST_AGREEMENT)
-            yield pa.record_batch([col(batch, "a").filter(keep), col(batch, "b").filter(keep)], names=["a", "b"])
-
-    marks = nodes.select("node", "agree")
-    both = pairs.join(marks.select(F.col("node").alias("a"), F.col("agree").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("agree").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose whole multisets are similar enough."""
+    """Pairs (a, b, p, q) whose whole multisets are similar enough, by way of their signatures."""
 
     def run(batches):
         for part in slices(batches, "y"):
+            x, y = (np.frombuffer(b"".join(col(part, c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sx", "sy"))
+            part = part.filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
             held: dict[int, np.ndarray] = {}
             for name, body in (("a", "x"), ("b", "y")):
                 new = {k: t for k, t in zip(col(part, name).to_pylist(), col(part, body).to_pylist(), strict=True) if k not in held}
                 held |= dict(zip(new, _bags(list(new.values())), strict=True))
-            keep = pa.array([similarity(held[a], held[b]) >= threshold for a, b in zip(col(part, "a").to_pylist(), col(part, "b").to_pylist(), strict=True)], pa.bool_())
-            yield pa.record_batch([col(part, "a").filter(keep), col(part, "b").filter(keep)], names=["a", "b"])
+            keep = [similarity(held[a], held[b]) >= threshold for a, b in zip(col(part, "a").to_pylist(), col(part, "b").to_pylist(), strict=True)]
+            yield part.select(["a", "b", "p", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"), F.col("agree").alias("sx"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"), F.col("agree").alias("sy"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "p", "q", "x", "y", "sx", "sy").mapInArrow(run, "a long, b long, p long, q long")
+
+
+def _may_link(n, most, other_n, other_most, threshold: float):
+    """Whether two nodes can be as similar as the threshold: what they may share bounds it from above."""
+    return F.least(most, other_most) * (1 + threshold) >= threshold * (F.col(n) + F.col(other_n)) - 1e-6
+
+
+def _reach(texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, most, apart) of the nodes that can have a link.
+
+    ``most`` is how many of a node's ``n`` shingles any other candidate has,
+    ``apart`` the share of the others. A node of which more than the threshold
+    allows is its own cannot be linked; it is left out without a comparison.
+    """
+
+    def run(batches):
+        for part in slices(batches):
+            bags = _bags(col(part, "text").to_pylist())
+            nodes = np.repeat(np.asarray(col(part, "node")), [len(b) for b in bags])
+            yield pa.record_batch([pa.array(np.concatenate(bags).view(np.int64) if bags else np.zeros(0, np.int64)), pa.array(nodes)], names=["h", "node"])
+
+    owners = texts.select("node", "text").mapInArrow(run, "h long, node long").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    own = owners.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    known = texts.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+    return known.where(F.col("most") >= threshold * F.col("n") - 1e-6).withColumn("apart", 1 - F.col("most") / F.col("n"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -224,41 +238,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     """
     profile = stored(profiles(docs, text, key, bands, rows), "minhash-profiles")
     equal = stored(profile.groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minhash-equal")
-    nodes = stored(profile.join(equal.select(F.col("node").alias("row"), F.col("least")), "row").where("n > 0").select(F.col("row").alias("node"), "doc_id", "f1", "f2", "agree", "bands"), "minhash-nodes")
+    nodes = stored(profile.join(equal.select(F.col("node").alias("row"), F.col("least")), "row").where("n > 0").select(F.col("row").alias("node"), "doc_id", "f1", "f2", "n", "agree", "bands"), "minhash-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     members = stored(buckets.join(shared, "bucket"), "minhash-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2", "n", "agree"), "node")
     texts = stored(_texts_of(docs, wanted, text, key), "minhash-texts")
-
-    def links_among(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(_agreeing(pairs.distinct(), nodes), texts, threshold), "minhash-links")
-
-    # first each node with the smallest of its hubs: most classes are complete after this
-    first = members.where("node != hub").groupBy("node").agg(F.min("hub").alias("b")).select(F.col("node").alias("a"), "b")
-    labels = stored(components(links_among(first)), "minhash-labels")
-    members = stored(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-members")
-    hubs_at_once = 1
+    reach = stored(_reach(texts, threshold), "minhash-reach")
+    members = members.join(reach, "node")
+
+    # first each node with the first of its hubs: most classes are complete after this
+    heads = members.groupBy("bucket").agg(F.min(F.struct("apart", "node", "n", "most")).alias("h"))
+    first = members.join(heads, "bucket").where((F.col("node") != F.col("h.node")) & _may_link("n", "most", "h.n", "h.most", threshold))
+    first = first.groupBy("node").agg(F.min("h").alias("h")).select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("node").alias("p"), F.col("h.node").alias("q"))
+    labels = stored(roots(stored(_verified(first, texts, threshold), "minhash-links")), "minhash-labels")
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    hubs_at_once = HUBS
     while True:
-        open_buckets = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        members = stored(members.join(open_buckets, "bucket"), "minhash-members")
-        if members.isEmpty():
+        # buckets with members of several components
+        labelled = stored(labelled, "minhash-labelled")
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+        members, seen = stored_with(labelled.join(several, "bucket"), "minhash-open", n=F.count("*"))
+        if not seen["n"]:
             break
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        hubs = members.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), turn.alias("turn")).where(F.col("turn") <= hubs_at_once).drop("turn")
-        pairs = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & (F.col("node") > F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        links = links_among(pairs)
-        known = stored(members.select("node", "label").distinct(), "minhash-known")
-        ends = links.join(known.select(F.col("node").alias("a"), F.col("label").alias("p")), "a").join(known.select(F.col("node").alias("b"), F.col("label").alias("q")), "b").select("p", "q").distinct()
-        merged = components(ends, "p", "q")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("apart", "node"))
+        chosen = members.withColumn("turn", turn).where(F.col("turn") <= hubs_at_once)
+        hubs = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("apart").alias("hub_apart")), "minhash-hubs")
+        later = F.struct("apart", "node") > F.struct(F.col("hub_apart"), F.col("hub"))
+        pairs = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & later & _may_link("n", "most", "hub_n", "hub_most", threshold)).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("p"), F.col("hub_label").alias("q")).distinct()
+        merged = stored(components(stored(_verified(pairs, texts, threshold), "minhash-links"), "p", "q"), "minhash-merged").select(F.col("node").alias("label"), F.col("label").alias("now"))
         # what was a hub has been compared with its whole bucket
         rest = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        relabel = merged.select(F.col("node").alias("label"), F.col("label").alias("now"))
-        members = stored(rest.join(relabel, "label", "left").select("bucket", "node", F.coalesce("now", "label").alias("label")), "minhash-members")
-        base = labels.join(relabel, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-        alone = merged.join(labels.select("node"), "node", "left_anti")
-        labels = stored(base.unionByName(alone), "minhash-labels")
-        hubs_at_once *= 8
+        labelled = rest.join(merged, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+        moved = labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+        alone = merged.select(F.col("label").alias("node"), F.col("now").alias("label")).join(labels.select("node"), "node", "left_anti")
+        labels = stored(moved.unionByName(alone), "minhash-labels")
+        hubs_at_once *= HUBS
     classes = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("least").alias("class_id"))
     of_node = stored(classes.select("f1", "f2", "n", "label").join(least, "label").select("f1", "f2", "n", "class_id"), "minhash-classes")
@@ -267,7 +282,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, text) of the wanted rows (node, doc_id, f1, f2)."""
+    """(node, text, n, agree) of the wanted rows (node, doc_id, f1, f2, n, agree)."""
 
     def run(batches):
         for part in slices(batches):
@@ -277,12 +292,15 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
                 keep &= (total[first[1:]] - total[first[:-1]]).view(np.int64) == np.asarray(col(part, name))
-            yield pa.record_batch([col(part, "node").filter(pa.array(keep)), col(part, "text").filter(pa.array(keep))], names=["node", "text"])
+            yield part.select(["node", "text", "n", "agree"]).filter(pa.array(keep))
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    among = maybe_among(wanted, "doc_id")
+    if among is not None:
+        own = own.where(among(F.col("doc_id")))
     # a null id matches a null id; several rows of one id are told apart by their fingerprints
-    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "f1", "f2")
-    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "n", "agree", "f1", "f2")
+    return found.mapInArrow(run, "node long, text string, n long, agree binary").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

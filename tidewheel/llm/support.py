@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes at once; bounds the memory of a Python worker.
@@ -51,6 +51,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dict]:
+    """:func:`stored`, and aggregates over the rows that are found while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(c.alias(n) for n, c in totals.items())), label)
+    return out, seen.get
+
+
 def maybe_among(keys: DataFrame, key: str, bits: int = 1 << 26) -> Callable[[Column], Column] | None:
     """A filter that keeps every value of ``keys.key`` and few others, or None if it would keep most.
 
