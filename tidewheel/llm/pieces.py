@@ -42,9 +42,10 @@ GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 128
 #: Lanes that are solved in step.
 LANES = 4096
-#: Stretches that a worker remembers; beyond, it starts anew.
-CACHE_STRETCHES = 800_000
-CACHE_IDS = 8_000_000
+#: Stretches that a worker remembers: the first it meets, among them the frequent ones.
+CACHE_STRETCHES = 400_000
+#: Ids that are decoded at once.
+DECODE_IDS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUNS = re.compile(" +[^ ]*").findall
 
@@ -270,9 +271,6 @@ class Codec:
 
     def __init__(self, path: str | None = None, giant: int = GIANT_CHARS):
         self.vocabulary, self.giant = Vocabulary(path), giant
-        self._forget()
-
-    def _forget(self):
         self.codes: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.known = self.used = 0
@@ -318,8 +316,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the count of each. The empty text has none."""
-        if self.known > CACHE_STRETCHES or self.used > CACHE_IDS:
-            self._forget()
+        before = self.known, self.used
         found = [[] if not t or len(t) > self.giant else _RUNS(" " + t) if "  " in t or t[0] == " " else t.split(" ") for t in texts]
         codes, keys = self.codes, []
         for i, f in enumerate(found):
@@ -348,10 +345,24 @@ class Codec:
                 parts[i], _ = self._ids(points, solve_giant(self.vocabulary, points))
                 sizes[i] = len(parts[i])
             flat = np.concatenate(parts)
+        if self.known > CACHE_STRETCHES:
+            # the memory was full: what this call has added goes
+            self.known, self.used = before
+            while len(codes) > self.known:
+                codes.popitem()
         return flat, sizes
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each text; control and unknown pieces give none."""
+        ends = np.cumsum(sizes)
+        out, at = [], 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + DECODE_IDS, "right")))
+            out += self._decode(ids[ends[at] - sizes[at] : ends[to - 1]], sizes[at:to])
+            at = to
+        return out
+
+    def _decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         v = self.vocabulary
         length = v.piece_size[ids]
         end = np.cumsum(length)
