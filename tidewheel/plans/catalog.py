@@ -14,6 +14,7 @@ from tidewheel.functions import metrics
 from tidewheel.functions.columns import rounded
 from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
 from tidewheel.operators.windows import Blocks
+from tidewheel.sources.shared import settled
 from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace
 
 QUERIES: dict = {}
@@ -579,7 +580,7 @@ def cp_downstream_robustness(spark, sf_dir):
     alarms = changepoint.sensitivity(view, near).crossJoin(F.broadcast(low)).select("config_id", (F.col("position") + F.col("_low")).alias("bucket"), F.lit(1).alias("change_alarm"))
     # nine configurations
     configs = F.broadcast(spark.createDataFrame([(c[0],) for c in near], "config_id int"))
-    rows = policy_rows(spark, sf_dir).drop("change_alarm").crossJoin(configs).join(alarms, ["config_id", "bucket"], "left")
+    rows = settled(policy_rows(spark, sf_dir).drop("change_alarm"), "policy-rows").crossJoin(configs).join(alarms, ["config_id", "bucket"], "left")
     v4 = control.policies(rows).select("config_id", "actual_workload", F.col("V4_trigger").alias("trigger"), F.col("V4_capacity").alias("capacity"))
     found = control.capacity_metrics(v4, by="config_id")
     names = ["mean_shortage", "mean_unused_capacity", "reserve_activation_percent"]
@@ -593,7 +594,7 @@ def cp_downstream_robustness(spark, sf_dir):
 def _workload(spark, sf_dir, change_points: bool) -> tuple[DataFrame, list[str]]:
     view = view5(spark, sf_dir)
     rows = features.workload_features(view, changepoint.change_points(view) if change_points else None)
-    return with_split(rows), features.workload_feature_names(change_points)
+    return settled(with_split(rows), "workload-rows"), features.workload_feature_names(change_points)
 
 
 def _forecast_query(name: str, kind: str, change_points: bool, trees: int | None = None, log_target: bool = True):
@@ -618,7 +619,7 @@ def ols_by_sums(spark, sf_dir):
 
 def _risk_rows(spark, sf_dir) -> DataFrame:
     rows = features.failure_features(minutes(spark, sf_dir)).where("minute >= 1440")
-    return with_split(rows, "minute")
+    return settled(with_split(rows, "minute"), "risk-rows")
 
 
 @query()
