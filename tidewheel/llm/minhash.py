@@ -41,8 +41,8 @@ ROWS = 7
 LEAST_AGREEMENT = 0.55
 #: Seconds of the Poisson processes in units of the text's weight, beyond ln(registers).
 SLACK = 3.5
-#: Hubs of a bucket in the first round after that with the smallest; each round has as many times more.
-HUBS = 16
+#: Hubs of a bucket in the first round after that with a single one, and how many times more each round has.
+HUBS, MORE_HUBS = 4, 8
 _SHORT_BASE = 0xA24BAED4963EE407 | 1
 
 
@@ -251,9 +251,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     heads = members.groupBy("bucket").agg(F.min(F.struct("apart", "node", "n", "most")).alias("h"))
     first = members.join(heads, "bucket").where((F.col("node") != F.col("h.node")) & _may_link("n", "most", "h.n", "h.most", threshold))
     first = first.groupBy("node").agg(F.min("h").alias("h")).select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("node").alias("p"), F.col("h.node").alias("q"))
+    first = stored(first, "minhash-pairs")
     labels = stored(roots(stored(_verified(first, texts, threshold), "minhash-links")), "minhash-labels")
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hubs_at_once = HUBS
+    hubs_at_once, tested = HUBS, first.select("a", "b")
     while True:
         # buckets with members of several components
         labelled = stored(labelled, "minhash-labelled")
@@ -266,6 +267,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         hubs = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("apart").alias("hub_apart")), "minhash-hubs")
         later = F.struct("apart", "node") > F.struct(F.col("hub_apart"), F.col("hub"))
         pairs = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & later & _may_link("n", "most", "hub_n", "hub_most", threshold)).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("p"), F.col("hub_label").alias("q")).distinct()
+        # a pair may share several buckets
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        tested = tested.unionByName(pairs.select("a", "b"))
         merged = stored(components(stored(_verified(pairs, texts, threshold), "minhash-links"), "p", "q"), "minhash-merged").select(F.col("node").alias("label"), F.col("label").alias("now"))
         # what was a hub has been compared with its whole bucket
         rest = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
@@ -273,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         moved = labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
         alone = merged.select(F.col("label").alias("node"), F.col("now").alias("label")).join(labels.select("node"), "node", "left_anti")
         labels = stored(moved.unionByName(alone), "minhash-labels")
-        hubs_at_once *= HUBS
+        hubs_at_once *= MORE_HUBS
     classes = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("least").alias("class_id"))
     of_node = stored(classes.select("f1", "f2", "n", "label").join(least, "label").select("f1", "f2", "n", "class_id"), "minhash-classes")
