@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.windows import Blocks
+from tidewheel.sources.shared import shared_dir
 
 #: Stands for an infinite change score in feature vectors, which must be finite.
 FINITE = 1e6
@@ -62,6 +63,10 @@ def save_model(model, path: str) -> None:
 def failure_risk(rows: DataFrame, features: list[str], label: str = "failure", split: str = "split", trees: int = 350, depth: int = 6) -> DataFrame:
     """``rows`` that have all features, with the classifier's probability of a failure."""
     ready = finite_features(rows.na.drop(subset=[*features, label]), features).withColumn("label", F.col(label).cast("double"))
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # without checkpoints the lineage grows by each tree
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.05, minInstancesPerNode=5, subsamplingRate=0.85, featureSubsetStrategy="0.8", seed=42)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(ready.where(F.col(split) == "train"))
     return model.transform(ready).withColumn("probability_of_failure", vector_to_array("probability")[1]).drop("features", "label", "prediction", "probability", "rawPrediction")

@@ -624,7 +624,7 @@ def _risk_rows(spark, sf_dir) -> DataFrame:
 
 @query()
 def failure_gbt(spark, sf_dir):
-    rows = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names(), trees=20, depth=4)
+    rows = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names())
     return rows.select("minute", "split", "failure", *r("probability_of_failure"))
 
 
@@ -639,7 +639,7 @@ def risk_ablation(spark, sf_dir):
     """Metrics of the classifier with all 89 features and without the 17 of zero responses, on the test split."""
     rows, out = _risk_rows(spark, sf_dir), None
     for name, keep in (("full", True), ("ablated", False)):
-        scored = learning.failure_risk(rows, features.failure_feature_names(keep), trees=10, depth=4).where("split = 'test'")
+        scored = learning.failure_risk(rows, features.failure_feature_names(keep)).where("split = 'test'")
         part = metrics.risk_metrics(scored, "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
