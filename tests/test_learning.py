@@ -17,6 +17,7 @@ def asked(monkeypatch):
         raise Asked(params)
 
     monkeypatch.setattr(learning, "GBTClassifier", keep)
+    monkeypatch.setattr(learning, "RandomForestRegressor", keep)
 
 
 def frame(spark, names):
@@ -30,3 +31,12 @@ def test_classifiers_have_all_trees(spark, asked, monkeypatch, name):
         catalog.QUERIES[name](spark, "")
     params = e.value.args[0]
     assert (params["maxIter"], params["maxDepth"], params["stepSize"]) == (350, 6, 0.05)
+
+
+def test_forest_has_all_trees_and_depth(spark, asked, monkeypatch):
+    names = features.workload_feature_names(False)
+    monkeypatch.setattr(catalog, "_workload", lambda *_: (frame(spark, names), names))
+    with pytest.raises(Asked) as e:
+        catalog.QUERIES["forecast_rf"](spark, "")
+    params = e.value.args[0]
+    assert (params["numTrees"], params["maxDepth"], params["minInstancesPerNode"]) == (300, 30, 5)

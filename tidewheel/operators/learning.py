@@ -34,11 +34,11 @@ def finite_features(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def regressor(kind: str, trees: int | None = None):
-    """A forecaster: ``gbt`` (80 trees of depth 5), ``forest`` (300 trees) or ``ols``."""
+    """A forecaster: ``gbt`` (80 trees of depth 5), ``forest`` (300 trees of depth 30, the most Spark allows) or ``ols``."""
     if kind == "gbt":
         return GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees or 80, stepSize=0.07, maxDepth=5, minInstancesPerNode=30, maxBins=255, seed=42)
     if kind == "forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees or 300, minInstancesPerNode=5, maxDepth=12, seed=42)
+        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees or 300, minInstancesPerNode=5, maxDepth=30, seed=42)
     if kind == "ols":
         return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")
     raise ValueError(f"unknown forecaster {kind!r}")
