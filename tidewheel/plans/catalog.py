@@ -518,10 +518,10 @@ def paired_summary(spark, sf_dir):
 
 
 def forecast_long(spark, sf_dir) -> DataFrame:
-    """A row for each bucket and forecast with shortage and unused capacity under the always-on reserve."""
+    """A row for each bucket and forecast with shortage, unused and provisioned capacity and absolute control error under the always-on reserve."""
     long = control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 1.10, adaptive=False)
     gap = F.col("actual_workload") - F.col("capacity")
-    return long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"))
+    return long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"), F.col("capacity").alias("provisioned"), F.abs(gap).alias("absolute_error"))
 
 
 PAIRS_SQL = f"""{forecast_sql("1", 1.10).rsplit(', ls AS', 1)[0]},
@@ -541,6 +541,13 @@ def paired_policy_statistics(spark, sf_dir):
     return inference.paired_statistics(inference.paired_differences(forecast_long(spark, sf_dir), "bucket", "policy", ["shortage", "unused"]))
 
 
+@query()
+def paired_policy_tests(spark, sf_dir):
+    """All four metrics with p-values, bootstrap intervals and Holm's adjustment; what SQL can state of them is in paired_policy_statistics."""
+    pairs = inference.paired_differences(forecast_long(spark, sf_dir), "bucket", "policy", ["shortage", "unused", "provisioned", "absolute_error"])
+    return inference.paired_tests(settled(pairs, "policy-pairs"))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS incomplete_keys")
 def pairing_contract(spark, sf_dir):
     return inference.pairing_violations(forecast_long(spark, sf_dir), "bucket", "policy")
