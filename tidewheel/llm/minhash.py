@@ -12,12 +12,15 @@ probability that is exactly their weighted Jaccard similarity. Points are made
 up to a time by which all registers are likely filled, whatever the text's
 length; texts with a register left get more time.
 
-Candidates share a band of registers. Within a bucket members are compared with
-a hub, not with one another: hubs join what they match, and only members whose
-components still differ go on, with other hubs and more of them in each round,
-until no bucket holds two components with an untested pair. How many shingles a
-text shares with no other candidate bounds its similarity to all; pairs beyond
-the bound are never made. Links are verified on the whole multisets.
+Candidates share a band of registers. A first pass compares each text with one
+other only: of the most central members of its buckets, the one that leads most
+of them. That completes most classes. Buckets that still hold several components
+go on to a second pass, which tests every pair that can be linked: a bag's
+shingles are put into one global order, rare ones first, and two bags of
+similarity 0.8 meet in the first fifth of both, early enough for what follows to
+make up the similarity. So members of a large group that differ from it by edits
+of their own meet nobody, and no pair within a component is made. Links are
+verified on the whole multisets.
 """
 
 from __future__ import annotations
@@ -25,24 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components, roots
-from tidewheel.llm.support import col, documents, maybe_among, slices, stored, stored_with, text_buffers
+from tidewheel.llm.support import col, documents, list_array, maybe_among, slices, stored, stored_with, text_buffers
 from tidewheel.llm.words import find, grams, mix, prefix_hash, range_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 7
-#: Pairs whose signatures agree in a smaller share of registers are not read; a pair of
-#: similarity 0.8 agrees in 0.8 on average with a deviation of 0.027, so this is over nine of them.
-LEAST_AGREEMENT = 0.55
 #: Seconds of the Poisson processes in units of the text's weight, beyond ln(registers).
 SLACK = 3.5
-#: Hubs of a bucket in the first round after that with a single one, and how many times more each round has.
-HUBS, MORE_HUBS = 4, 8
 _SHORT_BASE = 0xA24BAED4963EE407 | 1
 
 
@@ -135,7 +133,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row (unique number), doc_id, f1 and f2 (fingerprint of the multiset), n (shingles), agree (a byte of each register), bands."""
+    """row (unique number), doc_id, f1 and f2 (fingerprint of the multiset), n (shingles), bands."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
@@ -148,81 +146,73 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: in
                 np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
                 prints.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
             signature = bag_min_hash(*counted(of, h), n, bands * rows)
-            agree = (mix(signature.view(np.uint32).astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
             hashes = band_hashes(signature, bands)
-            arrays = [pa.array(task + number + np.arange(n)), col(part, "doc_id"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(first)), pa.array([x.tobytes() for x in agree], pa.binary()), pa.array(list(hashes), pa.list_(pa.int64()))]
+            arrays = [pa.array(task + number + np.arange(n)), col(part, "doc_id"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(first)), list_array(hashes.ravel(), np.full(n, bands), pa.int64())]
             number += n
-            yield pa.record_batch(arrays, names=["row", "doc_id", "f1", "f2", "n", "agree", "bands"])
+            yield pa.record_batch(arrays, names=["row", "doc_id", "f1", "f2", "n", "bands"])
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "row long, doc_id long, f1 long, f2 long, n long, agree binary, bands array<long>")
+    return own.mapInArrow(run, "row long, doc_id long, f1 long, f2 long, n long, bands array<long>")
 
 
-def _bags(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted hashes of its shingles, repeated ones told apart by their number."""
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    of, h, first = shingles(np.frombuffer(b"".join(raw), np.uint8), offsets)
+def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's shingles, repeated ones told apart by their number, and each text's first one (one more at the end)."""
+    of, h, first = shingles(data, offsets)
+    if not len(h):
+        return h, first
     order = np.lexsort((h, of))
     h = h[order]
-    begin = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    h = mix(h + (np.arange(len(h)) - head).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return [np.sort(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-
+    begin = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+    head = np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
+    return mix(h + (np.arange(len(h)) - head).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), first
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two results of ``_bags``."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(a) + len(b) - common)
 
+def _linked(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that share a band and whose whole multisets are similar enough; their other columns stay."""
+    x = held.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("bag").alias("_bag"), F.col("bands").alias("_bands"))
+    y = held.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("bag").alias("_gab"), F.col("bands").alias("_sdnab"))
+    both = pairs.join(x, "a").join(y, "b").where(_sizes_fit(F.col("_n"), F.col("_m"), threshold) & F.arrays_overlap("_bands", "_sdnab"))
+    common = F.size(F.array_intersect("_bag", "_gab"))
+    return both.where(common / (F.col("_n") + F.col("_m") - common) >= threshold).select(*pairs.columns)
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, p, q) whose whole multisets are similar enough, by way of their signatures."""
-
-    def run(batches):
-        for part in slices(batches, "y"):
-            x, y = (np.frombuffer(b"".join(col(part, c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sx", "sy"))
-            part = part.filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
-            held: dict[int, np.ndarray] = {}
-            for name, body in (("a", "x"), ("b", "y")):
-                new = {k: t for k, t in zip(col(part, name).to_pylist(), col(part, body).to_pylist(), strict=True) if k not in held}
-                held |= dict(zip(new, _bags(list(new.values())), strict=True))
-            keep = [similarity(held[a], held[b]) >= threshold for a, b in zip(col(part, "a").to_pylist(), col(part, "b").to_pylist(), strict=True)]
-            yield part.select(["a", "b", "p", "q"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"), F.col("agree").alias("sx"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"), F.col("agree").alias("sy"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "p", "q", "x", "y", "sx", "sy").mapInArrow(run, "a long, b long, p long, q long")
+def _sizes_fit(n: Column, m: Column, threshold: float) -> Column:
+    """Whether multisets of ``n`` and ``m`` elements can be as similar as the threshold."""
+    return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6
 
 
-def _may_link(n, most, other_n, other_most, threshold: float):
-    """Whether two nodes can be as similar as the threshold: what they may share bounds it from above."""
-    return F.least(most, other_most) * (1 + threshold) >= threshold * (F.col(n) + F.col(other_n)) - 1e-6
+def _leaders(members: DataFrame) -> DataFrame:
+    """(a, b): each node and the member that leads most of its buckets; leaders share the most buckets with others."""
+    heads = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("rank"))).alias("h"))
+    votes = members.join(heads, "bucket").where(F.col("node") != -F.col("h.rank")).groupBy("node", "h").agg(F.count("*").alias("votes"))
+    return votes.groupBy("node").agg(F.max(F.struct("votes", "h")).alias("v")).select(F.col("node").alias("a"), (-F.col("v.h.rank")).alias("b"))
 
 
-def _reach(texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, most, apart) of the nodes that can have a link.
+def _pairs(open_nodes: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, p, q): all pairs of nodes of different labels p and q that can be similar enough, and some others.
 
-    ``most`` is how many of a node's ``n`` shingles any other candidate has,
-    ``apart`` the share of the others. A node of which more than the threshold
-    allows is its own cannot be linked; it is left out without a comparison.
+    The shingles of a bag are ordered by how many bags have them. Two bags of n
+    and m elements whose first common element has i and j others before it have
+    min(n - i, m - j) elements in common at most. Elements of a single bag come
+    first and need no row. For each element one label holds most bags; a pair
+    is made from the bag of another label.
     """
-
-    def run(batches):
-        for part in slices(batches):
-            bags = _bags(col(part, "text").to_pylist())
-            nodes = np.repeat(np.asarray(col(part, "node")), [len(b) for b in bags])
-            yield pa.record_batch([pa.array(np.concatenate(bags).view(np.int64) if bags else np.zeros(0, np.int64)), pa.array(nodes)], names=["h", "node"])
-
-    owners = texts.select("node", "text").mapInArrow(run, "h long, node long").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-    own = owners.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    known = texts.select("node", "n").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-    return known.where(F.col("most") >= threshold * F.col("n") - 1e-6).withColumn("apart", 1 - F.col("most") / F.col("n"))
+    own = stored(held.join(open_nodes, "node").select("node", "n", "label", "bag"), "minhash-own")
+    elements = own.select("node", F.explode("bag").alias("e"))
+    known = elements.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    shared = elements.join(known, "e").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("order"))
+    before = F.col("n") - F.size("order")
+    reach = F.floor((1 - threshold) * F.col("n") + 1e-6).cast("int") + 1 - before.cast("int")
+    first = own.select("node", "n", "label").join(shared, "node").select("node", "n", "label", before.alias("before"), "order", reach.alias("reach")).where("reach > 0")
+    first = first.select("node", "n", "label", "before", F.posexplode(F.slice("order", F.lit(1), F.col("reach"))).alias("i", "o"))
+    first = stored(first.select("node", "n", "label", (F.col("before") + F.col("i")).alias("i"), F.col("o.e").alias("e")), "minhash-first")
+    most = first.groupBy("e", "label").agg(F.count("*").alias("c")).groupBy("e").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("top.label").alias("top"))
+    marked = stored(first.join(most, "e").withColumn("minor", F.col("label") != F.col("top")).drop("top"), "minhash-marked")
+    x = marked.where("minor").select("e", F.col("node").alias("a"), F.col("label").alias("p"), F.col("n").alias("an"), F.col("i").alias("ai"))
+    y = marked.select("e", F.col("node").alias("b"), F.col("label").alias("q"), F.col("n").alias("bn"), F.col("i").alias("bi"), "minor")
+    once = ~F.col("minor") | (F.col("a") < F.col("b"))
+    enough = F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) * (1 + threshold) >= threshold * (F.col("an") + F.col("bn")) - 1e-6
+    return x.join(y, "e").where((F.col("p") != F.col("q")) & once & enough).select("a", "b", "p", "q").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -238,46 +228,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     """
     profile = stored(profiles(docs, text, key, bands, rows), "minhash-profiles")
     equal = stored(profile.groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minhash-equal")
-    nodes = stored(profile.join(equal.select(F.col("node").alias("row"), F.col("least")), "row").where("n > 0").select(F.col("row").alias("node"), "doc_id", "f1", "f2", "n", "agree", "bands"), "minhash-nodes")
+    nodes = stored(profile.join(equal.select(F.col("node").alias("row")), "row").where("n > 0").select(F.col("row").alias("node"), "doc_id", "f1", "f2", "n", "bands"), "minhash-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    members = stored(buckets.join(shared, "bucket"), "minhash-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2", "n", "agree"), "node")
-    texts = stored(_texts_of(docs, wanted, text, key), "minhash-texts")
-    reach = stored(_reach(texts, threshold), "minhash-reach")
-    members = members.join(reach, "node")
-
-    # first each node with the first of its hubs: most classes are complete after this
-    heads = members.groupBy("bucket").agg(F.min(F.struct("apart", "node", "n", "most")).alias("h"))
-    first = members.join(heads, "bucket").where((F.col("node") != F.col("h.node")) & _may_link("n", "most", "h.n", "h.most", threshold))
-    first = first.groupBy("node").agg(F.min("h").alias("h")).select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("node").alias("p"), F.col("h.node").alias("q"))
-    first = stored(first, "minhash-pairs")
-    labels = stored(roots(stored(_verified(first, texts, threshold), "minhash-links")), "minhash-labels")
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hubs_at_once, tested = HUBS, first.select("a", "b")
-    while True:
-        # buckets with members of several components
-        labelled = stored(labelled, "minhash-labelled")
-        several = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        members, seen = stored_with(labelled.join(several, "bucket"), "minhash-open", n=F.count("*"))
-        if not seen["n"]:
-            break
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("apart", "node"))
-        chosen = members.withColumn("turn", turn).where(F.col("turn") <= hubs_at_once)
-        hubs = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("most").alias("hub_most"), F.col("apart").alias("hub_apart")), "minhash-hubs")
-        later = F.struct("apart", "node") > F.struct(F.col("hub_apart"), F.col("hub"))
-        pairs = members.join(hubs, "bucket").where((F.col("label") != F.col("hub_label")) & later & _may_link("n", "most", "hub_n", "hub_most", threshold)).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("label").alias("p"), F.col("hub_label").alias("q")).distinct()
-        # a pair may share several buckets
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        tested = tested.unionByName(pairs.select("a", "b"))
-        merged = stored(components(stored(_verified(pairs, texts, threshold), "minhash-links"), "p", "q"), "minhash-merged").select(F.col("node").alias("label"), F.col("label").alias("now"))
-        # what was a hub has been compared with its whole bucket
-        rest = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        labelled = rest.join(merged, "label", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
-        moved = labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-        alone = merged.select(F.col("label").alias("node"), F.col("now").alias("label")).join(labels.select("node"), "node", "left_anti")
-        labels = stored(moved.unionByName(alone), "minhash-labels")
-        hubs_at_once *= MORE_HUBS
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = stored(buckets.join(shared, "bucket"), "minhash-buckets")
+    members = stored(members.drop("c").join(members.groupBy("node").agg(F.sum("c").alias("weight")), "node"), "minhash-members")
+    wanted = members.select("node").distinct().join(nodes, "node")
+    held = stored(_bags_of(docs, wanted, text, key), "minhash-bags")
+
+    first = stored(_leaders(members), "minhash-pairs")
+    labels = stored(roots(stored(_linked(first, held, threshold), "minhash-links")), "minhash-labels")
+    # buckets with members of several components
+    labelled = members.select("node", "bucket").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+    open_nodes = stored(labelled.join(several, "bucket").select("node", "label").distinct(), "minhash-open")
+    pairs = stored(_pairs(open_nodes, held, threshold), "minhash-pairs")
+    merged = stored(components(stored(_linked(pairs, held, threshold), "minhash-links"), "p", "q"), "minhash-merged").select(F.col("node").alias("label"), F.col("label").alias("now"))
+    moved = labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    alone = merged.select(F.col("label").alias("node"), F.col("now").alias("label")).join(labels.select("node"), "node", "left_anti")
+    labels = stored(moved.unionByName(alone), "minhash-labels")
     classes = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("least").alias("class_id"))
     of_node = stored(classes.select("f1", "f2", "n", "label").join(least, "label").select("f1", "f2", "n", "class_id"), "minhash-classes")
@@ -285,26 +254,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, text, n, agree) of the wanted rows (node, doc_id, f1, f2, n, agree)."""
+def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, n, bands, bag) of the wanted rows (node, doc_id, f1, f2, n, bands)."""
 
     def run(batches):
         for part in slices(batches):
-            _, h, first = shingles(*text_buffers(col(part, "text")))
+            data, offsets = text_buffers(col(part, "text"))
+            _, h, first = shingles(data, offsets)
             keep = np.ones(part.num_rows, bool)
             for salt, name in ((0x1234567, "f1"), (0x89ABCDEF, "f2")):
                 total = np.zeros(len(h) + 1, np.uint64)
                 np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
                 keep &= (total[first[1:]] - total[first[:-1]]).view(np.int64) == np.asarray(col(part, name))
-            yield part.select(["node", "text", "n", "agree"]).filter(pa.array(keep))
+            bag, first = bags(data, offsets)
+            held = list_array(bag.view(np.int64), np.diff(first), pa.int64())
+            yield pa.record_batch([col(part, "node"), col(part, "n"), col(part, "bands"), held], names=["node", "n", "bands", "bag"]).filter(pa.array(keep))
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     among = maybe_among(wanted, "doc_id")
     if among is not None:
         own = own.where(among(F.col("doc_id")))
     # a null id matches a null id; several rows of one id are told apart by their fingerprints
-    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "n", "agree", "f1", "f2")
-    return found.mapInArrow(run, "node long, text string, n long, agree binary").dropDuplicates(["node"])
+    found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "n", "f1", "f2", "bands")
+    return found.mapInArrow(run, "node long, n long, bands array<long>, bag array<long>").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
