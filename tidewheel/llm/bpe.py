@@ -3,23 +3,29 @@
 A byte-level BPE vocabulary never merges across the pieces of its split
 pattern, and that pattern ends a piece before each space that is not followed
 by more white space. So the ids of a text are the ids of its stretches between
-spaces, in order. Each worker keeps the ids of up to ``CACHE_STRETCHES`` of them
-and lets the library encode only others, many of them joined to one text; the
-bytes of the ids tell where each ends.
+spaces, in order. Each worker keeps the ids of up to ``CACHE_STRETCHES`` of them,
+those used last, and lets the library encode only others, many of them joined to
+one text; the bytes of the ids tell where each ends. Literals of added tokens in
+a text are ordinary text, or, with ``added``, get their own id as the library
+does by default; such texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches that a worker remembers: the first it meets, among them the frequent ones.
-CACHE_STRETCHES = 800_000
+from tidewheel.llm.memory import Memory
+
+#: Stretches that a worker remembers, and their characters and ids together.
+CACHE_STRETCHES = 500_000
+CACHE_SIGNS = 12_000_000
 #: New stretches that the library gets as one text.
 JOINED = 500
 END = 0
@@ -28,35 +34,27 @@ _SPACE = r"[\s\v\x{85}\p{Z}\x{1c}-\x{1f}]"
 _UNSAFE = rf"{_SPACE} ({_SPACE}|\z)"
 
 
-class _Codes(dict):
-    """Numbers of pieces in the order they were met."""
-
-    def __missing__(self, piece):
-        code = self[piece] = len(self)
-        return code
-
-
 class Encoder:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        # strings of special tokens in a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
         # a byte-level vocabulary writes each byte as one character
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
-        self.codes = _Codes()
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.lengths = np.zeros(1 << 18, np.int32)
-        self.known = self.used = 0
+        self.tokenizer.encode_special_tokens = not added
+        literals = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        if any(" " in t for t in literals):
+            raise ValueError("an added token has a space")
+        #: texts that are encoded whole: cuts at their spaces could change the ids, or they hold an added token
+        self.whole = "|".join([_UNSAFE, *map(re.escape, literals)])
+        self.memory = Memory(CACHE_STRETCHES, CACHE_SIGNS)
 
     def _learn(self, stretches: list):
-        """Encode stretches and append their ids to the store, in order of their numbers.
+        """Encode stretches and give their ids to the memory, in order of their numbers.
 
         Those that begin with white space, or have no space before them, are
         encoded on their own: joined to others they could be cut differently.
@@ -81,63 +79,42 @@ class Encoder:
             order = np.empty(len(stretches), np.int64)
             order[np.concatenate([np.array(list(joined), np.int64), np.array(alone, np.int64)])] = np.arange(len(stretches))
             bound, lengths = bound[order], lengths[order]
-        starts = self.used + bound - lengths
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(stretches) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = slice(self.known, self.known + len(stretches))
-        self.lengths[at], self.starts[at] = lengths, starts
-        self.used += len(flat)
-        self.known += len(stretches)
+        self.memory.learn(stretches, flat, bound, lengths)
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each ended by id 0, and the count of each (with the end). Null is empty."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        remembered = self.known, self.used
-        whole = pc.match_substring_regex(texts, _UNSAFE)
+        memory = self.memory
+        whole = pc.match_substring_regex(texts, self.whole)
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         counts = np.asarray(lists.value_lengths()).astype(np.int64)
         distinct = lists.flatten().dictionary_encode()
-        code = np.fromiter(map(self.codes.__getitem__, distinct.dictionary.to_pylist()), np.int64)
+        code = np.fromiter(map(memory.codes.__getitem__, distinct.dictionary.to_pylist()), np.int64)
         codes = code[np.asarray(distinct.indices)]
         # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under (text,)
         head = np.cumsum(counts) - counts
         first = pc.if_else(whole, texts, lists.flatten().take(pa.array(head))).to_pylist()
-        codes[head] = [self.codes[(t,)] for t in first]
-        if len(self.codes) > self.known:
-            self._learn(list(islice(self.codes, self.known, None)))
-        lengths = self.lengths[codes].astype(np.int64)
-        starts = self.starts[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+        codes[head] = [memory.codes[(t,)] for t in first]
+        if unknown := memory.unknown():
+            self._learn(unknown)
+        flat, ends = memory.ids_of(codes)
         text_end = np.concatenate([[0], ends])[np.cumsum(counts)]
         sizes = np.diff(np.concatenate([[0], text_end])) + 1
         out = np.insert(flat, text_end, END)
-        self._trim(remembered)
+        memory.trim()
         return out, sizes
 
-    def _trim(self, before: tuple[int, int]):
-        """Forget what the last call has added if the memory is full."""
-        if self.known > CACHE_STRETCHES:
-            self.known, self.used = before
-            while len(self.codes) > self.known:
-                self.codes.popitem()
-
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """This process's encoder; its memory of pieces lasts over batches and tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str | None = None, added: bool = False) -> Encoder:
+    """This process's encoder; its memory of stretches lasts over batches and tasks."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -111,16 +111,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of the token ids of each whole text (null: empty), ended by id 0.
 
     Documents longer than ``capacity`` are cut so that all pieces but the first
-    are full. ``ids`` adds the ids themselves.
+    are full. ``ids`` adds the ids themselves. With ``added`` a literal of an
+    added token gets that token's id, as in the library by default; else it is
+    ordinary text.
     """
 
     def run(batches):
         for part in slices(batches):
-            flat, sizes = encoder(tokenizer).encode(col(part, "text"))
+            flat, sizes = encoder(tokenizer, added).encode(col(part, "text"))
             pieces = -(-sizes // capacity)
             of = np.repeat(np.arange(len(sizes)), pieces)
             number = np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of]
@@ -192,14 +194,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 
-def best_fit_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
+def best_fit_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False, added: bool = False) -> DataFrame:
     """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of one token. Null and repeated keys are
     separate documents. Other columns of ``docs`` are ignored. An empty table
     gives no rows.
     """
-    return pack(stored(cut(docs, text, key, capacity, tokenizer, ids), "packing-pieces"), capacity)
+    return pack(stored(cut(docs, text, key, capacity, tokenizer, ids, added), "packing-pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -209,4 +211,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return best_fit_pack(documents(spark, sf_dir))
+    """Where each piece of each of ``documents`` goes, ids as the library gives them by default."""
+    return best_fit_pack(documents(spark, sf_dir), added=True)

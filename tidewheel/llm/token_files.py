@@ -24,11 +24,12 @@ PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
 
 
-def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
+def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS, added: bool = False) -> None:
     """Encode each whole text, end it with id 0 and write the token files.
 
     ``encoding`` is ``dictionary`` (small vocabularies of ids) or ``delta``
-    (DELTA_BINARY_PACKED pages). Null texts are empty: their one id is 0. Rows
+    (DELTA_BINARY_PACKED pages). With ``added`` a literal of an added token gets
+    that token's id, as in the library by default; else it is ordinary text. Null texts are empty: their one id is 0. Rows
     with a null key come first; rows that repeat a key are ordered by text.
     Other columns of ``docs`` are ignored. An empty table gives no rows.
     """
@@ -38,7 +39,7 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
     def run(batches):
         shard, at = TaskContext.get().partitionId(), 0
         for part in slices(batches):
-            ids, sizes = encoder(tokenizer).encode(col(part, "text"))
+            ids, sizes = encoder(tokenizer, added).encode(col(part, "text"))
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
             yield pa.record_batch([col(part, "doc_id"), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(starts), pa.array(sizes), list_array(ids, sizes, pa.int32())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
@@ -86,8 +87,9 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
+    """Place and digest of each document's ids, from files of all of ``documents`` that were written and read back."""
     path = fresh_path(spark, "token-files")
-    write_token_files(documents(spark, sf_dir), path)
+    write_token_files(documents(spark, sf_dir), path, added=True)
     read = token_digests(read_tokens(spark, path))
     totals = read_metadata(spark, path).groupBy("shard").agg(F.min(F.col("start") - F.col("shard_start")).alias("before"))
     return read.join(totals, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
