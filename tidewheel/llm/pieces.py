@@ -18,7 +18,8 @@ score is the logarithm of 1 / (1 + rank). Scores are rounded to multiples of
 2**-20, so sums are exact. Of equal sums the segmentation with the longest last
 piece wins, at every step backwards. A sign
 without a piece becomes its UTF-8 bytes' pieces; so does U+2581 itself, the
-mark for spaces, which makes decoding lossless.
+mark for spaces, which makes decoding lossless. A worker holds one vocabulary
+and encodes, decodes and digests a slice of texts before it takes the next.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.memory import Memory
 from tidewheel.llm.support import col, documents, list_array, slices
 from tidewheel.llm.words import mix, prefix_hash, range_hash
 
@@ -40,12 +42,16 @@ MARK = 0x2581
 #: Documents of more characters are solved by the parallel scan.
 GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 128
-#: Lanes that are solved in step.
+#: Lanes that are solved in step, and chunks whose arcs are held at once.
 LANES = 4096
-#: Stretches that a worker remembers: the first it meets, among them the frequent ones.
-CACHE_STRETCHES = 400_000
-#: Ids that are decoded at once.
-DECODE_IDS = 500_000
+BLOCK_CHUNKS = 512
+#: Stretches that a worker remembers, and their characters and ids together.
+CACHE_STRETCHES = 300_000
+CACHE_SIGNS = 6_000_000
+#: Stretches that are solved at once, ids that are decoded at once, text bytes that are taken at once.
+LEARN_STRETCHES = 8_000
+DECODE_IDS = 200_000
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUNS = re.compile(" +[^ ]*").findall
 
@@ -185,39 +191,57 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(vocabulary: Vocabulary, points: np.ndarray, base: np.ndarray, chunk: int):
+    """For each block of chunks: its first and last chunk, where its points begin, and their scores.
+
+    A block's points reach back one piece, for those that cross into its first
+    chunk, and as far on as pieces that begin in its last chunk.
+    """
+    k = vocabulary.longest
+    for a in range(0, len(base), BLOCK_CHUNKS):
+        b = min(a + BLOCK_CHUNKS, len(base))
+        low = max(0, int(base[a]) - k)
+        _, scores = vocabulary.arcs(points[low : base[b - 1] + chunk + k])
+        yield a, b, low, scores
+
+
 def solve_giant(vocabulary: Vocabulary, points: np.ndarray, chunk: int = CHUNK_CHARS) -> np.ndarray:
     """Lengths of the pieces of the best segmentation of one long text, by the parallel scan."""
     n, k = len(points), vocabulary.longest
     if n <= k or chunk < k:
         return solve_small(vocabulary, points, np.array([0]), np.array([n]))
-    _, scores = vocabulary.arcs(points)
     base = np.arange(0, n, chunk)
     many = len(base)
     # entry states: how far a piece that crosses into the chunk can reach
     possible = np.zeros((many, k), bool)
     possible[:, 0] = True
-    for size in range(2, k + 1):
-        for i in range(1, size):
-            at = base[1:] + i - size
-            possible[1:, i] |= scores[size - 1, at] > -np.inf
-    chunk_of, state_of = np.nonzero(possible)
     matrices = np.full((many, k, k), -np.inf)
-    for a in range(0, len(chunk_of), LANES):
-        c, i = chunk_of[a : a + LANES], state_of[a : a + LANES]
-        best = np.full((len(c), k + chunk + k), -np.inf)
-        best[np.arange(len(c)), k + i] = 0.0
-        _forward(scores, base[c], chunk, best, k)
-        # a piece from before the chunk can't reach its end, as chunks are no shorter than pieces
-        matrices[c, i] = best[:, k + chunk : k + chunk + k]
+    blocks = _blocks(vocabulary, points, base, chunk)
+    if many <= BLOCK_CHUNKS:
+        blocks = list(blocks)
+    for first, end, low, scores in blocks:
+        inner = np.arange(max(first, 1), end)
+        for size in range(2, k + 1):
+            for i in range(1, size):
+                possible[inner, i] |= scores[size - 1, base[inner] + i - size - low] > -np.inf
+        chunk_of, state_of = np.nonzero(possible[first:end])
+        chunk_of += first
+        for a in range(0, len(chunk_of), LANES):
+            c, i = chunk_of[a : a + LANES], state_of[a : a + LANES]
+            best = np.full((len(c), k + chunk + k), -np.inf)
+            best[np.arange(len(c)), k + i] = 0.0
+            _forward(scores, base[c] - low, chunk, best, k)
+            # a piece from before the chunk can't reach its end, as chunks are no shorter than pieces
+            matrices[c, i] = best[:, k + chunk : k + chunk + k]
     reached = scan(matrices)[:, 0]
     entry = np.full((many, k), -np.inf)
     entry[0, 0] = 0.0
     entry[1:] = reached[:-1]
     last = np.zeros((many, chunk + k), np.int8)
-    for a in range(0, many, LANES):
-        best = np.full((len(base[a : a + LANES]), k + chunk + k), -np.inf)
-        best[:, k : 2 * k] = entry[a : a + LANES]
-        last[a : a + LANES] = _forward(scores, base[a : a + LANES], chunk, best, k)
+    for first, end, low, scores in blocks if many <= BLOCK_CHUNKS else _blocks(vocabulary, points, base, chunk):
+        best = np.full((end - first, k + chunk + k), -np.inf)
+        best[:, k : 2 * k] = entry[first:end]
+        last[first:end] = _forward(scores, base[first:end] - low, chunk, best, k)
     # trace each chunk back from each of its exit states, all in step
     place = np.full((many, k), -1)
     place[:-1][possible[1:]] = np.broadcast_to(chunk + np.arange(k), (many - 1, k))[possible[1:]]
@@ -271,9 +295,7 @@ class Codec:
 
     def __init__(self, path: str | None = None, giant: int = GIANT_CHARS):
         self.vocabulary, self.giant = Vocabulary(path), giant
-        self.codes: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.known = self.used = 0
+        self.memory = Memory(CACHE_STRETCHES, CACHE_SIGNS)
 
     def _ids(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that lie one after another, and how many each gave (several for bytes)."""
@@ -304,37 +326,21 @@ class Codec:
         total = np.concatenate([[0], np.cumsum(many)])
         bound = total[np.searchsorted(np.cumsum(sizes), end) + 1]
         lengths = np.diff(np.concatenate([[0], bound]))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(stretches) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        at = slice(self.known, self.known + len(stretches))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[at], self.lengths[at] = self.used + bound - lengths, lengths
-        self.used += len(ids)
-        self.known += len(stretches)
+        self.memory.learn(stretches, ids, bound, lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the count of each. The empty text has none."""
-        before = self.known, self.used
+        memory = self.memory
         found = [[] if not t or len(t) > self.giant else _RUNS(" " + t) if "  " in t or t[0] == " " else t.split(" ") for t in texts]
-        codes, keys = self.codes, []
         for i, f in enumerate(found):
             if f and ("  " in texts[i] or texts[i][0] == " "):
                 found[i] = f = [s[1:] for s in f]
-        for s in chain.from_iterable(found):
-            if s not in codes:
-                codes[s] = len(codes)
-        if len(codes) > self.known:
-            keys = list(islice(codes, self.known, None))
-            for a in range(0, len(keys), 20_000):
-                self._learn(keys[a : a + 20_000])
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
-        lengths = self.lengths[code]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[code] - (ends - lengths), lengths) + np.arange(total)]
+        code = np.fromiter(map(memory.codes.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        unknown = memory.unknown()
+        for a in range(0, len(unknown), LEARN_STRETCHES):
+            self._learn(unknown[a : a + LEARN_STRETCHES])
+        flat, ends = memory.ids_of(code)
         text_end = np.concatenate([[0], ends])[np.cumsum(counts)]
         sizes = np.diff(np.concatenate([[0], text_end]))
         giants = [i for i, t in enumerate(texts) if len(t) > self.giant]
@@ -345,11 +351,7 @@ class Codec:
                 parts[i], _ = self._ids(points, solve_giant(self.vocabulary, points))
                 sizes[i] = len(parts[i])
             flat = np.concatenate(parts)
-        if self.known > CACHE_STRETCHES:
-            # the memory was full: what this call has added goes
-            self.known, self.used = before
-            while len(codes) > self.known:
-                codes.popitem()
+        memory.trim()
         return flat, sizes
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -372,8 +374,8 @@ class Codec:
         return [data[a + 1 : b] if data[a : a + 1] == b" " else data[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
 
-#: Stands for a U+2581 of the text itself; no piece has it.
-ESCAPE = 0x10FFFF
+#: Stands for a U+2581 of the text itself; it is beyond all code points, so no text or piece has it.
+ESCAPE = 0x110000
 
 
 def to_points(text: str) -> np.ndarray:
@@ -393,47 +395,65 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[path]
 
 
+def _encoded(batches, path: str | None):
+    """doc_id column, ids and their count for each text, slice by slice."""
+    for part in slices(batches, limit=SLICE_BYTES):
+        ids, sizes = codec(path).encode([t or "" for t in col(part, "text").to_pylist()])
+        yield col(part, "doc_id"), ids, sizes
+
+
 def encode_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """key and ids (array of int) of each whole text. Null and empty texts have no ids.
+    """doc_id (from ``key``, of any type) and ids (array of int) of each whole text. Null and empty texts have no ids.
 
     Repeated rows are encoded alike, null keys are kept, other columns are
-    ignored. An empty table gives an empty result.
+    ignored, whatever their names. An empty table gives an empty result.
     """
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        for part in slices(batches, limit=1 << 20):
-            ids, sizes = codec(path).encode([t or "" for t in col(part, "text").to_pylist()])
-            yield pa.record_batch([col(part, "doc_id"), list_array(ids, sizes, pa.int32())], names=["doc_id", "ids"])
+        for keys, ids, sizes in _encoded(batches, path):
+            yield pa.record_batch([keys, list_array(ids, sizes, pa.int32())], names=["doc_id", "ids"])
 
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode_pieces(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of ``tokens`` and the text of its ids."""
+def decode_pieces(tokens: DataFrame, path: str | None = None, name: str = "text") -> DataFrame:
+    """All columns of ``tokens`` and the text of its ids as column ``name``; a column of that name is replaced.
+
+    Null ids give the empty text. Repeated rows and null keys are kept. An
+    empty table gives an empty result.
+    """
+    kept = [c for c in tokens.columns if c != name]
 
     def run(batches):
         for batch in batches:
             ids = col(batch, "ids")
-            sizes = np.asarray(ids.value_lengths()).astype(np.int64)
+            sizes = np.asarray(ids.value_lengths().fill_null(0)).astype(np.int64)
             texts = codec(path).decode(np.asarray(ids.flatten()), sizes)
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, "text"])
+            yield pa.record_batch([*(col(batch, c) for c in kept), pa.array(texts, pa.binary()).cast(pa.string())], names=[*kept, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(run, f"{schema}, text string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*kept).schema)
+    return tokens.select(*kept).mapInArrow(run, f"{schema}, `{name}` string")
 
 
-def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each document and of the text that they decode to."""
-    decoded = decode_pieces(encode_pieces(documents(spark, sf_dir)))
+def piece_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 and decoded_sha256 (of the text that the ids decode to) of each whole text.
+
+    Encoding and decoding happen in one worker, so neither ids nor texts leave
+    it. Rows are treated as in :func:`encode_pieces`.
+    """
+    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
-            ids = col(batch, "ids")
-            sizes = np.asarray(ids.value_lengths()).astype(np.int64)
-            flat, ends = np.asarray(ids.flatten()), np.cumsum(sizes)
-            crc = [zlib.crc32(np.ascontiguousarray(flat[b - n : b], "<u4").tobytes()) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t in col(batch, "text").to_pylist()]
-            yield pa.record_batch([col(batch, "doc_id"), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(sha)], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+        for keys, ids, sizes in _encoded(batches, path):
+            ends = np.cumsum(sizes)
+            crc = [zlib.crc32(np.ascontiguousarray(ids[b - n : b], "<u4").tobytes()) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            sha = [hashlib.sha256(t).hexdigest() for t in codec(path).decode(ids, sizes)]
+            yield pa.record_batch([keys, pa.array(sizes), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string")
 
-    return decoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+
+def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Digests of the ids of each document and of the text that they decode to: :func:`piece_digests` over ``documents``."""
+    return piece_digests(documents(spark, sf_dir))
