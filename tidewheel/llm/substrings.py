@@ -2,30 +2,39 @@
 
 The suffixes are the word sequences that begin at each word. Only whether two
 of them share their first ``WINDOW`` words matters, so the trees are cut at that
-depth: a node there with two leaves or more is a repeat, and adjoining repeats
+depth: an internal node there has the leaves of a repeat, and adjoining repeats
 of a text make up its maximal ones.
 
 Suffixes are split by prefixes of 8 to 20 words: from the suffix's first word to
 the end of its anchor, the run of 8 words with the smallest hash among those
 that lie wholly in the first 20. The anchor depends on these 20 words alone, so
-suffixes that share them share the prefix. A prefix whose anchor occurs once
-has a tree of a single leaf, which isn't built. That leaves little but the
-repeated parts of the corpus.
-
-A node is addressed by the fingerprint of its path from the root. So a subtree
-is a set of keys that is dealt out evenly, however many suffixes one prefix has,
-and a node with a third of all leaves is reduced to its earliest leaf within
-each task before anything is shuffled. Texts that equal an earlier one word by
-word are resolved before, as they add no leaf that is earlier.
+suffixes that share them share the prefix. Prefixes that end in the same anchor
+make up a group, and suffixes of a group that follow one another in a text are
+sent as one segment. A group whose anchor occurs once has no internal node that
+deep and isn't built; an anchor that occurs more than ``GROUP`` times has its
+prefixes lengthened to all 20 words, so no group outgrows a task's memory.
+
+A group's suffixes are sorted; neighbours that have all their words in common
+are leaves of one deep node. Of its leaves the earliest stays, the others are
+repeats. As the earliest of the earliest is the earliest, a node with a third of
+all leaves is first settled within the slice of texts, then among some of the
+tasks, and only then as a whole. Words decide: suffixes are compared byte by
+byte, hashes only deal them out. Texts that equal an earlier one word by word
+are resolved before by 128 bits of their words, as they add no leaf that is earlier.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.support import col, documents, maybe_among, slices, stored, text_buffers
@@ -33,7 +42,11 @@ from tidewheel.llm.words import Words, find, grams, mix, prefix_hash, range_hash
 
 WINDOW = 20
 ANCHOR = 8
-_CHECK_BASE = 0xBF58476D1CE4E5B9 | 1
+#: Occurrences of an anchor beyond which its prefixes are lengthened.
+GROUP = 2000
+#: Segments that a task holds at once, and bytes of text whose suffixes it settles at once.
+HELD = 8000
+SLICE_BYTES = 1 << 20
 
 
 def windows(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,12 +65,6 @@ def windows(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[n
     return at, path, chosen, hashes
 
 
-def _second(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """Another 32 bits of each window's path fingerprint."""
-    prefix = prefix_hash(mix(words.hash), _CHECK_BASE)
-    return (mix(range_hash(prefix, at, at + window, _CHECK_BASE)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _identity(words: Words) -> list[np.ndarray]:
     """128 bits of each text's word sequence."""
     out = []
@@ -124,30 +131,108 @@ def _member(of: np.ndarray, values: np.ndarray, table_of: np.ndarray, table: np.
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row number and value of each entry of a list column; null lists are empty."""
     size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-    return np.repeat(np.arange(len(lists)), size), np.asarray(lists.flatten())
+    values = lists.flatten()
+    return np.repeat(np.arange(len(lists)), size), values if pa.types.is_struct(values.type) else np.asarray(values)
+
 
+def settle(segments: list[tuple], window: int) -> list[int]:
+    """For each segment (text, live, doc, row, at) the bits of its live suffixes that repeat an earlier one.
 
-def _leaves(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(path, check, row, doc_id) of the first suffix of each path of each candidate text."""
+    Bit ``j`` stands for the suffix at the segment's word ``j``, which is word
+    ``at + j`` of its row. Of a node's leaves those of the smallest doc stay
+    (None is larger than all), in each row the first.
+    """
+    suffixes = []
+    for i, (text, live, doc, row, at) in enumerate(segments):
+        words = text.split(b" ")
+        suffixes += [(b" ".join(words[j : j + window]), doc is None, doc or 0, row, at + j, i, j) for j in range(len(words) - window + 1) if live >> j & 1]
+    suffixes.sort()
+    gone = [0] * len(segments)
+    node = least = last = None
+    for path, unkeyed, doc, row, _, i, j in suffixes:
+        if path != node:
+            node, least, last = path, (unkeyed, doc), row
+            continue
+        if (unkeyed, doc) != least or row == last:
+            gone[i] |= 1 << j
+        last = row
+    return gone
+
+
+SEGMENT = "key long, hot boolean, task int, row long, doc_id long, at long, live int, gone int, text binary"
+_NAMES = ["key", "hot", "task", "row", "doc_id", "at", "live", "gone", "text"]
+_KINDS = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Segments as a batch; the text of one without live suffixes isn't needed any more."""
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
+    columns[8] = [t if n else None for t, n in zip(columns[8], columns[6], strict=True)]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+
+
+def _settled(rows: list[tuple], window: int) -> list[tuple]:
+    """Segments with what :func:`settle` finds moved from live to gone."""
+    found = settle([(r[8], r[6], r[4], r[3], r[5]) for r in rows], window)
+    return [(*r[:6], r[6] & ~g, r[7] | g, r[8]) for r, g in zip(rows, found, strict=True)]
+
+
+def _segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Segments of the suffixes of candidate texts that are in groups worth building, settled within each slice.
+
+    A segment's suffixes are consecutive and have the same anchor, whose hash
+    is the key. In a hot group each suffix is a segment; the key is that of all its words.
+    """
 
     def run(batches):
-        for part in slices(batches):
+        task = TaskContext.get().partitionId()
+        for part in slices(batches, limit=SLICE_BYTES):
             data, offsets = text_buffers(col(part, "text"))
             w = find(data, offsets)
             at, path, chosen, hashes = windows(w, window, anchor)
             where = np.unique(chosen)
-            table_of, table = _flat(col(part, "repeated"))
-            again = np.zeros(len(w.hash), bool)
-            again[where] = _member(w.text[where], hashes[where].view(np.int64), table_of, table)
-            at, path = at[again[chosen]], path[again[chosen]]
-            joint = mix(path + mix(w.text[at].astype(np.uint64) + np.uint64(1)))
-            _, first = np.unique(joint, return_index=True)
-            at, path = at[first], path[first]
-            rows, docs = np.asarray(col(part, "row")), col(part, "doc_id")
-            of = w.text[at]
-            yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(_second(w, at, window)), pa.array(rows[of]), docs.take(pa.array(of))], names=["path", "check", "row", "doc_id"])
-
-    return candidates.mapInArrow(run, "path long, check int, row long, doc_id long")
+            again, hot = np.zeros(len(w.hash), bool), np.zeros(len(w.hash), bool)
+            for flags, name in ((again, "repeated"), (hot, "hot")):
+                flags[where] = _member(w.text[where], hashes[where].view(np.int64), *_flat(col(part, name)))
+            mine = again[chosen]
+            at, path, chosen = at[mine], path[mine], chosen[mine]
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1) | hot[chosen[1:]]))
+            size = np.diff(np.append(begin, len(at)))
+            first = at[begin]
+            raw, of, warm = data.tobytes(), w.text[first], hot[chosen[begin]]
+            keys = np.where(warm, path[begin], hashes[chosen[begin]]).view(np.int64)
+            rows, docs = np.asarray(col(part, "row"))[of], col(part, "doc_id").take(pa.array(of)).to_pylist()
+            texts = [b" ".join(raw[a:b].split()) for a, b in zip(w.start[first].tolist(), w.end[first + size + window - 2].tolist(), strict=True)]
+            live = ((1 << size) - 1).tolist()
+            own = (first - w.first[of]).tolist()
+            yield _batch(_settled(list(zip(keys.tolist(), warm.tolist(), [task] * len(of), rows.tolist(), docs, own, live, [0] * len(of), texts, strict=True)), window))
+
+    return candidates.mapInArrow(run, SEGMENT)
+
+
+def _trees(segments: DataFrame, group: Column, window: int) -> DataFrame:
+    """Segments settled among those of equal ``group``; gone holds what was found here."""
+    shards = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = segments.withColumn("gone", F.lit(0)).withColumn("_group", group).repartition(shards, "_group").sortWithinPartitions("_group")
+
+    def parts(batches) -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(col(batch, c).to_pylist() for c in (*_NAMES, "_group")), strict=True)
+            if len(held) >= HELD:
+                cut = bisect_left(held, held[-1][9], key=itemgetter(9))
+                yield _settled([r[:9] for r in held[:cut]], window)
+                held = held[cut:]
+            if len(held) >= HELD:
+                # all of one group: what is settled already goes, the rest waits for more
+                done = [(*x, r[9]) for x, r in zip(_settled([r[:9] for r in held], window), held, strict=True)]
+                yield [r[:9] for r in done if not r[6]]
+                held = [r for r in done if r[6]]
+        yield _settled([r[:9] for r in held], window)
+
+    return dealt.mapInArrow(lambda batches: map(_batch, parts(batches)), SEGMENT)
 
 
 def _cut(candidates: DataFrame, window: int) -> DataFrame:
@@ -157,21 +242,18 @@ def _cut(candidates: DataFrame, window: int) -> DataFrame:
         for part in slices(batches):
             data, offsets = text_buffers(col(part, "text"))
             w = find(data, offsets)
-            at, path = grams(w, window)
-            of = w.text[at]
-            joint = mix(path + mix(of.astype(np.uint64) + np.uint64(1)))
-            _, first = np.unique(joint, return_index=True)
-            removed = np.ones(len(at), bool)
-            removed[first] = False
-            removed |= _member(of, path.view(np.int64), *_flat(col(part, "earlier")))
+            of, found = _flat(col(part, "gone"))
+            base, bits = w.first[of] + np.asarray(found.field("at")), np.asarray(found.field("gone"))
             cover = np.zeros(len(w.hash) + 1, np.int64)
-            np.add.at(cover, at[removed], 1)
-            np.add.at(cover, at[removed] + window, -1)
+            for j in range(window):
+                at = base[bits >> j & 1 == 1] + j
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
             counts = np.bincount(w.text[gone], minlength=part.num_rows)
             raw, texts, spans = data.tobytes(), [], []
             start, end = w.start.tolist(), w.end.tolist()
-            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+            for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
                 mine = gone[a:b]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
@@ -199,26 +281,29 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int
     keep = ["doc_id"] if keep is None else keep
     profile = stored(profiles(docs, keep, window, anchor, texts), "substring-profiles")
     # texts that equal an earlier one go as a whole
-    sequence = profile.groupBy("_t1", "_t2", "n_words").agg(F.min("doc_id").alias("_least"))
-    later = F.coalesce(F.col("_least") < F.col("doc_id"), F.col("_least").isNotNull() & F.col("doc_id").isNull()) & (F.col("n_words") >= window)
-    rows = stored(profile.select("_row", "doc_id", "_t1", "_t2", "n_words").join(sequence, ["_t1", "_t2", "n_words"]).select(F.col("_row").alias("row"), "doc_id", "_t1", "_t2", later.alias("copy")), "substring-rows")
+    sequence = stored(profile.groupBy("_t1", "_t2", "n_words").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_c")).where((F.col("_c") > 1) & (F.col("n_words") >= window)).drop("_c"), "substring-copies")
+    later = F.coalesce((F.col("_least") < F.col("doc_id")) | (F.col("_least").isNotNull() & F.col("doc_id").isNull()), F.lit(False))
+    rows = stored(profile.select("_row", "doc_id", "_t1", "_t2", "n_words").join(sequence, ["_t1", "_t2", "n_words"], "left").select(F.col("_row").alias("row"), "doc_id", "_t1", "_t2", later.alias("copy")), "substring-rows")
     # anchors of different texts, or twice in one
     anchors = profile.select("_row", "_t1", F.explode("_anchors").alias("a"))
     twice = profile.select("_t1", F.posexplode("_anchors").alias("p", "a"), "_anchors").select("a", (F.col("_t1") + F.when((F.col("p") > 0) & (F.get("_anchors", F.col("p") - 1) == F.col("a")), 1).otherwise(0)).alias("t"))
-    repeated = stored(twice.groupBy("a").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x != y").select("a"), "substring-anchors")
-    lists = anchors.join(repeated, "a").groupBy("_row").agg(F.collect_set("a").alias("repeated"))
-    chosen = stored(lists.withColumnRenamed("_row", "row").join(rows.where("NOT copy"), "row").select("row", F.col("doc_id").alias("own_id"), "_t1", "_t2", "repeated"), "substring-chosen")
+    repeated = stored(twice.groupBy("a").agg(F.min("t").alias("x"), F.max("t").alias("y"), (F.count("*") > GROUP).alias("hot")).where("x != y").select("a", "hot"), "substring-anchors")
+    lists = anchors.join(repeated, "a").groupBy("_row").agg(F.collect_set("a").alias("repeated"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hot"))
+    chosen = stored(lists.withColumnRenamed("_row", "row").join(rows.where("NOT copy"), "row").select("row", F.col("doc_id").alias("own_id"), "_t1", "_t2", "repeated", "hot"), "substring-chosen")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     among = maybe_among(chosen, "own_id")
     if among is not None:
         own = own.where(among(F.col("doc_id")))
-    found = own.join(chosen, own["doc_id"].eqNullSafe(chosen["own_id"])).select("row", "doc_id", "text", "repeated", "_t1", "_t2")
+    found = own.join(chosen, own["doc_id"].eqNullSafe(chosen["own_id"])).select("row", "doc_id", "text", "repeated", "hot", "_t1", "_t2")
     candidates = stored(_matching(found), "substring-candidates")
-    leaves = stored(_leaves(candidates, window, anchor), "substring-leaves")
-    # nodes with leaves of several texts, and the earliest of them
-    nodes = stored(leaves.groupBy("path", "check").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1 AND least IS NOT NULL").drop("c"), "substring-nodes")
-    earlier = leaves.join(nodes, ["path", "check"]).where("doc_id IS NULL OR least < doc_id").groupBy("row").agg(F.collect_list("path").alias("earlier"))
-    results = _cut(candidates.select("row", "text").join(earlier, "row", "left"), window)
+    segments = stored(_segments(candidates, window, anchor), "substring-segments")
+    # hot groups are settled among the segments of some tasks first
+    salt = F.pmod("task", F.lit(max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    hot = stored(_trees(segments.where("hot AND live != 0"), F.xxhash64("key", salt), window), "substring-hot")
+    settled = stored(_trees(segments.where("NOT hot AND live != 0").unionByName(hot.where("live != 0")), F.col("key"), window), "substring-settled")
+    found = segments.select("row", "at", "gone").unionByName(hot.select("row", "at", "gone")).unionByName(settled.select("row", "at", "gone")).where("gone != 0")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("at", "gone")).alias("gone"))
+    results = _cut(candidates.select("row", "text").join(found, "row"), window)
     if texts == "digest":
         results = results.withColumn("kept_text", F.sha2("kept_text", 256))
     results = stored(results.where("n_removed > 0"), "substring-results").withColumnsRenamed({"n_removed": "_n", "kept_text": "_kept", "row": "_row"})
@@ -242,10 +327,10 @@ def _matching(found: DataFrame) -> DataFrame:
         for part in slices(batches):
             t1, t2 = _identity(find(*text_buffers(col(part, "text"))))
             same = (t1 == np.asarray(col(part, "_t1"))) & (t2 == np.asarray(col(part, "_t2")))
-            kept = part.select(["row", "doc_id", "text", "repeated"])
+            kept = part.select(["row", "doc_id", "text", "repeated", "hot"])
             yield kept.filter(pa.array(same))
 
-    return found.mapInArrow(run, "row long, doc_id long, text string, repeated array<long>")
+    return found.mapInArrow(run, "row long, doc_id long, text string, repeated array<long>, hot array<long>")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
