@@ -46,7 +46,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in the training sequences."""
-    return packing.best_fit_pack(docs)
+    return packing.best_fit_pack(docs, added=True)
 
 
 STAGES = [
