@@ -438,3 +438,65 @@ def test_bundle_frames_are_plain_zstandard(spark):
         data = f.read()
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as z:
         assert z.read().count(b"WARC/1.1\r\n") == manifest.where(F.col("bundle") == path).count()
+
+
+def test_ids_are_the_unmodified_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*AWKWARD, (600, "a <|endoftext|> b"), (601, "<|endoftext|>"), (602, "x<|endoftext|><|endoftext|> y  z"), (603, "<|endoftext| >")]
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    token_files.write_token_files(table(spark, rows), f"file://{tmp_path}/t", added=True)
+    assert {i: list(r.ids) for i, r in rows_of(token_files.read_tokens(spark, f"file://{tmp_path}/t")).items()} == want
+    assert {r.doc_id: list(r.ids) for r in packing.best_fit_pack(table(spark, rows), ids=True, added=True).collect()} == want
+    assert 50256 in want[600]
+
+
+def test_memory_forgets_what_was_used_longest_ago():
+    from tidewheel.llm import bpe
+
+    small, whole = bpe.Encoder(), bpe.Encoder()
+    small.memory.stretches, small.memory.signs = 40, 400
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        part = [" ".join(rng.choice(WORDS, 20)), "always here", "　  z "]
+        a, b = small.encode(part), whole.encode(part)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+        assert small.memory.known <= 40 and small.memory.used + small.memory.held <= 400
+    assert "here" in small.memory.codes
+
+
+def test_codec_forgets_and_escapes():
+    small, whole = pieces.Codec(), pieces.Codec()
+    small.memory.stretches = 30
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        part = [" ".join(rng.choice(WORDS, 25)), "a\U0010ffffb ▁", "  é"]
+        a, b = small.encode(part), whole.encode(part)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+        assert [t.decode() for t in small.decode(*a)] == part
+
+
+def test_giant_text_takes_the_scan_at_defaults(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    giant = " ".join(rng.choice([*WORDS, "é▁", "日本\U0010ffff", "  "], 60_000))
+    assert len(giant) > 2 * pieces.BLOCK_CHUNKS * pieces.CHUNK_CHARS > pieces.GIANT_CHARS
+    codec, whole = pieces.Codec(), pieces.Codec(giant=10**9)
+    a, b = codec.encode([giant]), whole.encode([giant])
+    assert (a[0] == b[0]).all() and codec.memory.known == 0
+    rows = [(1, giant), (None, "x"), (3, None), (3, None), (4, "")]
+    got = pieces.piece_digests(table(spark, rows)).collect()
+    want = {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    assert len(got) == 5 and {(r.doc_id, r.decoded_sha256) for r in got} == want
+    (g,) = [r for r in got if r.doc_id == 1]
+    assert (g.n_pieces, g.ids_crc32) == (len(b[0]), zlib.crc32(b[0].astype("<u4").tobytes()))
+    assert pieces.piece_digests(table(spark, EMPTY)).count() == 0
+
+
+def test_sentencepiece_query_round_trips(spark):
+    got = rows_of(registry.QUERIES["op8_sentencepiece"](spark, SF))
+    ids = rows_of(pieces.encode_pieces(spark.read.parquet(f"{SF}/documents.parquet")))
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        mine = np.array(ids[r.doc_id].ids, "<u4")
+        assert (got[r.doc_id].n_pieces, got[r.doc_id].ids_crc32) == (len(mine), zlib.crc32(mine.tobytes()))
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
