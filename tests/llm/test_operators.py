@@ -500,3 +500,18 @@ def test_sentencepiece_query_round_trips(spark):
         mine = np.array(ids[r.doc_id].ids, "<u4")
         assert (got[r.doc_id].n_pieces, got[r.doc_id].ids_crc32) == (len(mine), zlib.crc32(mine.tobytes()))
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("hash_of", [lambda c: F.length(c), lambda c: F.lit(7), lambda c: F.xxhash64(c)])
+def test_exact_dedup_chains_colliding_texts(spark, hash_of):
+    rows = [*texts(), (None, "aa"), (None, "aa"), (5000, "aa"), (5000, "aa"), (None, "only null"), (5001, "bb")]
+    docs = table(spark, rows)
+    index, _, _ = exact_dedup.build_index(docs, capacity=2, hash_of=hash_of)
+    groups = Counter(t or "" for _, t in rows)
+    assert index.count() == len(groups)
+    best = {t: max((i for i, u in rows if (u or "") == t and i is not None), default=None) for t in groups}
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs, capacity=2, hash_of=hash_of).collect())
+    want = Counter((i, best[t or ""], groups[t or ""], i is not None and i == best[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert got == want
+    kept = exact_dedup.drop_copies(docs, capacity=2, hash_of=hash_of).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, t) for i, t in rows if i == best[t or ""])
