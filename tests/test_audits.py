@@ -1,6 +1,7 @@
-"""The audits count planted violations as SQL does; the registered SQL of both states zeros."""
+"""The audits count planted violations."""
 
 import duckdb
+import pytest
 
 from tidewheel.operators import inference, quality
 
@@ -34,3 +35,37 @@ def test_causality_violations_are_counted(spark):
     f = spark.createDataFrame(rows, "bucket long, lag_1 long, target_next_5min long")
     got = tuple(quality.causality_violations(f, spark.createDataFrame(view, "bucket long, total_tokens long")).first())
     assert got == con.execute(CAUSALITY).fetchone() == (6, 2, 2)
+
+
+def test_any_lag_is_checked(spark):
+    view = spark.createDataFrame([(i, 10 * i) for i in range(6)], "bucket long, total_tokens long")
+    rows = [(i, 10 * (i - 1) if i else None, 10 * (i - 3) if i > 2 else None, 10 * (i + 1) if i < 5 else None) for i in range(6)]
+    rows[4] = (4, 30, 11, 50)
+    f = spark.createDataFrame(rows, "bucket long, lag_1 long, lag_3 long, target_next_5min long")
+    assert tuple(quality.causality_violations(f, view, lags=(1, 3)).first()) == (6, 1, 0)
+    assert tuple(quality.causality_violations(f, view).first()) == (6, 0, 0)
+
+
+def test_splits_and_bounds(spark):
+    rows = spark.createDataFrame([(1, " Train", 0.5), (2, "TRAIN ", None), (3, "calibration", float("nan")), (2, "test", 1.5)], "k long, split string, x double")
+    got = {r.split: (r.rows, r.first, r.last, r.missing, r.out_of_order) for r in quality.split_violations(rows, "k", ["x"]).collect()}
+    assert got == {"train": (2, 1, 2, 1, False), "calibration": (1, 3, 3, 1, False), "test": (1, 2, 2, 0, True)}
+    (b,) = quality.bound_violations(rows, {"x": (0, 1)}).collect()
+    assert (b.rows, b.outside, b.missing) == (4, 1, 2)
+
+
+def test_profile_counts_what_is_no_number(spark):
+    rows = spark.createDataFrame([("1",), ("x",), (None,), ("3",), ("8",)], "a string")
+    (p,) = quality.profile_columns(rows, ["a"]).collect()
+    assert (p.nulls, p.uncoercible, p.least, p.mean, p.median, p.most) == (1, 1, 1.0, 4.0, 3.0, 8.0)
+
+
+def test_join_contracts(spark):
+    a = spark.createDataFrame([(1, "x", 1), (2, "x", 2)], "k long, s string, v long")
+    b = spark.createDataFrame([(1, "x", 5), (2, "x", 6)], "k long, s string, w long")
+    assert {tuple(r) for r in quality.aligned(a, b, ["k", "s"]).collect()} == {(1, "x", 1, 5), (2, "x", 2, 6)}
+    assert quality.same_keys(a, b, ["k", "s"]) and not quality.same_keys(a, b.where("k = 1"), ["k", "s"])
+    with pytest.raises(ValueError, match="differ"):
+        quality.aligned(a, b.where("k = 1"), ["k", "s"])
+    with pytest.raises(ValueError, match="not unique"):
+        quality.one_to_one(a, b.unionByName(b), ["k", "s"])

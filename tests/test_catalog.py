@@ -8,7 +8,6 @@ import pytest
 from tidewheel.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"failure_features", "policy_v2", "policy_v3"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     want = duck.execute(catalog.ORACLE_SQL[name])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import rounded
+from tidewheel.operators.windows import running_totals
 
 #: Left edges of ten equal bins, as literals, so that both engines cut alike.
 EDGES = tuple(i / 10 for i in range(1, 10))
@@ -31,27 +32,26 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the tie-aware area under the ROC curve."""
-    c = score_counts(df, score, label)
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    neg = F.col("n") - F.col("pos")
-    parts = c.select("pos", neg.alias("neg"), (F.col("pos") * (below + neg / 2)).alias("won"))
+    c = running_totals(score_counts(df, score, label).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"])
+    parts = c.select("pos", "neg", (F.col("pos") * (F.col("_before_neg") + F.col("neg") / 2)).alias("won"))
     return parts.agg(rounded(F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the sum of precision times gained recall over distinct scores, from the highest on."""
-    c = score_counts(df, score, label)
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = c.select("pos", (F.sum("pos").over(w) / F.sum("n").over(w)).alias("precision"))
+    # from the highest score on is from the lowest negative score on
+    c = running_totals(score_counts(df, score, label).withColumn("s", -F.col("s")), "s", ["pos", "n"])
+    precision = (F.col("_before_pos") + F.col("pos")) / (F.col("_before_n") + F.col("n"))
+    steps = c.select("pos", precision.alias("precision"))
     return steps.agg(rounded(F.sum(F.col("precision") * F.col("pos")) / F.sum("pos")).alias("average_precision"))
 
 
-def ece_bins(df: DataFrame, score: str, label: str) -> DataFrame:
-    """bin (1 to 10, left-closed, the last closed), n, confidence and accuracy of each bin that has rows."""
+def ece_bins(df: DataFrame, score: str, label: str, digits: int | None = 6) -> DataFrame:
+    """bin (1 to 10, left-closed, the last closed), n, confidence and accuracy (rounded unless ``digits`` is None) of each bin that has rows."""
     number = F.lit(1)
     for edge in EDGES:
         number = number + (F.col(score) >= edge).cast("int")
-    return df.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), rounded(F.avg(score)).alias("confidence"), rounded(F.avg(F.col(label).cast("double"))).alias("accuracy"))
+    return df.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), *((mean if digits is None else rounded(mean, digits)).alias(name) for name, mean in (("confidence", F.avg(score)), ("accuracy", F.avg(F.col(label).cast("double"))))))
 
 
 def risk_metrics(df: DataFrame, score: str, label: str, threshold: float, inclusive: bool = False, clip: float = 1e-7) -> DataFrame:

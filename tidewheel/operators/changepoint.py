@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +57,24 @@ def training_threshold(scores: DataFrame, quantile: float = 0.95, train_fraction
     return train.agg(F.percentile("change_score", quantile).alias("threshold"))
 
 
-def greedy_alarms(candidates: DataFrame, at: str, gap: int, by: list[str]) -> DataFrame:
-    """Of the candidate places of each group those at least ``gap`` after the last one taken.
+def greedy_alarms(candidates: DataFrame, at: str, gap: int | str, by: list[str]) -> DataFrame:
+    """Of the candidate places of each group those at least ``gap`` (a number, or a column that is the same in a group) after the last one taken.
 
-    A group is folded in one task; it holds candidates of a series only, no
-    more than its buckets.
+    A group is one series' candidates, 8 bytes each; from each alarm the next is
+    found by search, so the work grows with the alarms.
     """
-    # the fold starts from the far past, as an empty array has no last element
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(at)),
-        F.array(F.lit(NEVER).cast("bigint")),
-        lambda acc, x: F.when(x - F.element_at(acc, -1) >= gap, F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return candidates.groupBy(*by).agg(taken.alias("_taken")).select(*by, F.explode("_taken").alias(at)).where(F.col(at) > NEVER)
+    own = candidates.select(*by, F.col(at).cast("long").alias(at), (F.col(gap) if isinstance(gap, str) else F.lit(gap)).cast("long").alias("_gap"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        places, step = np.sort(group[at].to_numpy()), int(group["_gap"].iloc[0])
+        taken, i = [], 0
+        while i < len(places):
+            taken.append(places[i])
+            i = int(np.searchsorted(places, places[i] + step))
+        return group[by].iloc[[0] * len(taken)].assign(**{at: taken})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*by, at).schema)
+    return own.groupBy(*by).applyInPandas(run, schema)
 
 
 def change_points(view: DataFrame, detector: Detector = Detector(), key: str = "bucket") -> DataFrame:
@@ -112,29 +119,26 @@ def sensitivity(view: DataFrame, grid: list[tuple[int, int, int, float, int]], q
     # the grid is a parameter of a few dozen rows
     configs = F.broadcast(spark.createDataFrame(grid, "config_id int, short int, long int, least_shift double, gap int"))
     hot = found.join(configs, ["short", "long"]).where("absolute_log_shift >= least_shift")
-    taken = hot.groupBy("config_id").agg(
-        F.array_sort(F.collect_list("position")).alias("all"),
-        F.first("gap").alias("g"),
-    )
-    folded = taken.select("config_id", F.expr(f"aggregate(all, array(cast({NEVER} as bigint)), (acc, x) -> CASE WHEN x - element_at(acc, -1) >= g THEN concat(acc, array(x)) ELSE acc END)").alias("taken"))
-    alarms = folded.select("config_id", F.explode("taken").alias("position")).where(F.col("position") > NEVER)
+    alarms = greedy_alarms(hot, "position", "gap", ["config_id"])
     return hot.join(alarms, ["config_id", "position"]).select("config_id", "position", "change_score", "threshold", "absolute_log_shift")
 
 
-def alarm_match_rates(alarms: DataFrame, base_config: int, tolerance: int = 12) -> DataFrame:
-    """For each configuration: alarms, how many lie within ``tolerance`` of a base alarm and the other way round, and their rates.
+def alarm_match_rates(alarms: DataFrame, base_config: int, tolerance: int = 12, configs: list[int] | None = None) -> DataFrame:
+    """For each of ``configs`` (those with alarms, if not given): alarms, how many lie within ``tolerance`` of a base alarm and the other way round, and their rates.
 
     Each alarm is spread over the keys within reach of it, so the band join is
-    a join on equal keys.
+    a join on equal keys. A configuration without alarms matches none of the
+    base's; its own rate is null.
     """
     alarms = settled(alarms.select("config_id", "position"), "alarms")
     base = alarms.where(F.col("config_id") == base_config).select(F.col("position").alias("b"))
-    configs = alarms.select("config_id").distinct()
+    # the grid is a parameter of a few dozen rows
+    grid = alarms.select("config_id").distinct() if configs is None else alarms.sparkSession.createDataFrame([(c,) for c in configs], "config_id int")
     near = base.select("b", F.explode(F.sequence(F.col("b") - tolerance, F.col("b") + tolerance)).alias("position"))
     hits = alarms.select("config_id", "position").join(near, "position")
     own = alarms.groupBy("config_id").agg(F.count("*").alias("alarms"))
     forward = hits.groupBy("config_id").agg(F.count_distinct("b").alias("base_matched"), F.count_distinct("position").alias("own_matched"))
     size = base.agg(F.count("*").alias("base_alarms"))
-    out = configs.join(own, "config_id").join(forward, "config_id", "left").na.fill(0).crossJoin(F.broadcast(size))
-    matched = F.least("base_matched", "own_matched")
-    return out.select("config_id", "alarms", "base_alarms", matched.alias("matched"), (F.col("base_matched") / F.col("base_alarms")).alias("base_rate"), (F.col("own_matched") / F.col("alarms")).alias("own_rate"))
+    out = grid.join(own, "config_id", "left").join(forward, "config_id", "left").na.fill(0, ["alarms", "base_matched", "own_matched"]).crossJoin(F.broadcast(size))
+    rate = [F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).alias(name) for part, whole, name in (("base_matched", "base_alarms", "base_rate"), ("own_matched", "alarms", "own_rate"))]
+    return out.select("config_id", "alarms", "base_alarms", F.least("base_matched", "own_matched").alias("matched"), *rate)

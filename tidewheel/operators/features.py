@@ -80,9 +80,3 @@ def drop_warm_up(df: DataFrame, features: list[str]) -> DataFrame:
     """Rows that have all features."""
     return df.na.drop(subset=features)
 
-
-def split_by_value(key: str, lo: int, hi: int, train: float, calibration: float):
-    """train / calibration / test by the key's place between ``lo`` and ``hi`` (fractions of the span)."""
-    span = hi - lo + 1
-    a, b = lo + int(span * train), lo + int(span * calibration)
-    return F.when(F.col(key) < a, "train").when(F.col(key) < b, "calibration").otherwise("test")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import rounded
+from tidewheel.operators.windows import running_totals
+from tidewheel.sources.shared import settled
 
 #: Multiplier, increment and modulus of the start generator, small enough for exact 64-bit products.
 LCG = (1103515245, 12345, 2147483648)
@@ -32,27 +34,32 @@ def block_bootstrap(pairs: DataFrame, key: str, difference: str, replicates: int
     has as many rows as the series. A block's sum is a difference of two prefix
     sums, so no row is repeated. Block starts come from a fixed generator.
     """
-    n = pairs.count()
-    block = min(block, n)
-    blocks = math.ceil(n / block) if n else 0
+    return block_bootstraps(pairs.select(F.lit(0).alias("_test"), key, difference), ["_test"], key, difference, replicates, block).drop("_test")
+
+
+def block_bootstraps(pairs: DataFrame, by: list[str], key: str, difference: str, replicates: int = 2000, block: int = 288) -> DataFrame:
+    """:func:`block_bootstrap` of each of several series, with the same block starts for series of equal length."""
     spark = pairs.sparkSession
-    order = Window.orderBy(key)
-    ranked = pairs.select(F.row_number().over(order).cast("long").alias("i"), F.sum(difference).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
-    prefix = ranked.unionByName(spark.createDataFrame([(0, 0.0)], "i long, c double"))
+    own = pairs.select(*by, F.col(key).alias("_key"), F.col(difference).alias("_d"), F.lit(1).cast("long").alias("_one"))
+    totals = running_totals(own, "_key", ["_one", "_d"], by)
+    ranked = totals.select(*by, (F.col("_before__one") + 1).alias("i"), (F.col("_before__d") + F.col("_d")).alias("c"))
+    ranked = settled(ranked.unionByName(totals.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("c"))), "prefix-sums")
+    # a row for each series
+    sizes = ranked.groupBy(*by).agg(F.max("i").alias("n")).withColumn("size", F.least(F.lit(block), F.col("n"))).withColumn("blocks", F.ceil(F.col("n") / F.col("size")))
     a, c, m = LCG
-    starts = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("k"))
-    seed = (F.col("replicate") * blocks + F.col("k") + 1) * 48271 % m
-    start = ((seed * a + c) % m) % (n - block + 1)
-    starts = starts.select("replicate", start.alias("lo"), (start + F.least(F.lit(block), F.lit(n) - F.col("k") * block)).alias("hi"))
-    low, high = prefix.select(F.col("i").alias("lo"), F.col("c").alias("c0")), prefix.select(F.col("i").alias("hi"), F.col("c").alias("c1"))
-    return starts.join(low, "lo").join(high, "hi").groupBy("replicate").agg((F.sum(F.col("c1") - F.col("c0")) / n).alias("mean"))
+    starts = spark.range(replicates).select(F.col("id").alias("replicate")).crossJoin(F.broadcast(sizes)).select(*by, "replicate", "n", "size", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    seed = (F.col("replicate") * F.col("blocks") + F.col("k") + 1) * 48271 % m
+    start = ((seed * a + c) % m) % (F.col("n") - F.col("size") + 1)
+    starts = starts.select(*by, "replicate", "n", start.alias("lo"), (start + F.least(F.col("size"), F.col("n") - F.col("k") * F.col("size"))).alias("hi"))
+    low, high = ranked.select(*by, F.col("i").alias("lo"), F.col("c").alias("c0")), ranked.select(*by, F.col("i").alias("hi"), F.col("c").alias("c1"))
+    return starts.join(low, [*by, "lo"]).join(high, [*by, "hi"]).groupBy(*by, "replicate").agg((F.sum(F.col("c1") - F.col("c0")) / F.first("n")).alias("mean"))
 
 
-def bootstrap_summary(replicates: DataFrame, value: str = "mean", level: float = 0.95) -> DataFrame:
-    """One row: percentile interval and two-sided sign p-value."""
+def bootstrap_summary(replicates: DataFrame, value: str = "mean", level: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval and two-sided sign p-value: one row, or one for each group."""
     tail = (1 - level) / 2
     upper, lower = F.avg((F.col(value) >= 0).cast("double")), F.avg((F.col(value) <= 0).cast("double"))
-    return replicates.agg(
+    return replicates.groupBy(*(by or [])).agg(
         rounded(F.percentile(value, tail)).alias("ci_low"),
         rounded(F.percentile(value, 1 - tail)).alias("ci_high"),
         rounded(F.least(F.lit(1.0), 2 * F.least(upper, lower))).alias("p_value"),
@@ -63,13 +70,12 @@ def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
     """One row: nonzero differences, W+, W-, statistic, z and two-sided p of the signed-rank test.
 
     Zeros are left out and ties share their mean rank. Differences are counted
-    by size first, so the window runs over distinct sizes. z follows the normal
+    by size first, so ranks are made over distinct sizes. z follows the normal
     approximation with tie correction; without differences the statistic is 0
     and p is 1.
     """
     d = pairs.where(F.col(difference) != 0).groupBy(F.abs(difference).alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col(difference) > 0).alias("up"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = d.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running_totals(d, "d", ["n"]).withColumn("rank", F.col("_before_n") + (F.col("n") + 1) / 2)
     sums = ranked.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"),
@@ -91,24 +97,30 @@ def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
 def iid_bootstrap(pairs: DataFrame, difference: str, replicates: int = 10_000, seed: int = 42, chunk: int = 250) -> DataFrame:
     """replicate and mean under the IID bootstrap.
 
-    Only how often each distinct difference occurs matters, so a replicate is a
-    multinomial draw over the distinct values, made where the replicate is. The
-    distinct values of a series (a row for each bucket of time, not for each
-    request) come to the driver.
+    A replicate draws as many rows as there are: first how many from each part
+    of the table, by a multinomial draw that all parts make alike, then those
+    rows within the part. Parts are tasks; their sizes, one number each, are
+    all that is sent to them.
     """
-    counts = pairs.groupBy(F.col(difference).alias("d")).count().orderBy("d").toPandas()
-    values, weight = counts["d"].to_numpy(float), counts["count"].to_numpy(np.int64)
+    part = pairs.select(F.col(difference).cast("double").alias("d")).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d")
+    held = settled(part.withColumn("_part", F.spark_partition_id()), "bootstrap-parts")
+    sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
+    names = sorted(sizes)
+    weight = np.array([sizes[k] for k in names], float)
     n = int(weight.sum())
 
-    def run(batches):
-        for batch in batches:
-            for start in batch["id"].tolist():
-                rng = np.random.default_rng([seed, start])
-                many = min(chunk, replicates - start * chunk)
-                draws = rng.multinomial(n, weight / n, size=many) @ values / n if n else np.zeros(many)
-                yield pd.DataFrame({"replicate": start * chunk + np.arange(many), "mean": draws})
-
-    return pairs.sparkSession.range(math.ceil(replicates / chunk)).mapInPandas(run, "replicate long, mean double")
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(rows["d"].to_numpy(float))
+        place, begin = names.index(key[0]), key[1] * chunk
+        many = min(chunk, replicates - begin)
+        counts = np.random.default_rng([seed, key[1]]).multinomial(n, weight / n, size=many)[:, place]
+        rng = np.random.default_rng([seed, key[1], key[0]])
+        sums = [values[rng.integers(0, len(values), k)].sum() for k in counts.tolist()]
+        return pd.DataFrame({"replicate": begin + np.arange(many), "s": sums})
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(replicates / chunk) - 1))).alias("_chunk")
+    drawn = held.select("d", "_part", chunks).groupBy("_part", "_chunk").applyInPandas(run, "replicate long, s double")
+    return drawn.groupBy("replicate").agg((F.sum("s") / n).alias("mean"))
 
 
 def paired_differences(long: DataFrame, key: str, model: str, metrics: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import uuid
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators.windows import Blocks
@@ -51,13 +53,31 @@ def forecast(rows: DataFrame, features: list[str], kind: str, target: str = "tar
     """
     ready = finite_features(rows.na.drop(subset=[*features, target]), features)
     ready = ready.withColumn("label", F.log1p(target) if log_target else F.col(target).cast("double"))
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), regressor(kind, trees)]).fit(ready.where(F.col(split) == "train"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), regressor(kind, trees)]).fit(for_fit(ready.where(F.col(split) == "train")))
+    model = load_model(save_model(fitted, f"forecaster-{kind}"))
     back = F.expm1("prediction") if log_target else F.col("prediction")
     return model.transform(ready).withColumn("forecast", F.greatest(F.lit(0.0), back)).drop("features", "label", "prediction")
 
 
-def save_model(model, path: str) -> None:
+#: Rows of a training partition: an iterative fit runs thousands of short jobs, each over all partitions.
+FIT_ROWS = 100_000
+
+
+def for_fit(rows: DataFrame) -> DataFrame:
+    """``rows`` in as few partitions as keep ``FIT_ROWS`` in each."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // FIT_ROWS)))
+
+
+def save_model(model: PipelineModel, label: str) -> str:
+    """Write a fitted model to the shared folder; returns its path."""
+    path = f"{shared_dir(SparkSession.active())}/{label}-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 def failure_risk(rows: DataFrame, features: list[str], label: str = "failure", split: str = "split", trees: int = 350, depth: int = 6) -> DataFrame:
@@ -68,7 +88,8 @@ def failure_risk(rows: DataFrame, features: list[str], label: str = "failure", s
         # without checkpoints the lineage grows by each tree
         context.setCheckpointDir(shared_dir(rows.sparkSession))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.05, minInstancesPerNode=5, subsamplingRate=0.85, featureSubsetStrategy="0.8", seed=42)
-    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(ready.where(F.col(split) == "train"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(for_fit(ready.where(F.col(split) == "train")))
+    model = load_model(save_model(fitted, "failure-risk"))
     return model.transform(ready).withColumn("probability_of_failure", vector_to_array("probability")[1]).drop("features", "label", "prediction", "probability", "rawPrediction")
 
 

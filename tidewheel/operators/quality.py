@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.columns import rounded
+from tidewheel.sources.trace import coerced
+
 
 def raw_profile(trace: DataFrame) -> DataFrame:
     """One row of counters and totals of a request trace."""
@@ -50,6 +53,20 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).groupBy(F.col("p.column").alias("column"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"))
 
 
+def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, nulls, uncoercible, least, mean, median, most): for each column its null values, values that are no numbers, and the spread of the others."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns))).alias("p")
+    rows = df.select(pairs).select("p.column", "p.text", coerced(F.col("p.text")).alias("x"))
+    return rows.groupBy("column").agg(
+        F.count_if(F.col("text").isNull()).alias("nulls"),
+        F.count_if(F.col("text").isNotNull() & F.col("x").isNull()).alias("uncoercible"),
+        rounded(F.min("x")).alias("least"),
+        rounded(F.avg("x")).alias("mean"),
+        rounded(F.percentile("x", 0.5)).alias("median"),
+        rounded(F.max("x")).alias("most"),
+    )
+
+
 def assert_unique(df: DataFrame, key: list[str]) -> DataFrame:
     """``df``, or ValueError if a key occurs twice."""
     if not df.groupBy(*key).count().where("count > 1").isEmpty():
@@ -57,17 +74,49 @@ def assert_unique(df: DataFrame, key: list[str]) -> DataFrame:
     return df
 
 
-def same_keys(a: DataFrame, b: DataFrame, key: list[str]) -> bool:
-    x, y = a.select(*key), b.select(*key)
-    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+def one_to_one(a: DataFrame, b: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b``, or ValueError if a key occurs twice on either side."""
+    return assert_unique(a, key).join(assert_unique(b, key), key, how)
+
 
+def aligned(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """:func:`one_to_one`, or ValueError if the sides do not have the same keys."""
+    if not same_keys(a, b, key):
+        raise ValueError(f"the sides differ in {', '.join(key)}")
+    return one_to_one(a, b, key)
 
-def causality_violations(features: DataFrame, view: DataFrame, key: str = "bucket", y: str = "total_tokens") -> DataFrame:
-    """One row: feature rows whose lag or target differs from the row that it stands for."""
-    past = view.select((F.col(key) + 1).alias(key), F.col(y).alias("_before"))
-    ahead = view.select((F.col(key) - 1).alias(key), F.col(y).alias("_after"))
-    joined = features.join(past, key, "left").join(ahead, key, "left")
-    return joined.agg(F.count("*").alias("rows"), F.count_if(~F.col("lag_1").eqNullSafe(F.col("_before"))).alias("wrong_lag"), F.count_if(~F.col("target_next_5min").eqNullSafe(F.col("_after"))).alias("wrong_target"))
+
+def same_keys(a: DataFrame, b: DataFrame, key: list[str]) -> bool:
+    """Whether both have the same keys, each as often."""
+    both = a.select(*key, F.lit(1).alias("_side")).unionByName(b.select(*key, F.lit(-1).alias("_side")))
+    return both.groupBy(*key).agg(F.sum("_side").alias("_more")).where("_more <> 0").isEmpty()
+
+
+def split_violations(rows: DataFrame, key: str, columns: list[str], split: str = "split") -> DataFrame:
+    """(split, rows, first, last, missing, out_of_order) of each split: rows with a null or NaN among ``columns``, and whether it begins before an earlier split ends."""
+    order = F.array_position(F.array(*(F.lit(s) for s in ("train", "calibration", "test"))), F.lower(F.trim(F.col(split))))
+    bad = F.greatest(*((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int") for c in columns), F.lit(0))
+    parts = rows.groupBy(F.lower(F.trim(F.col(split))).alias("split"), order.alias("_o")).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), F.sum(bad).alias("missing"))
+    # three rows
+    return parts.withColumn("out_of_order", F.coalesce(F.col("first") <= F.max("last").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).drop("_o")
+
+
+def bound_violations(rows: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """(column, rows, outside, missing) of each column: values outside its closed bounds, and null or NaN ones."""
+    held = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for c, (a, b) in bounds.items()))).alias("p")
+    x = F.col("x")
+    missing = x.isNull() | F.isnan(x)
+    return rows.select(held).select("p.*").groupBy("column").agg(F.count("*").alias("rows"), F.count_if(~missing & ((x < F.col("a")) | (x > F.col("b")))).alias("outside"), F.count_if(missing).alias("missing"))
+
+
+def causality_violations(features: DataFrame, view: DataFrame, key: str = "bucket", y: str = "total_tokens", lags: tuple[int, ...] = (1,)) -> DataFrame:
+    """One row: feature rows whose lag of any of ``lags`` or whose target differs from the row that it stands for."""
+    joined = features
+    for k in lags:
+        joined = joined.join(view.select((F.col(key) + k).alias(key), F.col(y).alias(f"_lag_{k}")), key, "left")
+    joined = joined.join(view.select((F.col(key) - 1).alias(key), F.col(y).alias("_after")), key, "left")
+    wrong = F.greatest(*((~F.col(f"lag_{k}").eqNullSafe(F.col(f"_lag_{k}"))).cast("int") for k in lags), F.lit(0))
+    return joined.agg(F.count("*").alias("rows"), F.count_if(wrong == 1).alias("wrong_lag"), F.count_if(~F.col("target_next_5min").eqNullSafe(F.col("_after"))).alias("wrong_target"))
 
 
 def alarm_spacing(points: DataFrame, gap: int) -> DataFrame:

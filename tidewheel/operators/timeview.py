@@ -10,9 +10,20 @@ from tidewheel.functions.columns import bucket_of, normalised, ratio
 COUNTS = ("request_count", "request_tokens", "response_tokens", "total_tokens", "zero_response_count", "gpt4_count", "api_count")
 
 
+#: Slices of a grid that tasks make on their own.
+SLICES = 64
+
+
 def densify(df: DataFrame, key: str, fill: tuple[str, ...]) -> DataFrame:
-    """One row for each integer between the smallest and largest key; ``fill`` is 0 where a row was missing."""
-    grid = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias(key))
+    """One row for each integer between the smallest and largest key; ``fill`` is 0 where a row was missing.
+
+    The grid is made in slices, so no task makes all of it.
+    """
+    span = F.broadcast(df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo IS NOT NULL"))  # one row
+    size = F.floor((F.col("_hi") - F.col("_lo")) / SLICES) + 1
+    low = F.col("_lo") + F.col("id") * size
+    slices = df.sparkSession.range(SLICES).crossJoin(span).where(low <= F.col("_hi"))
+    grid = slices.select(F.explode(F.sequence(low, F.least(low + size - 1, F.col("_hi")))).alias(key))
     return grid.join(df, key, "left").na.fill(0, list(fill))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.sources.shared import settled
+
 BLOCK_ROWS = 1 << 14
 
 
@@ -61,3 +63,21 @@ class Blocks:
     def result(self, *columns) -> DataFrame:
         """The named columns, each row once."""
         return self.frame.select(*columns, "_own", "_block").where("_own = _block").drop("_own", "_block")
+
+
+def running_totals(df: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_before_<c>`` for each of ``columns``: its sum over the rows with a smaller ``order`` in the group.
+
+    Rows are dealt out by ranges and written, so that ranges stay as they are.
+    Sums are made within each range and moved by the sums of the ranges before,
+    of which there is a row for each range and group. ``order`` is unique in a group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    held = ranged.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_all_{c}") for c in columns))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.select("_part", *by, *(F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_all_{c}") for c in columns))
+    inside = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({f"_before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    out = local.join(F.broadcast(moved), ["_part", *by])
+    return out.withColumns({f"_before_{c}": F.col(f"_before_{c}") + F.col(f"_all_{c}") for c in columns}).drop("_part", *(f"_all_{c}" for c in columns))

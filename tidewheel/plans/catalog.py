@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import metrics
-from tidewheel.functions.columns import rounded
+from tidewheel.functions.columns import rounded, surplus
 from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
 from tidewheel.operators.windows import Blocks
 from tidewheel.sources.shared import settled
@@ -49,8 +49,9 @@ def r_sql(*names: str) -> str:
 
 
 def view5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five-minute view, written once for all that a query makes of it."""
     trace = events_as_trace(spark, sf_dir)
-    return timeview.trim_incomplete(timeview.time_view(trace, 300), trace)
+    return settled(timeview.trim_incomplete(timeview.time_view(trace, 300), trace), "view")
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,10 +242,12 @@ def workload_features(spark, sf_dir):
     return out.select(*plain, *r(*ROLLS, *CALENDAR, "cp_change_score", "cp_short_long_ratio"))
 
 
-@query(f"{WITH_VIEW} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS wrong_lag, CAST(0 AS BIGINT) AS wrong_target FROM v")
+@query(f"""{WITH_VIEW}, f AS (SELECT bucket, {LAG_SQL}, lead(total_tokens) OVER (ORDER BY bucket) AS target_next_5min FROM v)
+SELECT count(*) AS rows, count(*) FILTER ({" OR ".join(f"lag_{k} IS DISTINCT FROM (SELECT total_tokens FROM v WHERE v.bucket = f.bucket - {k})" for k in features.WORKLOAD_LAGS)}) AS wrong_lag,
+       count(*) FILTER (target_next_5min IS DISTINCT FROM (SELECT total_tokens FROM v WHERE v.bucket = f.bucket + 1)) AS wrong_target FROM f""")
 def feature_causality(spark, sf_dir):
     view = view5(spark, sf_dir)
-    return quality.causality_violations(features.workload_features(view), view)
+    return quality.causality_violations(features.workload_features(view), view, lags=features.WORKLOAD_LAGS)
 
 
 FAILURE_SQL = ", ".join(
@@ -358,7 +361,8 @@ def expected_calibration_error(spark, sf_dir):
 FIVE_SQL = """v5 AS (SELECT bucket, CASE WHEN zero_response_count > 0 THEN 1 ELSE 0 END AS failure FROM v),
 k5 AS (SELECT bucket, failure, CASE WHEN count(*) OVER h = 60 THEN least(1.0, 2.5 * avg(failure) OVER h) END AS risk FROM v5 WINDOW h AS (ORDER BY bucket ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 r5 AS (SELECT row_number() OVER (ORDER BY bucket) AS i, bucket, failure, CAST(risk AS DOUBLE) AS risk FROM k5 WHERE risk IS NOT NULL),
-tgt AS (SELECT avg(failure) AS target FROM r5),
+span5 AS (SELECT min(bucket) AS lo, max(bucket) - min(bucket) + 1 AS n FROM r5),
+tgt AS (SELECT avg(failure) AS target FROM r5, span5 WHERE bucket - lo >= floor(n * (12384 / 17566)) AND bucket - lo < floor(n * (14976 / 17566))),
 d5 AS (SELECT i, bucket, failure, risk, CASE WHEN count(*) OVER h < 60 THEN 0 WHEN avg(failure) OVER h > target THEN -1 WHEN avg(failure) OVER h < target THEN 1 ELSE 0 END AS s
        FROM r5, tgt WINDOW h AS (ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
 th5 AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0.9591 AS DOUBLE) AS before
@@ -367,14 +371,18 @@ ctl AS (SELECT d5.bucket, d5.failure, d5.risk, th5.before, CASE WHEN d5.risk > t
 WITH_CTL = f"{WITH_CP}, {FIVE_SQL}"
 
 
+def calibration_rate(risk: DataFrame, key: str) -> float:
+    """The failure rate of the calibration split, which the controller aims at."""
+    return with_split(risk, key).where("split = 'calibration'").agg(F.avg("failure")).first()[0]
+
+
 def controlled(spark, sf_dir) -> DataFrame:
-    """The controller over five-minute failures; its target is their rate."""
+    """The controller over five-minute failures; its target is their rate in the calibration split."""
     rows = view5(spark, sf_dir).select("bucket", (F.col("zero_response_count") > 0).cast("int").alias("failure"))
     b = Blocks(rows, "bucket", 60)
     share = b.past(F.avg("failure"), "failure", 60)
     risk = b.result("bucket", "failure", F.when(share.isNotNull(), F.least(F.lit(1.0), 2.5 * share)).alias("risk")).where("risk IS NOT NULL")
-    target = risk.agg(F.avg("failure")).first()[0]
-    return control.adaptive_threshold(risk, target, "bucket")
+    return control.adaptive_threshold(risk, calibration_rate(risk, "bucket"), "bucket")
 
 
 @query(f"{WITH_CTL} SELECT bucket, failure, round(risk, 6) + 0.0 AS risk, round(before, 6) + 0.0 AS threshold_before_update, trig AS reserve_trigger FROM ctl")
@@ -385,7 +393,7 @@ def adaptive_threshold(spark, sf_dir):
 @query()
 def adaptive_threshold_minute(spark, sf_dir):
     risk = surrogate_risk(minutes(spark, sf_dir))
-    return control.adaptive_threshold(risk, risk.agg(F.avg("failure")).first()[0], "minute")
+    return control.adaptive_threshold(risk, calibration_rate(risk, "minute"), "minute")
 
 
 @query(f"""{WITH_MINUTES}, {RISK_SQL} SELECT minute // 5 AS bucket, round(max(risk), 6) + 0.0 AS risk_signal, round(arg_min(risk, minute), 6) + 0.0 AS adaptive_threshold FROM kr GROUP BY 1""")
@@ -407,7 +415,7 @@ def policy_rows(spark, sf_dir) -> DataFrame:
     base = learning.causal_baselines(view).where("actual IS NOT NULL AND moving_average IS NOT NULL AND seasonal_naive IS NOT NULL")
     risk = controlled(spark, sf_dir).select("bucket", F.col("risk").alias("risk_signal"), F.col("threshold_before_update").alias("adaptive_threshold"))
     alarms = changepoint.change_points(view).select("bucket", "change_alarm")
-    rows = base.join(risk, "bucket").join(alarms, "bucket", "left")
+    rows = quality.one_to_one(settled(base, "forecasts").join(settled(risk, "risk"), "bucket"), settled(alarms, "alarms"), ["bucket"], "left")
     return rows.withColumns({"actual_workload": F.col("actual").cast("double"), "forecast_workload": F.col("moving_average")})
 
 
@@ -428,7 +436,7 @@ CAPACITY_SQL = """, ls AS (SELECT policy, actual_workload, capacity, trigger, gr
 lq AS (SELECT policy, quantile_cont(shortage, 0.95) AS p95 FROM ls GROUP BY policy)
 SELECT policy, count(*) AS n, round(avg(CASE WHEN shortage > 0 THEN 1.0 ELSE 0.0 END) * 100, 6) + 0.0 AS under_provisioned_percent, round(avg(shortage), 6) + 0.0 AS mean_shortage,
        round(any_value(p95), 6) + 0.0 AS p95_shortage, round(avg(CASE WHEN shortage >= p95 THEN shortage END), 6) + 0.0 AS shortfall_cvar95, round(avg(unused), 6) + 0.0 AS mean_unused_capacity,
-       round(avg(capacity), 6) + 0.0 AS mean_provisioned_capacity, round(avg(trigger) * 100, 6) + 0.0 AS reserve_activation_percent, round(sum(capacity) / sum(actual_workload), 6) + 0.0 AS cost_index
+       round(avg(capacity), 6) + 0.0 AS mean_provisioned_capacity, round(avg(actual_workload), 6) + 0.0 AS mean_actual_workload, round(sum(shortage), 3) + 0.0 AS total_shortage, round(sum(unused), 3) + 0.0 AS total_unused_capacity, round(avg(trigger) * 100, 6) + 0.0 AS reserve_activation_percent, round(sum(capacity) / sum(actual_workload), 6) + 0.0 AS cost_index
 FROM ls JOIN lq USING (policy) GROUP BY policy"""
 
 
@@ -437,6 +445,19 @@ def capacity_metrics(spark, sf_dir):
     return control.capacity_metrics(control.long_policies(control.policies(policy_rows(spark, sf_dir))))
 
 
+def on_test(rows: DataFrame) -> DataFrame:
+    """The locked test split."""
+    return with_split(rows).where("lower(trim(split)) = 'test'")
+
+
+PR_SPAN_SQL = "(SELECT min(bucket) + floor((max(bucket) - min(bucket) + 1) * (14976 / 17566)) FROM pr)"
+
+
+@query(f"{WITH_CTL}, {POLICY_SQL}{CAPACITY_SQL}".replace("AS unused FROM lp)", f"AS unused FROM lp WHERE bucket >= {PR_SPAN_SQL})"))
+def capacity_metrics_test(spark, sf_dir):
+    return control.capacity_metrics(control.long_policies(control.policies(on_test(policy_rows(spark, sf_dir)))))
+
+
 def forecast_sql(trigger: str, reserve: float) -> str:
     part = " UNION ALL ".join(f"SELECT bucket, actual_workload, '{f}' AS policy, {trigger} AS trigger, CASE WHEN {trigger} = 1 THEN {f} * CAST({reserve} AS DOUBLE) ELSE {f} END AS capacity FROM pr" for f in FORECASTS)
     return f"{WITH_CTL}, {POLICY_SQL.rsplit('lp AS', 1)[0]}lp AS ({part}){CAPACITY_SQL}"
@@ -494,6 +515,68 @@ def block_bootstrap_summary(spark, sf_dir):
     return inference.bootstrap_summary(inference.block_bootstrap(shortage_pairs(spark, sf_dir), "bucket", "d"))
 
 
+TESTS_SQL = f"""{WITH_CTL}, {POLICY_SQL},
+wide AS (SELECT bucket, policy, greatest(actual_workload - capacity, 0.0) AS shortage, greatest(capacity - actual_workload, 0.0) AS unused, capacity, CAST(trigger AS DOUBLE) AS trigger FROM lp WHERE bucket >= {PR_SPAN_SQL}),
+td AS (SELECT bucket, a.policy || ' - ' || b.policy AS comparison, unnest(['Mean_Shortage', 'Mean_Unused_Capacity', 'Mean_Provisioned_Capacity', 'Reserve_Activation']) AS metric,
+              unnest([a.shortage - b.shortage, a.unused - b.unused, a.capacity - b.capacity, a.trigger - b.trigger]) AS d
+       FROM wide a JOIN wide b USING (bucket) WHERE (a.policy, b.policy) IN (('V1', 'V2'), ('V2', 'V3'), ('V3', 'V4'))
+       UNION ALL
+       SELECT bucket, 'persistence - moving_average', unnest(['MAE', 'Squared_Error']),
+              unnest([abs(actual_workload - persistence) - abs(actual_workload - moving_average), (actual_workload - persistence) ** 2 - (actual_workload - moving_average) ** 2]) FROM pr WHERE bucket >= {PR_SPAN_SQL}),
+ti AS (SELECT comparison, metric, d, row_number() OVER (PARTITION BY comparison, metric ORDER BY bucket) AS i FROM td),
+tn AS (SELECT comparison, metric, count(*) AS n, least(288, count(*)) AS size, CAST(ceil(count(*) / least(288, count(*))) AS BIGINT) AS nb, avg(d) AS observed FROM td GROUP BY ALL),
+tc AS (SELECT comparison, metric, 0 AS i, CAST(0 AS DOUBLE) AS c FROM tn UNION ALL SELECT comparison, metric, i, sum(d) OVER (PARTITION BY comparison, metric ORDER BY i) FROM ti),
+ts AS (SELECT comparison, metric, rep, n, size, k, ((((rep * nb + k + 1) * 48271 % 2147483648) * 1103515245 + 12345) % 2147483648) % (n - size + 1) AS lo
+       FROM (SELECT unnest(range(2000)) AS rep), tn, LATERAL (SELECT unnest(range(nb)) AS k)),
+tb AS (SELECT comparison, metric, rep, sum(h.c - l.c) / any_value(n) AS mean FROM ts JOIN tc l USING (comparison, metric) JOIN tc h USING (comparison, metric) WHERE l.i = lo AND h.i = lo + least(size, n - k * size) GROUP BY ALL),
+tp AS (SELECT comparison, metric, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high,
+              round(least(1.0, 2 * least(avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END))), 6) AS p_value FROM tb GROUP BY ALL),
+tk AS (SELECT *, row_number() OVER (ORDER BY p_value, comparison, metric) AS k, count(*) OVER () AS m FROM tp),
+hol AS (SELECT *, least(1.0, max((m - k + 1) * p_value) OVER (ORDER BY k)) AS p_holm FROM tk)"""
+
+
+def test_differences(rows: DataFrame, forecasts: tuple[str, str], policies=("V1", "V2", "V3", "V4")) -> DataFrame:
+    """comparison, metric, bucket, d: four differences of each policy and the next, and two errors of the two forecasts."""
+    held = settled(control.policies(rows), "policies")
+
+    def gap(a: str, b: str):
+        return surplus(F.col(a), F.col(b))
+
+    parts = []
+    for a, b in zip(policies, policies[1:], strict=False):
+        x, y, w = f"{a}_capacity", f"{b}_capacity", "actual_workload"
+        each = {
+            "Mean_Shortage": gap(w, x) - gap(w, y),
+            "Mean_Unused_Capacity": gap(x, w) - gap(y, w),
+            "Mean_Provisioned_Capacity": F.col(x) - F.col(y),
+            "Reserve_Activation": F.col(f"{a}_trigger").cast("double") - F.col(f"{b}_trigger"),
+        }
+        parts += [(f"{a} - {b}", m, d) for m, d in each.items()]
+    e = [F.col("actual_workload") - F.col(f) for f in forecasts]
+    parts += [(f"{forecasts[0]} - {forecasts[1]}", "MAE", F.abs(e[0]) - F.abs(e[1])), (f"{forecasts[0]} - {forecasts[1]}", "Squared_Error", e[0] * e[0] - e[1] * e[1])]
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("comparison"), F.lit(m).alias("metric"), d.cast("double").alias("d")) for c, m, d in parts))).alias("p")
+    return held.select("bucket", rows).select("p.comparison", "p.metric", "bucket", "p.d")
+
+
+test_differences.__test__ = False  # not a test of this library
+
+
+def block_tests(differences: DataFrame) -> DataFrame:
+    """Observed difference, interval, p and Holm's p over all tests as one family."""
+    held, by = settled(differences, "differences"), ["comparison", "metric"]
+    means = inference.block_bootstraps(held, by, "bucket", "d")
+    found = inference.bootstrap_summary(means, by=by)
+    plain = held.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("observed_difference"))
+    return inference.holm(plain.join(found, by), "p_value").withColumn("significant", F.col("p_holm") < 0.05)
+
+
+@query(f"{TESTS_SQL} SELECT comparison, metric, n, round(observed, 3) + 0.0 AS observed_difference, round(ci_low, 3) + 0.0 AS ci_low, round(ci_high, 3) + 0.0 AS ci_high, p_value + 0.0 AS p_value, round(p_holm, 6) + 0.0 AS p_holm, p_holm < 0.05 AS significant FROM hol JOIN tn USING (comparison, metric)")
+def block_bootstrap_tests(spark, sf_dir):
+    """The 14 tests on the locked test split, with Holm's adjustment over all of them."""
+    found = block_tests(test_differences(on_test(policy_rows(spark, sf_dir)), ("persistence", "moving_average")))
+    return found.select("comparison", "metric", "n", *(rounded(F.col(c), 3).alias(c) for c in ("observed_difference", "ci_low", "ci_high")), *r("p_value", "p_holm"), "significant")
+
+
 @query(f"""{PAIR_SQL}, w AS (SELECT abs(d) AS a, count(*) AS n, count(*) FILTER (d > 0) AS up FROM pd WHERE d <> 0 GROUP BY 1),
 rk AS (SELECT n, up, coalesce(sum(n) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM w)
 SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(up * rank), 3) + 0.0 AS w_plus, round(sum((n - up) * rank), 3) + 0.0 AS w_minus, round(least(sum(up * rank), sum((n - up) * rank)), 3) + 0.0 AS statistic FROM rk""")
@@ -501,6 +584,14 @@ def wilcoxon_stat(spark, sf_dir):
     return inference.wilcoxon(shortage_pairs(spark, sf_dir), "d").select("n", *(rounded(F.col(c), 3).alias(c) for c in ("w_plus", "w_minus", "statistic")))
 
 
+@query(f"""{PAIR_SQL}, w AS (SELECT abs(d) AS a, count(*) AS n, count(*) FILTER (d > 0) AS up FROM pd WHERE d <> 0 GROUP BY 1),
+rk AS (SELECT n, up, coalesce(sum(n) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM w),
+sm AS (SELECT CAST(sum(n) AS DOUBLE) AS n, least(sum(up * rank), sum((n - up) * rank)) AS w, sum(CAST(n AS DOUBLE) ** 3 - n) AS ties FROM rk)
+SELECT CAST(n AS BIGINT) AS n, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) + 0.0 AS z FROM sm""")
+def wilcoxon_z(spark, sf_dir):
+    return inference.wilcoxon(shortage_pairs(spark, sf_dir), "d").select("n", "z")
+
+
 @query()
 def wilcoxon_test(spark, sf_dir):
     return inference.wilcoxon(shortage_pairs(spark, sf_dir), "d")
@@ -548,7 +639,9 @@ def paired_policy_tests(spark, sf_dir):
     return inference.paired_tests(settled(pairs, "policy-pairs"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS incomplete_keys")
+@query(f"""{PAIRS_SQL}, pg AS (SELECT bucket, policy, count(*) AS n FROM fl GROUP BY ALL), pm AS (SELECT count(DISTINCT policy) AS m FROM fl),
+pk AS (SELECT bucket, count(*) AS have, count(*) FILTER (n > 1) AS repeated FROM pg GROUP BY bucket)
+SELECT CAST(coalesce(sum(repeated), 0) AS BIGINT) AS repeated, count(*) FILTER (have <> m) AS incomplete_keys FROM pk, pm""")
 def pairing_contract(spark, sf_dir):
     return inference.pairing_violations(forecast_long(spark, sf_dir), "bucket", "policy")
 
@@ -559,7 +652,27 @@ GRID = changepoint.detector_grid()
 BASE_CONFIG = next(i for i, s, n, shift, gap in GRID if (s, n, shift, gap) == (12, 276, 0.10, 288))
 
 
-@query()
+def grid_sql(grid: list[tuple]) -> str:
+    """CTE galarm (config_id, position, change_score, threshold, absolute_log_shift): the alarms of a grid."""
+    parts, pairs = [], sorted({(s, n) for _, s, n, _, _ in grid})
+    for s, n in pairs:
+        names = {k: f"{k}_{s}_{n}" for k in ("z", "q", "sc", "th")}
+        part = SCORE_SQL.format(s1=s - 1, s=s, far=s + n - 1)
+        for old, new in names.items():
+            part = part.replace(f"{old} AS (", f"{new} AS (").replace(f"FROM {old} ", f"FROM {new} ").replace(f"FROM {old})", f"FROM {new})").replace(f"FROM {old}\n", f"FROM {new}\n")
+        parts.append(part)
+    every = " UNION ALL ".join(f"SELECT {s} AS s, {n} AS n, position, change_score, absolute_log_shift, threshold FROM sc_{s}_{n}, th_{s}_{n} WHERE change_score >= threshold AND NOT isinf(change_score)" for s, n in pairs)
+    rows = ", ".join(str(c) for c in grid)
+    return f"""{", ".join(parts)}, cfg(config_id, s, n, shift, gap) AS (VALUES {rows}), every AS ({every}),
+ghot AS (SELECT config_id, gap, position, change_score, absolute_log_shift, threshold FROM every JOIN cfg USING (s, n) WHERE absolute_log_shift >= shift),
+gal AS (SELECT config_id, gap, min(position) AS p FROM ghot GROUP BY ALL UNION ALL SELECT g.config_id, g.gap, min(h.position) FROM gal g JOIN ghot h ON h.config_id = g.config_id AND h.position >= g.p + g.gap GROUP BY ALL),
+galarm AS (SELECT ghot.config_id, position, change_score, threshold, absolute_log_shift FROM ghot JOIN gal ON gal.config_id = ghot.config_id AND gal.p = ghot.position)"""
+
+
+WITH_GRID = f"{WITH_VIEW.replace('WITH ', 'WITH RECURSIVE ', 1)}, {grid_sql(GRID)}"
+
+
+@query(f"{WITH_GRID} SELECT config_id, position, round(change_score, 6) + 0.0 AS change_score, round(threshold, 6) + 0.0 AS threshold, round(absolute_log_shift, 6) + 0.0 AS absolute_log_shift FROM galarm")
 def cp_sensitivity_grid(spark, sf_dir):
     return changepoint.sensitivity(view5(spark, sf_dir), GRID).select("config_id", "position", *r("change_score", "threshold", "absolute_log_shift"))
 
@@ -571,26 +684,40 @@ def cp_sensitivity_base(spark, sf_dir):
     return changepoint.sensitivity(view5(spark, sf_dir), grid).select("config_id", "position", *r("change_score", "threshold", "absolute_log_shift"))
 
 
-@query()
+@query(f"""{WITH_GRID}, gbase AS (SELECT position AS b FROM galarm WHERE config_id = {BASE_CONFIG}),
+gnum AS (SELECT c.config_id, (SELECT count(*) FROM galarm g WHERE g.config_id = c.config_id) AS alarms, (SELECT count(*) FROM gbase) AS base_alarms,
+                (SELECT count(*) FROM gbase WHERE EXISTS (SELECT 1 FROM galarm g WHERE g.config_id = c.config_id AND abs(g.position - b) <= 12)) AS bm,
+                (SELECT count(*) FROM galarm g WHERE g.config_id = c.config_id AND EXISTS (SELECT 1 FROM gbase WHERE abs(g.position - b) <= 12)) AS om FROM cfg c)
+SELECT config_id, alarms, base_alarms, least(bm, om) AS matched, round(CASE WHEN base_alarms > 0 THEN bm / base_alarms END, 6) AS base_rate, round(CASE WHEN alarms > 0 THEN om / alarms END, 6) AS own_rate FROM gnum""")
 def alarm_match_rates(spark, sf_dir):
     alarms = changepoint.sensitivity(view5(spark, sf_dir), GRID).select("config_id", "position")
-    return changepoint.alarm_match_rates(alarms, BASE_CONFIG)
+    found = changepoint.alarm_match_rates(alarms, BASE_CONFIG, configs=[c[0] for c in GRID])
+    return found.select("config_id", "alarms", "base_alarms", "matched", F.round("base_rate", 6).alias("base_rate"), F.round("own_rate", 6).alias("own_rate"))
 
 
-@query()
+BASE_PARAMETERS = next(c for c in GRID if c[0] == BASE_CONFIG)[1:]
+NEAR = [c for c in GRID if sum(a != b for a, b in zip(c[1:], BASE_PARAMETERS, strict=True)) <= 1]
+DELTAS = ["mean_shortage", "mean_unused_capacity", "reserve_activation_percent"]
+
+
+@query(f"""{WITH_CTL}, {POLICY_SQL}, {grid_sql(NEAR)},
+nv AS (SELECT cfg.config_id, pr.bucket, actual_workload, forecast_workload, CASE WHEN risk_signal > CASE WHEN ga.position IS NOT NULL THEN CAST(0.9591 AS DOUBLE) ELSE adaptive_threshold END THEN 1 ELSE 0 END AS trigger
+       FROM pr CROSS JOIN cfg LEFT JOIN galarm ga ON ga.config_id = cfg.config_id AND ga.position = pr.bucket - (SELECT min(bucket) FROM v)),
+nc AS (SELECT config_id, actual_workload, trigger, CASE WHEN trigger = 1 THEN forecast_workload * CAST(1.1 AS DOUBLE) ELSE forecast_workload END AS capacity FROM nv),
+nm AS (SELECT config_id, round(avg(greatest(actual_workload - capacity, 0.0)), 6) + 0.0 AS mean_shortage, round(avg(greatest(capacity - actual_workload, 0.0)), 6) + 0.0 AS mean_unused_capacity, round(avg(trigger) * 100, 6) + 0.0 AS reserve_activation_percent FROM nc GROUP BY ALL)
+SELECT nm.config_id, {", ".join(f"nm.{n}, round(nm.{n} - b.{n}, 6) + 0.0 AS {n}_delta" for n in DELTAS)} FROM nm, nm b WHERE b.config_id = {BASE_CONFIG}""")
 def cp_downstream_robustness(spark, sf_dir):
     """Policy V4 under the base configuration and the eight that differ from it in one parameter, as differences from the base."""
-    base = next(c for c in GRID if c[0] == BASE_CONFIG)
-    near = [c for c in GRID if sum(a != b for a, b in zip(c[1:], base[1:], strict=True)) <= 1]
+    near = NEAR
     view = view5(spark, sf_dir)
     low = view.agg(F.min("bucket").alias("_low"))
     alarms = changepoint.sensitivity(view, near).crossJoin(F.broadcast(low)).select("config_id", (F.col("position") + F.col("_low")).alias("bucket"), F.lit(1).alias("change_alarm"))
     # nine configurations
     configs = F.broadcast(spark.createDataFrame([(c[0],) for c in near], "config_id int"))
-    rows = settled(policy_rows(spark, sf_dir).drop("change_alarm"), "policy-rows").crossJoin(configs).join(alarms, ["config_id", "bucket"], "left")
+    rows = settled(policy_rows(spark, sf_dir).drop("change_alarm"), "policy-rows").crossJoin(configs).join(settled(alarms, "alarms"), ["config_id", "bucket"], "left")
     v4 = control.policies(rows).select("config_id", "actual_workload", F.col("V4_trigger").alias("trigger"), F.col("V4_capacity").alias("capacity"))
     found = control.capacity_metrics(v4, by="config_id")
-    names = ["mean_shortage", "mean_unused_capacity", "reserve_activation_percent"]
+    names = DELTAS
     own = found.where(F.col("config_id") == BASE_CONFIG).select(*(F.col(n).alias(f"_{n}") for n in names))
     return found.crossJoin(F.broadcast(own)).select("config_id", *names, *(rounded(F.col(n) - F.col(f"_{n}")).alias(f"{n}_delta") for n in names))
 
@@ -635,7 +762,15 @@ def failure_gbt(spark, sf_dir):
     return rows.select("minute", "split", "failure", *r("probability_of_failure"))
 
 
-@query()
+ISOTONIC_SQL = """ks AS (SELECT minute, failure, CAST(risk AS DOUBLE) AS risk, minute - min(minute) OVER () AS place, max(minute) OVER () - min(minute) OVER () + 1 AS n FROM kr),
+kp AS (SELECT minute, failure, risk, CASE WHEN place < floor(n * (12384 / 17566)) THEN 'train' WHEN place < floor(n * (14976 / 17566)) THEN 'calibration' ELSE 'test' END AS split FROM ks),
+ki AS (SELECT risk AS x, sum(failure) AS y, count(*) AS w FROM kp WHERE split = 'calibration' GROUP BY risk),
+kf AS (SELECT x, (SELECT max(low) FROM (SELECT (SELECT min((SELECT CAST(sum(c.y) AS DOUBLE) / sum(c.w) FROM ki c WHERE c.x >= a.x AND c.x <= b.x)) FROM ki b WHERE b.x >= i.x) AS low FROM ki a WHERE a.x <= i.x)) AS fit FROM ki i),
+kl AS (SELECT r.risk, max(x) FILTER (x <= r.risk) AS lo, min(x) FILTER (x >= r.risk) AS hi FROM (SELECT DISTINCT risk FROM kp) r, kf GROUP BY r.risk),
+kc AS (SELECT kl.risk, CASE WHEN lo IS NULL THEN b.fit WHEN hi IS NULL OR hi = lo THEN a.fit ELSE a.fit + (b.fit - a.fit) * (kl.risk - lo) / (hi - lo) END AS calibrated FROM kl LEFT JOIN kf a ON a.x = lo LEFT JOIN kf b ON b.x = hi)"""
+
+
+@query(f"{WITH_MINUTES}, {RISK_SQL}, {ISOTONIC_SQL} SELECT minute, split, failure, round(kp.risk, 6) + 0.0 AS risk, round(calibrated, 6) + 0.0 AS calibrated FROM kp JOIN kc ON kc.risk = kp.risk")
 def isotonic_calibration(spark, sf_dir):
     risk = with_split(surrogate_risk(minutes(spark, sf_dir)), "minute")
     return learning.isotonic(risk, "risk", "failure").select("minute", "split", "failure", *r("risk", "calibrated"))
@@ -681,3 +816,6 @@ def figure_shortage_quartiles(spark, sf_dir):
 def figure_absolute_error(spark, sf_dir):
     rows = with_split(learning.causal_baselines(view5(spark, sf_dir))).where("split = 'test' AND actual IS NOT NULL AND moving_average IS NOT NULL")
     return rows.select("bucket", "actual", rounded(F.abs(F.col("moving_average") - F.col("actual"))).alias("absolute_error"))
+
+
+from tidewheel.plans import reports  # noqa: E402, F401  registers more queries

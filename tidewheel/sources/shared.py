@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (a local session) one of our own is set."""
+    """The session's ``spark.checkpoint.dir``; only where that is unset, in a local session, one of our own is set.
+
+    On a cluster without that setting this is a ValueError: executors would
+    write to disks that others cannot read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints/tidewheel"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
