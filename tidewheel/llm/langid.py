@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.support import col, crc_bucket, documents, slices, text_buffers
+from tidewheel.llm.support import col, crc_bucket, documents, map_batches, slices, text_buffers
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS,
 
     # at most ``rows`` keys are broadcast
     kind = usable.schema["k"].dataType.simpleString()
-    got = usable.join(F.broadcast(chosen), "k").mapInArrow(run, f"k {kind}, y string, w binary").toPandas().sort_values(["k", "y", "w"], kind="stable")
+    got = map_batches(usable.join(F.broadcast(chosen), "k"), run, f"k {kind}, y string, w binary").toPandas().sort_values(["k", "y", "w"], kind="stable")
     if not len(got):
         return None
     languages = sorted(got["y"].unique())
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", key:
                 score = np.where(letters, mean.max(1), 0.0)
             yield pa.record_batch([col(part, "doc_id"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_batches(rows, run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

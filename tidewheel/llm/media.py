@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.support import col, documents, slices, stored
+from tidewheel.llm.support import col, documents, map_batches, slices, stored
 
 UNIT = 64
 CHUNK_UNITS = 256
@@ -175,7 +175,7 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             texts = [(x or "").encode() for x in col(part, "text").to_pylist()]
             yield pa.record_batch([col(part, "doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([write_container(pad(x)) for x in texts], pa.binary())], schema=MEDIA)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def describe_media(media: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def describe_media(media: DataFrame) -> DataFrame:
                 rows.append({"doc_id": doc, "n_bytes": n, "codec": track["codec"], "timescale": track["timescale"], "duration": track["duration"], "samples": len(track["sizes"]), "keyframes": [{"start": a, "end": b} for a, b in keyframe_ranges(track)], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()})
             yield pa.RecordBatch.from_pylist(rows, schema=FACTS)
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, codec string, timescale long, duration long, samples long, keyframes array<struct<start:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    return map_batches(media, run, "doc_id long, n_bytes long, codec string, timescale long, duration long, samples long, keyframes array<struct<start:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
 
 
 def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components, roots
-from tidewheel.llm.support import col, documents, list_array, maybe_among, slices, stored, stored_with, text_buffers
+from tidewheel.llm.support import col, documents, list_array, map_batches, maybe_among, slices, stored, stored_with, text_buffers
 from tidewheel.llm.words import find, grams, mix, prefix_hash, range_hash
 
 SHINGLE = 5
@@ -152,7 +152,7 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: in
             yield pa.record_batch(arrays, names=["row", "doc_id", "f1", "f2", "n", "bands"])
 
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "row long, doc_id long, f1 long, f2 long, n long, bands array<long>")
+    return map_batches(own, run, "row long, doc_id long, f1 long, f2 long, n long, bands array<long>")
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
         own = own.where(among(F.col("doc_id")))
     # a null id matches a null id; several rows of one id are told apart by their fingerprints
     found = own.join(wanted, own["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text", "n", "f1", "f2", "bands")
-    return found.mapInArrow(run, "node long, n long, bands array<long>, bag array<long>").dropDuplicates(["node"])
+    return map_batches(found, run, "node long, n long, bands array<long>, bag array<long>").dropDuplicates(["node"])
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bpe import encoder, ids_crc32
-from tidewheel.llm.support import col, documents, list_array, slices, stored
+from tidewheel.llm.support import col, documents, list_array, map_batches, slices, stored
 
 CAPACITY = 2048
 
@@ -138,7 +138,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
             yield pa.record_batch(arrays, names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES + ", ids array<int>" * ids)
+    return map_batches(rows, run, PIECES + ", ids array<int>" * ids)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -166,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(np.full(len(length), shard, np.int32)), pa.array(local)], names=[*batch.schema.names, "_shard", "_rank"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", _shard int, _rank long"
-    ranked = stored(pieces.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(rank, schema), "packing-ranks")
+    ranked = stored(map_batches(pieces.repartitionByRange(shards, *order).sortWithinPartitions(*order), rank, schema), "packing-ranks")
     # a shard holds a range of lengths, so there are at most shards + capacity rows here
     held = ranked.groupBy("length", "_shard").count().orderBy("length", "_shard").collect()
     counts: dict[int, int] = defaultdict(int)
@@ -191,7 +191,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_shard", "_rank")]
             yield pa.record_batch([*kept, pa.array(s[at, 3] + ranks - s[at, 1]), pa.array(s[at, 4])], names=[*[n for n in batch.schema.names if n not in ("_shard", "_rank")], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    return map_batches(ranked, place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 
 def best_fit_pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False, added: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.support import col, documents, maybe_among, slices, stored, text_buffers
+from tidewheel.llm.support import col, documents, map_batches, maybe_among, slices, stored, text_buffers
 from tidewheel.llm.words import Words, find, grams, mix, prefix_hash, range_hash
 
 WINDOW = 20
@@ -109,7 +109,7 @@ def profiles(docs: DataFrame, keep: list[str], window: int = WINDOW, anchor: int
             number += n
 
     own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.struct(*keep).alias("_keep"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    out = own.mapInArrow(run, f"_row long, doc_id long, _keep {own.schema['_keep'].dataType.simpleString()}, n_words long, _t1 long, _t2 long, _anchors array<long>, kept_text string")
+    out = map_batches(own, run, f"_row long, doc_id long, _keep {own.schema['_keep'].dataType.simpleString()}, n_words long, _t1 long, _t2 long, _anchors array<long>, kept_text string")
     return out.withColumn("kept_text", F.sha2("kept_text", 256)) if texts == "digest" else out
 
 
@@ -209,7 +209,7 @@ def _segments(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
             own = (first - w.first[of]).tolist()
             yield _batch(_settled(list(zip(keys.tolist(), warm.tolist(), [task] * len(of), rows.tolist(), docs, own, live, [0] * len(of), texts, strict=True)), window))
 
-    return candidates.mapInArrow(run, SEGMENT)
+    return map_batches(candidates, run, SEGMENT)
 
 
 def _trees(segments: DataFrame, group: Column, window: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _trees(segments: DataFrame, group: Column, window: int) -> DataFrame:
                 held = [r for r in done if r[6]]
         yield _settled([r[:9] for r in held], window)
 
-    return dealt.mapInArrow(lambda batches: map(_batch, parts(batches)), SEGMENT)
+    return map_batches(dealt, lambda batches: map(_batch, parts(batches)), SEGMENT)
 
 
 def _cut(candidates: DataFrame, window: int) -> DataFrame:
@@ -261,7 +261,7 @@ def _cut(candidates: DataFrame, window: int) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch([col(part, "row"), pa.array(counts), pa.array(spans, kind), pa.array(texts, pa.string())], names=["row", "n_removed", "spans", "kept_text"])
 
-    return candidates.mapInArrow(run, "row long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    return map_batches(candidates, run, "row long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, texts: str = "all", prefix: str = "") -> DataFrame:
@@ -330,7 +330,7 @@ def _matching(found: DataFrame) -> DataFrame:
             kept = part.select(["row", "doc_id", "text", "repeated", "hot"])
             yield kept.filter(pa.array(same))
 
-    return found.mapInArrow(run, "row long, doc_id long, text string, repeated array<long>, hot array<long>")
+    return map_batches(found, run, "row long, doc_id long, text string, repeated array<long>, hot array<long>")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

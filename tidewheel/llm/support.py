@@ -14,17 +14,22 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes at once; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
+#: Bytes that go to a Python worker at once, unless one row has more; by default Spark sends eight times as many.
+BATCH_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    local test session) a folder of our own is chosen and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a
+    local session a folder of our own is chosen and set; on a cluster that is a
+    ValueError, as executors would write to disks that others cannot read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/checkpoints/tidewheel"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,6 +56,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session be small, so that workers hold little besides what they compute."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with :func:`small_batches`; a worker gives memory back when its task ends."""
+    small_batches(df.sparkSession)
+
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def stored_with(df: DataFrame, label: str, **totals: Column) -> tuple[DataFrame, dict]:
     """:func:`stored`, and aggregates over the rows that are found while they are written."""
     seen = Observation()

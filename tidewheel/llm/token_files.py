@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bpe import encoder, ids_crc32
-from tidewheel.llm.support import col, documents, fresh_path, list_array, slices
+from tidewheel.llm.support import col, documents, fresh_path, list_array, map_batches, slices
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 16 << 20
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    tokens = map_batches(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"), run, SCHEMA)
     writer = tokens.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     writer = writer.option("parquet.enable.dictionary", encoding == "dictionary")
     if encoding == "delta":
@@ -83,7 +83,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             crc = np.fromiter((ids_crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.int64, len(ids))
             yield pa.record_batch([col(batch, "doc_id"), col(batch, "shard"), col(batch, "shard_start"), pa.array(np.diff(offsets)), pa.array(crc)], names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    return map_batches(tokens, run, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:

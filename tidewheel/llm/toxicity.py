@@ -9,15 +9,16 @@ toxic texts far more often than chance allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import boosting
-from tidewheel.llm.support import col, crc_bucket, documents, slices, stored, text_buffers
+from tidewheel.llm.support import col, crc_bucket, documents, map_batches, slices, small_batches, stored, text_buffers
 from tidewheel.llm.words import Words, find, prefix_hashes
 
 #: Labelled rows that are learned from, at most: those of smallest hashed id.
@@ -168,7 +169,7 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
                 held = np.diff(np.append(begin, len(h)))
                 yield pa.record_batch([pa.array(stems.view(np.int64)), pa.array(held), pa.array(np.add.reduceat(toxic[text], begin))], names=["stem", "held", "bad"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "stem long, held long, bad long").groupBy("stem").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad"))
+    return map_batches(rows.select("text", "toxic"), run, "stem long, held long, bad long").groupBy("stem").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad"))
 
 
 def learn_stems(rows: DataFrame, total: int, bad: int, limit: int = MAX_STEMS) -> np.ndarray:
@@ -210,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
             x = features(*text_buffers(col(part, "text")), stems)
             yield pa.record_batch([col(part, "doc_id"), col(part, "toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    found = sample.mapInArrow(run, "doc_id long, toxic int, x array<double>").select("doc_id", "toxic", "x", crc_bucket(F.col("doc_id"), 15).alias("fold")).toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+    found = map_batches(sample, run, "doc_id long, toxic int, x array<double>").select("doc_id", "toxic", "x", crc_bucket(F.col("doc_id"), 15).alias("fold")).toPandas().sort_values(["doc_id", "toxic"], kind="stable")
     if not len(found):
         return Model(stems, boosting.fit(np.zeros((0, 1)), np.zeros(0)), boosting.fit_isotonic(np.zeros(0), np.zeros(0)))
     x, y = np.stack(found["x"].to_list()), found["toxic"].to_numpy(float)
@@ -221,20 +222,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     return Model(stems, trees, boosting.fit_isotonic(trees.margin(x[calibrate]), y[calibrate]))
 
 
+def scorer(model: Model) -> Callable[[Column], Column]:
+    """The score of a text column, as a column: only texts go to Python and only scores come back."""
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [model.score(*text_buffers(col(part, "text"))) for part in slices(iter([pa.record_batch([texts], names=["text"])]))]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of each whole text. Null is scored as the empty text.
+    """All columns of ``docs`` and the score of each whole text.
 
-    A column of ``docs`` that is called like the new one is replaced.
+    Null is scored as the empty text, rows that repeat are scored alike, an
+    empty table gives an empty result. A column of ``docs`` that is called like
+    the new one is replaced.
     """
-    kept = [c for c in docs.columns if c != name]
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, scorer(model)(F.coalesce(F.col(text), F.lit(""))))
 
-    def run(batches):
-        for part in slices(batches, text):
-            values = model.score(*text_buffers(col(part, text)))
-            yield pa.record_batch([*(col(part, c) for c in kept), pa.array(values)], names=[*kept, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, `{name}` double")
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns; texts are treated as by :func:`score`."""
+    small_batches(docs.sparkSession)
+    return docs.where(scorer(model)(F.coalesce(F.col(text), F.lit(""))) < threshold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -250,9 +263,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
         for part in slices(batches):
             yield pa.record_batch([col(part, "doc_id"), pa.array(model.score(*text_buffers(col(part, "text"))))], names=["doc_id", "score"])
 
-    scored = own.mapInArrow(run, "doc_id long, score double")
+    scored = map_batches(own, run, "doc_id long, score double")
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """:func:`toxicity` over all of ``documents``, learned from ``labels``."""
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

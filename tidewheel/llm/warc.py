@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.support import fresh_path, slices, stored
+from tidewheel.llm.support import fresh_path, map_batches, slices, stored
 
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -171,7 +171,7 @@ def write_archives(pages: DataFrame, min_payload: int = 0, frame_bytes: int = FR
     rows = rows.join(best, ["_same", "_n"])
     revisit = F.coalesce((F.col("_n") >= min_payload) & ((F.col("page_id") != F.col("_best")) | (F.col("page_id").isNull() & F.col("_best").isNotNull())), F.lit(False))
     rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_best")).alias("refers_to"), revisit.alias("revisit"))
-    return stored(rows.mapInArrow(_write(fresh_path(pages.sparkSession, "warc"), frame_bytes, bundle_bytes), MANIFEST), "warc-manifest")
+    return stored(map_batches(rows, _write(fresh_path(pages.sparkSession, "warc"), frame_bytes, bundle_bytes), MANIFEST), "warc-manifest")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -210,7 +210,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.mapInArrow(run, READ)
+    return map_batches(manifest, run, READ)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
