@@ -15,18 +15,32 @@ from tidewheel.llm.support import documents, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic.
+
+    Null texts are scored as empty ones, rows that repeat stay or go together,
+    an empty table gives an empty one. All columns stay, whatever their names.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, name="_toxicity").where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id.
+
+    Null equals the empty text. Rows that repeat id and text all stay; null ids
+    lose against others and stay where a group has no others. An empty table
+    gives an empty one.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id."""
+    """Of each class of near duplicates the document with the smallest id.
+
+    Texts without words (null, empty, white space) are one class. Rows that
+    repeat the kept id stay, as do all rows of a class without ids. An empty
+    table gives an empty one.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
@@ -34,18 +48,28 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that occur earlier; what has none is left as it is.
 
     A changed text is its kept words joined by one space, and n_chars follows
-    it. A document that is nothing but repeats stays as an empty text.
+    it. A document that is nothing but repeats stays as an empty text. Null
+    texts have no words and stay null, null ids are later than all others, rows
+    that repeat an id are not earlier than one another. An empty table gives an
+    empty one. Columns may have any names.
     """
-    cut = substrings.substring_dedup(docs, docs.columns, texts="changed", prefix="_cut_")
-    changed = F.col("_cut_n_removed") > 0
-    out = cut.withColumn("text", F.when(changed, F.col("_cut_kept_text")).otherwise(F.col("text")))
+    prefix = "_cut_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    cut = substrings.substring_dedup(docs, docs.columns, texts="changed", prefix=prefix)
+    changed = F.col(f"{prefix}n_removed") > 0
+    out = cut.withColumn("text", F.when(changed, F.col(f"{prefix}kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in the training sequences."""
+    """Where each piece of each document goes in the training sequences.
+
+    Null and empty texts are one piece of one token; null and repeated ids are
+    documents of their own. An empty table gives no rows.
+    """
     return packing.best_fit_pack(docs, added=True)
 
 
