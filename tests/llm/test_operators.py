@@ -515,3 +515,22 @@ def test_exact_dedup_chains_colliding_texts(spark, hash_of):
     assert got == want
     kept = exact_dedup.drop_copies(docs, capacity=2, hash_of=hash_of).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, t) for i, t in rows if i == best[t or ""])
+
+
+def test_recall_by_similarity(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], []
+    for i in range(500):
+        w = [f"{x}" for x in rng.integers(0, 10**6, 104)]
+        v = list(w)
+        for p in rng.choice(20, i % 3, replace=False) * 5 + 2:
+            v[p] = "edited"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        pairs.append(jaccard(bag(rows[-1][1]), bag(rows[-2][1])))
+    got = rows_of(minhash.near_duplicates(table(spark, rows)))
+    linked = np.array([got[2 * i + 1].class_id == 2 * i for i in range(500)])
+    pairs = np.array(pairs)
+    for low, high in ((0.8, 0.85), (0.85, 0.95), (0.95, 1.01)):
+        inside = (pairs >= low) & (pairs < high)
+        assert inside.sum() >= 100 and linked[inside].mean() >= 0.99
+    assert not linked[pairs < 0.8].any()

@@ -27,7 +27,8 @@ FILTERS = 10
 EMBEDDING = 8
 #: Labelled rows that are learned from, at most: those of smallest hashed id.
 TRAIN_ROWS = 6000
-#: Windows of a labelled row, at most, evenly spread over the text.
+#: Windows that stand for a labelled row in training, at most, evenly spread over its whole text.
+#: Long texts would outweigh others else. Predictions read every window of every text.
 TRAIN_WINDOWS = 4
 EPOCHS = 12
 BATCH = 128
@@ -211,4 +212,5 @@ def language_id(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """:func:`language_id` over all of ``documents``."""
     return language_id(documents(spark, sf_dir))

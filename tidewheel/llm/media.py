@@ -205,6 +205,7 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 
 def op7_media_columns(spark, sf_dir: str) -> DataFrame:
+    """Facts of the containers of all of ``documents``, from the stored bytes."""
     facts = media_columns(documents(spark, sf_dir))
     first, last = F.element_at("keyframes", 1), F.element_at("keyframes", -1)
     feature = F.format_string("codec=%s timescale=%d duration=%d samples=%d keyframes=%d first=%d-%d last=%d-%d", "codec", "timescale", "duration", "samples", F.size("keyframes"), first["start"], first["end"], last["start"], last["end"])

@@ -132,8 +132,12 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row (unique number), doc_id, f1 and f2 (fingerprint of the multiset), n (shingles), bands."""
+    """row (unique number), doc_id, hash (of the text), f1 and f2 (fingerprint of the multiset), n (shingles), bands."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
@@ -147,12 +151,12 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", bands: in
                 prints.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
             signature = bag_min_hash(*counted(of, h), n, bands * rows)
             hashes = band_hashes(signature, bands)
-            arrays = [pa.array(task + number + np.arange(n)), col(part, "doc_id"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(first)), list_array(hashes.ravel(), np.full(n, bands), pa.int64())]
+            arrays = [pa.array(task + number + np.arange(n)), col(part, "doc_id"), col(part, "hash"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(first)), list_array(hashes.ravel(), np.full(n, bands), pa.int64())]
             number += n
-            yield pa.record_batch(arrays, names=["row", "doc_id", "f1", "f2", "n", "bands"])
+            yield pa.record_batch(arrays, names=["row", "doc_id", "hash", "f1", "f2", "n", "bands"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(own, run, "row long, doc_id long, f1 long, f2 long, n long, bands array<long>")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), _text_hash(F.col(text)).alias("hash"))
+    return map_batches(own, run, "row long, doc_id long, hash long, f1 long, f2 long, n long, bands array<long>")
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +228,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     The row whose doc_id is the class_id is kept; rows that repeat it are all
     marked kept. Null doc_ids count as larger than others; where all of a class
     are null, class_id is null and nothing is kept. Other columns of ``docs``
-    are ignored. An empty table gives an empty result.
+    are ignored, whatever their names. Keys are whole numbers, or text that
+    reads as such. An empty table gives an empty result.
     """
+    return _classes(docs, text, key, threshold, bands, rows).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+
+
+def _classes(docs: DataFrame, text: str, key: str, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, hash of the text and class_id of each row."""
     profile = stored(profiles(docs, text, key, bands, rows), "minhash-profiles")
     equal = stored(profile.groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "minhash-equal")
     nodes = stored(profile.join(equal.select(F.col("node").alias("row")), "row").where("n > 0").select(F.col("row").alias("node"), "doc_id", "f1", "f2", "n", "bands"), "minhash-nodes")
@@ -250,8 +260,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     classes = equal.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("least").alias("class_id"))
     of_node = stored(classes.select("f1", "f2", "n", "label").join(least, "label").select("f1", "f2", "n", "class_id"), "minhash-classes")
-    out = profile.select("doc_id", "f1", "f2", "n").join(of_node, ["f1", "f2", "n"])
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    return profile.select("doc_id", "hash", "f1", "f2", "n").join(of_node, ["f1", "f2", "n"]).select("doc_id", "hash", "class_id")
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
@@ -282,15 +291,17 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class of :func:`near_duplicates`, with all columns: that of the smallest key.
 
-    Rows that repeat a kept key stay; where all keys of a class are null, all
-    its rows stay.
+    Rows that repeat a kept key and text stay; where all keys of a class are
+    null, all its rows stay. Of rows with one key and different texts each goes
+    by its own class.
     """
-    classes = near_duplicates(docs, text, key, threshold)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    classes = _classes(docs, text, key, threshold)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash"))
+    return docs.join(kept, docs[key].cast("long").eqNullSafe(kept["_kept"]) & (_text_hash(docs[text]) == kept["_hash"]), "left_semi")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` over all of ``documents``."""
     return near_duplicates(documents(spark, sf_dir))
 
 

@@ -334,6 +334,7 @@ def _matching(found: DataFrame) -> DataFrame:
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Counts and digests of :func:`substring_dedup` over all of ``documents``."""
     out = substring_dedup(documents(spark, sf_dir), texts="digest")
     return out.select("doc_id", "n_words", "n_removed", F.col("kept_text").alias("kept_sha256"))
 

@@ -24,8 +24,6 @@ from tidewheel.llm.words import Words, find, prefix_hashes
 #: Labelled rows that are learned from, at most: those of smallest hashed id.
 TRAIN_ROWS = 20_000
 STEM_BYTES = (4, 5, 6)
-#: Stems learned at most: those of the strongest evidence.
-MAX_STEMS = 4000
 NEAR_WORDS = 6
 
 INSULTS = (
@@ -172,12 +170,13 @@ def _stem_counts(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("text", "toxic"), run, "stem long, held long, bad long").groupBy("stem").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad"))
 
 
-def learn_stems(rows: DataFrame, total: int, bad: int, limit: int = MAX_STEMS) -> np.ndarray:
+def learn_stems(rows: DataFrame, total: int, bad: int) -> np.ndarray:
     """Hashes of stems that toxic rows have far more often than chance allows.
 
     The evidence of a stem is the log-likelihood ratio of its share of toxic
     rows against the overall share. It must exceed the logarithm of twenty
-    times the number of stems, so that chance brings in 0.05 stems or so.
+    times the number of stems, so that chance brings in 0.05 stems or so. There
+    are no more of them than the sample's words, which ``TRAIN_ROWS`` bounds.
     """
     if not 0 < bad < total:
         return np.zeros(0, np.uint64)
@@ -187,7 +186,7 @@ def learn_stems(rows: DataFrame, total: int, bad: int, limit: int = MAX_STEMS) -
     share = F.col("bad") / F.col("held")
     evidence = F.col("held") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     found = counts.where((F.col("bad") > 0) & (share > min(0.5, 3 * base))).withColumn("evidence", evidence).where(F.col("evidence") > float(np.log(20 * tried)))
-    top = found.orderBy(F.desc("evidence"), "stem").limit(limit).select("stem").collect()
+    top = found.select("stem").collect()
     return np.unique(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 

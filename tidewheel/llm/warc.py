@@ -95,6 +95,9 @@ class Bundle:
             at += packed
         self.held: tuple[int, bytes] | None = None
 
+    def close(self):
+        self.file.close()
+
     def frame(self, number: int) -> bytes:
         if self.held is None or self.held[0] != number:
             at, packed, plain = self.frames[number]
@@ -161,14 +164,15 @@ def write_archives(pages: DataFrame, min_payload: int = 0, frame_bytes: int = FR
     Of rows with equal payloads of at least ``min_payload`` bytes the one with
     the largest page_id is the response, the others revisit it; of rows that
     repeat both that page_id and the payload, each is a response. Smaller
-    payloads are all responses. A null html is an empty payload; a null page_id
+    payloads are all responses. A null html is an empty payload, an empty table gives no records; a null page_id
     never wins against another, and where all are null all are responses. Other
     columns of ``pages`` are ignored.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(body, 256).alias("_same"), F.octet_length(body).alias("_n"))
-    best = rows.groupBy("_same", "_n").agg(F.max("page_id").alias("_best"))
-    rows = rows.join(best, ["_same", "_n"])
+    # payloads that occur once need no partner; as a table of its own the others can be joined in split parts
+    best = stored(rows.groupBy("_same", "_n").agg(F.max("page_id").alias("_best"), F.count("*").alias("_c")).where("_c > 1").drop("_c"), "warc-repeated")
+    rows = rows.join(best, ["_same", "_n"], "left")
     revisit = F.coalesce((F.col("_n") >= min_payload) & ((F.col("page_id") != F.col("_best")) | (F.col("page_id").isNull() & F.col("_best").isNotNull())), F.lit(False))
     rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_best")).alias("refers_to"), revisit.alias("revisit"))
     return stored(map_batches(rows, _write(fresh_path(pages.sparkSession, "warc"), frame_bytes, bundle_bytes), MANIFEST), "warc-manifest")
@@ -192,6 +196,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             rows, held = [], 0
             for r in batch.to_pylist():
                 if r["bundle"] != name:
+                    if bundle:
+                        bundle.close()
                     name = r["bundle"]
                     files, path = fs.FileSystem.from_uri(name)
                     bundle = Bundle(files, path)
@@ -209,11 +215,14 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if bundle:
+            bundle.close()
 
     return map_batches(manifest, run, READ)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
+    """Facts of the records of all ``pages``, from archives that were written and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_archives(write_archives(pages), payloads=False).drop("payload")
 
