@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from tidewheel.llm.memory import Memory
 
 #: Stretches that a worker remembers, and their characters and ids together.
-CACHE_STRETCHES = 250_000
-CACHE_SIGNS = 5_000_000
+CACHE_STRETCHES = 600_000
+CACHE_SIGNS = 12_000_000
 #: New stretches that the library gets as one text.
 JOINED = 500
 END = 0
