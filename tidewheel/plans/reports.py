@@ -236,16 +236,20 @@ def learned_rows(spark, sf_dir) -> DataFrame:
     view = c.view5(spark, sf_dir)
     alarms = settled(changepoint.change_points(view), "change-points")
     rows = settled(c.with_split(features.workload_features(view, alarms)), "workload-rows")
-    hgb, cp = (learning.forecast(rows, features.workload_feature_names(k), "gbt").select("bucket", F.col("forecast").alias(n)) for k, n in ((False, "hgb"), (True, "cp_hgb")))
-    scored = learning.failure_risk(c._risk_rows(spark, sf_dir), features.failure_feature_names())
-    risk = settled(learning.isotonic(settled(scored, "scored"), "probability_of_failure", "failure"), "calibrated")
-    five = control.to_five_minutes(control.adaptive_threshold(risk, c.calibration_rate(risk, "minute"), "minute", "calibrated"), probability="calibrated")
-    actual = rows.where("target_next_5min IS NOT NULL").select("bucket", "split", F.col("target_next_5min").cast("double").alias("actual_workload"), F.col("total_tokens").cast("double").alias("persistence"))
-    key = ["bucket"]
-    joined = quality.one_to_one(quality.one_to_one(actual, settled(hgb, "hgb"), key), settled(cp, "cp-hgb"), key)
-    joined = quality.one_to_one(joined, settled(five, "risk-five"), key)
-    joined = quality.one_to_one(joined, alarms.select("bucket", "change_alarm"), key, "left")
-    return settled(joined.withColumn("forecast_workload", F.col("cp_hgb")), "learned-rows")
+    scored = c.scored_minutes(spark, sf_dir)
+
+    def make() -> DataFrame:
+        hgb, cp = (learning.forecast(rows, features.workload_feature_names(k), "gbt").select("bucket", F.col("forecast").alias(n)) for k, n in ((False, "hgb"), (True, "cp_hgb")))
+        risk = settled(learning.isotonic(scored, "probability_of_failure", "failure"), "calibrated")
+        five = control.to_five_minutes(control.adaptive_threshold(risk, c.calibration_rate(risk, "minute"), "minute", "calibrated"), probability="calibrated")
+        actual = rows.where("target_next_5min IS NOT NULL").select("bucket", "split", F.col("target_next_5min").cast("double").alias("actual_workload"), F.col("total_tokens").cast("double").alias("persistence"))
+        key, out = ["bucket"], actual
+        for part, name in ((hgb, "hgb"), (cp, "cp-hgb"), (five, "risk-five")):
+            out = quality.one_to_one(out, settled(part, name), key)
+        out = quality.one_to_one(out, alarms.select("bucket", "change_alarm"), key, "left")
+        return out.withColumn("forecast_workload", F.col("cp_hgb"))
+
+    return c.held("learned-rows", make, rows, scored)
 
 
 @query()
