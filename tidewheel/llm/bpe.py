@@ -15,13 +15,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidewheel.llm.memory import Memory
+from tidewheel.llm.memory import HEAD, Memory
 
 #: Stretches that a worker remembers, and their characters and ids together.
 CACHE_STRETCHES = 600_000
@@ -31,6 +31,8 @@ JOINED = 500
 END = 0
 #: A space inside a run of white space that goes on behind it: a cut there could change the pieces.
 _SPACE = r"[\s\v\x{85}\p{Z}\x{1c}-\x{1f}]"
+#: First characters of stretches that are encoded on their own: white space, none, or a key's mark.
+_ODD = frozenset(["", HEAD, *(chr(i) for i in range(0x3001) if chr(i).isspace())])
 _UNSAFE = rf"{_SPACE} ({_SPACE}|\z)"
 
 
@@ -59,26 +61,23 @@ class Encoder:
         Those that begin with white space, or have no space before them, are
         encoded on their own: joined to others they could be cut differently.
         """
-        alone = [i for i, k in enumerate(stretches) if type(k) is tuple or not k or k[0].isspace()]
-        if alone:
-            lone = set(alone)
-            joined = [i for i in range(len(stretches)) if i not in lone]
-        else:
-            joined = range(len(stretches))
-        words = [" " + stretches[i] for i in joined]
-        texts = ["".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
-        texts += [stretches[i][0] if type(stretches[i]) is tuple else " " + stretches[i] for i in alone]
+        alone = [i for i, k in enumerate(stretches) if k[:1] in _ODD]
+        odd = np.zeros(len(stretches), bool)
+        odd[alone] = True
+        words = list(compress(stretches, (~odd).tolist()))
+        lone = [stretches[i][1:] if stretches[i][:1] == HEAD else " " + stretches[i] for i in alone]
+        texts = [" " + " ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)] + lone
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
-        size = np.array([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in chain(words, texts[len(texts) - len(alone) :])], np.int64)
+        # bytes of each stretch with its space, and of the lone ones
+        size = np.concatenate([pc.binary_length(pa.array(part, pa.string())).to_numpy() + more for part, more in ((words, 1), (lone, 0))]).astype(np.int64)
         bound = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size), "left") + 1
         bound[size == 0] = 0
         bound = np.maximum.accumulate(bound)
         lengths = np.diff(bound, prepend=0)
-        if alone:
-            order = np.empty(len(stretches), np.int64)
-            order[np.concatenate([np.array(list(joined), np.int64), np.array(alone, np.int64)])] = np.arange(len(stretches))
-            bound, lengths = bound[order], lengths[order]
+        order = np.empty(len(stretches), np.int64)
+        order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(stretches))
+        bound, lengths = bound[order], lengths[order]
         self.memory.learn(stretches, flat, bound, lengths)
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +90,12 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         counts = np.asarray(lists.value_lengths()).astype(np.int64)
         distinct = lists.flatten().dictionary_encode()
-        code = np.fromiter(map(memory.codes.__getitem__, distinct.dictionary.to_pylist()), np.int64)
+        code = memory.numbers(distinct.dictionary.to_pylist())
         codes = code[np.asarray(distinct.indices)]
-        # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under (text,)
+        # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under a key of its own
         head = np.cumsum(counts) - counts
         first = pc.if_else(whole, texts, lists.flatten().take(pa.array(head))).to_pylist()
-        codes[head] = [memory.codes[(t,)] for t in first]
+        codes[head] = memory.numbers([HEAD + t for t in first])
         if unknown := memory.unknown():
             self._learn(unknown)
         flat, ends = memory.ids_of(codes)

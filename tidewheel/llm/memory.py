@@ -2,75 +2,88 @@
 
 from __future__ import annotations
 
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 
-
-class Codes(dict):
-    """Numbers of stretches in the order they were met."""
-
-    def __missing__(self, stretch):
-        code = self[stretch] = len(self)
-        return code
+#: A key that begins with this lone surrogate, which no valid text has, stands for a text's beginning.
+HEAD = "\ud800"
+#: Calls that a stretch outlasts another one for each further call that met it, up to so many.
+CREDIT, MOST_CREDITS = 30, 8
 
 
 class Memory:
-    """Ids of stretches. When it is full, the half that was used longest ago is forgotten.
+    """Ids of stretches. When it is full, those are forgotten that were used long ago and in few calls.
 
-    A key is a string, or a tuple of one. ``stretches`` bounds their number,
-    ``signs`` their characters and ids together, both as of the end of a call.
+    ``stretches`` bounds their number, ``signs`` their characters and ids
+    together, both as of the end of a call.
     """
 
     def __init__(self, stretches: int, signs: int):
         self.stretches, self.signs = stretches, signs
-        self.codes = Codes()
+        self.codes: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
-        self.starts, self.lengths, self.last = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        # for each stretch: where its ids are, how many, its characters and ids, the last call that met it and how many did
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths, self.size, self.last, self.met = (np.zeros(1 << 14, np.int32) for _ in range(4))
         self.known = self.used = self.held = self.calls = 0
 
-    def unknown(self) -> list:
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The number of each key; new ones get the next numbers, in order."""
+        found = list(map(self.codes.get, keys))
+        if None in found:
+            new = dict.fromkeys(compress(keys, [f is None for f in found]))
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+            found = map(self.codes.__getitem__, keys)
+        return np.fromiter(found, np.int64, len(keys))
+
+    def unknown(self) -> list[str]:
         """Keys that have a number but no ids yet."""
-        return list(islice(self.codes, self.known, None))
+        return list(islice(self.codes, self.known, None)) if len(self.codes) > self.known else []
 
-    def learn(self, keys: list, ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
+    def learn(self, keys: list[str], ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
         """Ids of the next keys without: those of key ``i`` end at ``ends[i]`` of ``ids``."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(keys) > len(self.starts):
-            self.starts, self.lengths, self.last = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.last))
+            self.starts, self.lengths, self.size, self.last, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.size, self.last, self.met))
         at = slice(self.known, self.known + len(keys))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[at], self.lengths[at] = self.used + ends - lengths, lengths
+        self.size[at] = lengths + np.fromiter(map(len, keys), np.int64, len(keys))
+        self.last[at], self.met[at] = -1, 0
         self.used += len(ids)
         self.known += len(keys)
-        self.held += sum(len(k[0]) if type(k) is tuple else len(k) for k in keys)
+        self.held += int(self.size[at].sum())
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the keys with these numbers one after another, and the end of each key's."""
+        self.met[codes[self.last[codes] != self.calls]] += 1  # once for each key
         self.last[codes] = self.calls
+        return self._gather(codes)
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[codes].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(total)], ends
 
     def trim(self):
-        """Ends a call: forget what was used longest ago if the memory is full."""
+        """Ends a call: forget half if the memory is full."""
         self.calls += 1
-        if self.known <= self.stretches and self.used + self.held <= self.signs:
+        if self.known <= self.stretches and self.held <= self.signs:
             return
-        keys = list(self.codes)
-        size = self.lengths[: self.known] + np.array([len(k[0]) if type(k) is tuple else len(k) for k in keys], np.int64)
-        order = np.argsort(-self.last[: self.known], kind="stable")
-        most = int(np.searchsorted(np.cumsum(size[order]), self.signs // 2, "right"))
-        kept = np.sort(order[: min(most, self.stretches // 2)])
-        last = self.last[kept]
-        ids, ends = self.ids_of(kept)
-        lengths = self.lengths[kept].copy()
-        self.codes, self.known, self.used, self.held = Codes(), 0, 0, 0
+        worth = self.last[: self.known] + CREDIT * np.minimum(self.met[: self.known], MOST_CREDITS)
+        order = np.argsort(-worth, kind="stable")
+        most = int(np.searchsorted(np.cumsum(self.size[order], dtype=np.int64), self.signs // 2, "right"))
+        stays = np.zeros(self.known, bool)
+        stays[order[: min(most, self.stretches // 2)]] = True
+        kept = np.flatnonzero(stays)
+        ids, ends = self._gather(kept)
+        lengths, last, met = self.lengths[kept], self.last[kept], self.met[kept]
+        keys = list(compress(self.codes, stays.tolist()))
+        self.codes = dict(zip(keys, range(len(keys)), strict=True))
+        self.known = self.used = self.held = 0
         self.ids = np.zeros(max(1 << 16, len(ids)), np.int32)
-        keys = [keys[i] for i in kept.tolist()]
-        for key in keys:
-            self.codes[key] = len(self.codes)
         self.learn(keys, ids, ends, lengths)
-        self.last[: len(keys)] = last
+        self.last[: len(keys)], self.met[: len(keys)] = last, met

@@ -336,7 +336,7 @@ class Codec:
             if f and ("  " in texts[i] or texts[i][0] == " "):
                 found[i] = f = [s[1:] for s in f]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        code = np.fromiter(map(memory.codes.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        code = memory.numbers(list(chain.from_iterable(found)))
         unknown = memory.unknown()
         for a in range(0, len(unknown), LEARN_STRETCHES):
             self._learn(unknown[a : a + LEARN_STRETCHES])
