@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components, roots
-from tidewheel.llm.support import col, documents, list_array, map_batches, maybe_among, slices, stored, stored_with, text_buffers
+from tidewheel.llm.support import col, documents, list_array, map_batches, maybe_among, slices, stored, text_buffers
 from tidewheel.llm.words import find, grams, mix, prefix_hash, range_hash
 
 SHINGLE = 5
