@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidewheel.llm.memory import HEAD, Memory
+from tidewheel.llm.memory import HEAD, Memory, cache
 
 #: Stretches that a worker remembers, and their characters and ids together.
-CACHE_STRETCHES = 600_000
-CACHE_SIGNS = 12_000_000
+CACHE_STRETCHES = 400_000
+CACHE_SIGNS = 8_000_000
 #: New stretches that the library gets as one text.
 JOINED = 500
 END = 0
@@ -106,7 +106,7 @@ class Encoder:
         return out, sizes
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[tuple, Encoder] = cache("bpe")
 
 
 def encoder(path: str | None = None, added: bool = False) -> Encoder:

@@ -12,6 +12,21 @@ HEAD = "\ud800"
 CREDIT, MOST_CREDITS = 30, 8
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What this process keeps from task to task under a name, until a task that does not use it begins."""
+    return _CACHES.setdefault(name, {})
+
+
+def only(name: str | None) -> None:
+    """Forget all that is kept under other names: a worker does not hold one operator's tables while it runs another's."""
+    for other, held in _CACHES.items():
+        if other != name:
+            held.clear()
+
+
 class Memory:
     """Ids of stretches. When it is full, those are forgotten that were used long ago and in few calls.
 

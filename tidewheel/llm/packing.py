@@ -138,7 +138,7 @@ def cut(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
             yield pa.record_batch(arrays, names=names)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, run, PIECES + ", ids array<int>" * ids)
+    return map_batches(rows, run, PIECES + ", ids array<int>" * ids, "bpe")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

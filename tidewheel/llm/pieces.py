@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.memory import Memory
+from tidewheel.llm.memory import Memory, cache
 from tidewheel.llm.support import col, documents, list_array, map_batches, slices
 from tidewheel.llm.words import mix, prefix_hash, range_hash
 
@@ -386,7 +386,7 @@ def to_points(text: str) -> np.ndarray:
     return points
 
 
-_codecs: dict[str | None, Codec] = {}
+_codecs: dict[str | None, Codec] = cache("pieces")
 
 
 def codec(path: str | None = None) -> Codec:
@@ -414,7 +414,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", path
         for keys, ids, sizes in _encoded(batches, path):
             yield pa.record_batch([keys, list_array(ids, sizes, pa.int32())], names=["doc_id", "ids"])
 
-    return map_batches(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_batches(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>", "pieces")
 
 
 def decode_pieces(tokens: DataFrame, path: str | None = None, name: str = "text") -> DataFrame:
@@ -433,7 +433,7 @@ def decode_pieces(tokens: DataFrame, path: str | None = None, name: str = "text"
             yield pa.record_batch([*(col(batch, c) for c in kept), pa.array(texts, pa.binary()).cast(pa.string())], names=[*kept, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(*kept).schema)
-    return map_batches(tokens.select(*kept), run, f"{schema}, `{name}` string")
+    return map_batches(tokens.select(*kept), run, f"{schema}, `{name}` string", "pieces")
 
 
 def piece_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -451,7 +451,7 @@ def piece_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path
             sha = [hashlib.sha256(t).hexdigest() for t in codec(path).decode(ids, sizes)]
             yield pa.record_batch([keys, pa.array(sizes), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
 
-    return map_batches(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return map_batches(own, run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, decoded_sha256 string", "pieces")
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.llm.memory import only
+
 #: Text bytes that one numpy pass takes at once; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 #: Bytes that go to a Python worker at once, unless one row has more; by default Spark sends eight times as many.
@@ -61,11 +63,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with :func:`small_batches`; a worker gives memory back when its task ends."""
+def map_batches(df: DataFrame, run: Callable, schema: str, uses: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with :func:`small_batches`; of what a worker has kept from other tasks only ``uses`` stays."""
     small_batches(df.sparkSession)
 
     def tidy(batches):
+        only(uses)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
 

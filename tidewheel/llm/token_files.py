@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = map_batches(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"), run, SCHEMA)
+    tokens = map_batches(rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text"), run, SCHEMA, "bpe")
     writer = tokens.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     writer = writer.option("parquet.enable.dictionary", encoding == "dictionary")
     if encoding == "delta":

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import boosting
+from tidewheel.llm.memory import only
 from tidewheel.llm.support import col, crc_bucket, documents, map_batches, slices, small_batches, stored, text_buffers
 from tidewheel.llm.words import Words, find, prefix_hashes
 
@@ -226,6 +227,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        only(None)
         parts = [model.score(*text_buffers(col(part, "text"))) for part in slices(iter([pa.record_batch([texts], names=["text"])]))]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
