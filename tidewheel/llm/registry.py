@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import exact_dedup, langid, media, minhash, packing, pieces, substrings, token_files, toxicity, warc
+from tidewheel.llm import divergence, exact_dedup, langid, media, minhash, packing, pieces, simhash, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,
+    "op12_simhash_dedup": simhash.op12_simhash_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substrings.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
