@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import divergence, exact_dedup, langid, media, minhash, packing, pieces, simhash, substrings, token_files, toxicity, warc
+from tidewheel.llm import alignment, divergence, exact_dedup, langid, media, minhash, packing, pieces, simhash, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_simhash_dedup": simhash.op12_simhash_dedup,
     "op13_source_divergence": divergence.op13_source_divergence,
 }

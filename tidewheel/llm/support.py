@@ -41,8 +41,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def stored(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again, in another ``session`` if one is given.
 
     This cuts the lineage: what follows survives the loss of any executor
     without computing ``df`` again. The shuffle files behind it are of no more
@@ -55,7 +55,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or spark).read.schema(df.schema).parquet(path)
+
+
+def sibling(spark: SparkSession, **settings) -> SparkSession:
+    """A session of the same application with the same settings but for those given (``_`` for dots); the caller's keeps its own."""
+    own = spark.newSession()
+    for name, value in (spark.conf.getAll | {k.replace("_", "."): v for k, v in settings.items()}).items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    return own
 
 
 def small_batches(spark: SparkSession) -> None:
