@@ -20,11 +20,13 @@ repeats. As the earliest of the earliest is the earliest, a node with a third of
 all leaves is first settled within the slice of texts, then among some of the
 tasks, and only then as a whole. Words decide: suffixes are compared byte by
 byte, hashes only deal them out. Texts that equal an earlier one word by word
-are resolved before by 128 bits of their words, as they add no leaf that is earlier.
+are resolved before, by 128 bits of the SHA-256 of their words: they add no leaf
+that is earlier.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.support import col, documents, map_batches, maybe_among, slices, stored, text_buffers
-from tidewheel.llm.words import Words, find, grams, mix, prefix_hash, range_hash
+from tidewheel.llm.words import Words, find, grams, mix
 
 WINDOW = 20
 ANCHOR = 8
@@ -65,14 +67,10 @@ def windows(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[n
     return at, path, chosen, hashes
 
 
-def _identity(words: Words) -> list[np.ndarray]:
-    """128 bits of each text's word sequence."""
-    out = []
-    for base in (0x9E6C63D0876A3F35, 0xC6BC279692B5CC83):
-        prefix = prefix_hash(words.hash, base | 1)
-        h = range_hash(prefix, words.first[:-1], words.first[1:], base | 1)
-        out.append(mix(h + words.counts().astype(np.uint64)).view(np.int64))
-    return out
+def _identity(texts: list[bytes]) -> list[np.ndarray]:
+    """128 bits of the SHA-256 of each text's words, joined by one space."""
+    digests = np.frombuffer(b"".join(hashlib.sha256(t).digest()[:16] for t in texts), "<i8").reshape(-1, 2)
+    return [np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])]
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -100,11 +98,12 @@ def profiles(docs: DataFrame, keep: list[str], window: int = WINDOW, anchor: int
             # of a run of equal ones the first two stay
             two = new | np.append(False, new[:-1]) if len(h) else new
             of, h = of[two], h[two]
-            t1, t2 = _identity(w)
+            words = _kept(data, offsets)
+            t1, t2 = _identity(words)
             n = part.num_rows
             begin = np.searchsorted(of, np.arange(n + 1), "left")
             anchors = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(h))
-            kept = pa.array(_kept(data, offsets) if texts != "changed" else [None] * n, pa.binary())
+            kept = pa.array(words if texts != "changed" else [None] * n, pa.binary())
             yield pa.record_batch([pa.array(task + number + np.arange(n)), col(part, "_doc"), col(part, "_keep"), pa.array(w.counts()), pa.array(t1), pa.array(t2), anchors, kept.cast(pa.string())], names=["_row", "doc_id", "_keep", "n_words", "_t1", "_t2", "_anchors", "kept_text"])
             number += n
 
@@ -325,7 +324,7 @@ def _matching(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            t1, t2 = _identity(find(*text_buffers(col(part, "text"))))
+            t1, t2 = _identity(_kept(*text_buffers(col(part, "text"))))
             same = (t1 == np.asarray(col(part, "_t1"))) & (t2 == np.asarray(col(part, "_t2")))
             kept = part.select(["row", "doc_id", "text", "repeated", "hot"])
             yield kept.filter(pa.array(same))

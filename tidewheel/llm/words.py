@@ -9,7 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
+#: Bytes beyond which a word is hashed as a whole.
+LONG_WORD = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -87,6 +90,11 @@ def find(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Wo
     text = np.searchsorted(offsets, start, "right") - 1
     prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
     h = mix(range_hash(prefix, start, end, _BYTE_BASE) ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    # sums of powers modulo 2**64 collide for some pairs of long ranges, whatever the base
+    long = np.flatnonzero(end - start > LONG_WORD)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
     first = np.searchsorted(start, offsets, "left")
     return Words(start, end, text, h, first)
 
