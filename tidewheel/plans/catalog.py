@@ -7,20 +7,24 @@ the hour before, at most 1.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import metrics
 from tidewheel.functions.columns import rounded, surplus
-from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
+from tidewheel.operators import boosting, changepoint, control, features, inference, learning, quality, timeview
 from tidewheel.operators.windows import Blocks
-from tidewheel.sources.shared import settled
+from tidewheel.sources.shared import settled, side_by_side
 from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 TRAIN, CALIBRATION = 12384 / 17566, 14976 / 17566
+#: Where the splits of a series end, as shares of its rows: five-minute buckets have no validation split, minutes have one.
+BUCKET_SPLITS = (("train", TRAIN), ("calibration", CALIBRATION))
+MINUTE_SPLITS = (("train", 0.694), ("validation", 0.694 + 0.074), ("calibration", 0.694 + 0.074 + 0.074))
 FIXED = 0.9591
 FORECASTS = ["persistence", "seasonal_naive", "moving_average"]
 
@@ -281,13 +285,18 @@ TEST_SQL = "bucket >= (SELECT lo + floor(n * (14976 / 17566)) FROM span)"
 
 
 def with_split(df: DataFrame, key: str = "bucket") -> DataFrame:
-    """The chronological split by the key's place in its span; the span is one row."""
+    """The chronological split by the key's place in its span; the span is one row. Minutes are split in four, buckets in three."""
     span = df.agg(F.min(key).alias("_lo"), (F.max(key) - F.min(key) + 1).alias("_n"))
-    place = F.col(key) - F.col("_lo")
-    split = F.when(place < F.floor(F.col("_n") * TRAIN), "train").when(place < F.floor(F.col("_n") * CALIBRATION), "calibration").otherwise("test")
+    place, split = F.col(key) - F.col("_lo"), F.lit("test")
+    for name, end in reversed(MINUTE_SPLITS if key == "minute" else BUCKET_SPLITS):
+        split = F.when(place < F.floor(F.col("_n") * end), name).otherwise(split)
     return df.crossJoin(F.broadcast(span)).withColumn("split", split).drop("_lo", "_n")
 
 
+def minute_split_sql(place: str, n: str) -> str:
+    return "CASE " + " ".join(f"WHEN {place} < floor({n} * CAST({end!r} AS DOUBLE)) THEN '{name}'" for name, end in MINUTE_SPLITS) + " ELSE 'test' END"
+
+
 @query(f"{WITH_VIEW}, {BASE_SQL} SELECT bucket, actual, {r_sql(*FORECASTS)} FROM b")
 def baseline_forecasts(spark, sf_dir):
     return learning.causal_baselines(view5(spark, sf_dir)).select("bucket", "actual", *r(*FORECASTS))
@@ -751,25 +760,36 @@ def ols_by_sums(spark, sf_dir):
     return learning.ols_by_sums(rows, "persistence", "actual").select(*r("intercept", "slope"))
 
 
-_HELD: dict[tuple, DataFrame] = {}
+TWO_SQL = """x AS (SELECT CAST(actual AS DOUBLE) AS y, persistence AS a, moving_average AS b FROM b WHERE actual IS NOT NULL AND moving_average IS NOT NULL),
+c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
+s AS (SELECT (ay * bb - by * ab) / (aa * bb - ab * ab) AS sa, (by * aa - ay * ab) / (aa * bb - ab * ab) AS sb, ma, mb, my FROM c)"""
 
 
-def held(name: str, make, *inputs: DataFrame) -> DataFrame:
-    """What ``make()`` returns, written once in a session for inputs of equal rows.
+@query(f"{WITH_VIEW}, {BASE_SQL}, {TWO_SQL} SELECT round(my - sa * ma - sb * mb, 6) + 0.0 AS intercept, round(sa, 6) + 0.0 AS persistence, round(sb, 6) + 0.0 AS moving_average FROM s")
+def ols_two_regressors(spark, sf_dir):
+    """The linear regression of the next value on the last one and the mean of the last hour."""
+    rows = learning.causal_baselines(view5(spark, sf_dir)).where("actual IS NOT NULL AND moving_average IS NOT NULL")
+    intercept, slopes = learning.least_squares(rows, ["persistence", "moving_average"], "actual")
+    return spark.createDataFrame([(intercept, *slopes.values())], "intercept double, persistence double, moving_average double").select(*r("intercept", "persistence", "moving_average"))
 
-    Long fits that several queries start from are made once in this way. Rows
-    are compared by their number and the sums of two hashes.
-    """
-    spark = inputs[0].sparkSession
 
-    def prints(df: DataFrame) -> tuple:
-        parts = (F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")) for k in (1, 2))
-        return tuple(df.agg(F.count("*"), *parts).first())
+#: Edges of the one round that SQL states: powers of two.
+EDGES = [2.0**k for k in range(18)]
 
-    key = (spark.sparkContext.applicationId, name, *map(prints, inputs))
-    if key not in _HELD:
-        _HELD[key] = settled(make(), name)
-    return _HELD[key]
+
+@query(f"""{WITH_VIEW}, {BASE_SQL}, t AS (SELECT CAST(actual AS DOUBLE) AS y, persistence, seasonal_naive, moving_average FROM b WHERE actual IS NOT NULL AND seasonal_naive IS NOT NULL AND moving_average IS NOT NULL),
+mu AS (SELECT avg(y) AS mean FROM t), u AS (SELECT * FROM t UNPIVOT (x FOR feature IN (persistence, seasonal_naive, moving_average))),
+e AS (SELECT pow(2.0, unnest(range(0, 18))) AS threshold),
+s AS (SELECT feature, threshold, sum(mean - y) FILTER (x <= threshold) AS gl, count(*) FILTER (x <= threshold) AS hl, sum(mean - y) AS g, count(*) AS h FROM u, e, mu GROUP BY feature, threshold),
+c AS (SELECT *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain FROM s WHERE hl >= 30 AND h - hl >= 30)
+SELECT feature, threshold, round(-gl / (hl + 1), 4) + 0.0 AS left_value, round((gl - g) / (h - hl + 1), 4) + 0.0 AS right_value FROM c WHERE gain = (SELECT max(gain) FROM c)""")
+def boosting_first_round(spark, sf_dir):
+    """The first cut of boosted trees of depth 1 on the causal baselines, and what it adds on either side."""
+    rows = learning.causal_baselines(view5(spark, sf_dir)).where("actual IS NOT NULL")
+    p = boosting.Boosting("squared", trees=1, rate=1.0, depth=1, l2=1.0, least_rows=30, bins=len(EDGES) + 1)
+    table = boosting.fit(rows, FORECASTS, "actual", "bucket", p, cuts=[np.array(EDGES)] * len(FORECASTS)).table(spark).where("tree = 0")
+    sides = table.agg(F.max("feature").alias("feature"), F.max(F.when(F.col("node") == 0, F.col("threshold"))).alias("threshold"), *(F.max(F.when(F.col("node") == i, F.col("value"))).alias(n) for i, n in ((1, "left_value"), (2, "right_value"))))
+    return sides.select("feature", "threshold", rounded(F.col("left_value"), 4).alias("left_value"), rounded(F.col("right_value"), 4).alias("right_value"))
 
 
 def _risk_rows(spark, sf_dir) -> DataFrame:
@@ -777,24 +797,22 @@ def _risk_rows(spark, sf_dir) -> DataFrame:
     return settled(with_split(rows, "minute"), "risk-rows")
 
 
-def scored_minutes(spark, sf_dir) -> DataFrame:
-    """Minutes with all features and the classifier's probability of a failure."""
-    rows = _risk_rows(spark, sf_dir)
-    return held("scored-minutes", lambda: learning.failure_risk(rows, features.failure_feature_names()), rows)
+def scored_minutes(rows: DataFrame, zero_responses: bool = True) -> DataFrame:
+    """Minutes with all features and the classifier's probability of a failure, with or without the features of zero responses."""
+    return learning.failure_risk(rows, features.failure_feature_names(zero_responses))
 
 
 @query()
 def failure_gbt(spark, sf_dir):
-    rows = scored_minutes(spark, sf_dir)
-    return rows.select("minute", "split", "failure", *r("probability_of_failure"))
+    return scored_minutes(_risk_rows(spark, sf_dir)).select("minute", "split", "failure", *r("probability_of_failure"))
 
 
 ISOTONIC_SQL = """ks AS (SELECT minute, failure, CAST(risk AS DOUBLE) AS risk, minute - min(minute) OVER () AS place, max(minute) OVER () - min(minute) OVER () + 1 AS n FROM kr),
-kp AS (SELECT minute, failure, risk, CASE WHEN place < floor(n * (12384 / 17566)) THEN 'train' WHEN place < floor(n * (14976 / 17566)) THEN 'calibration' ELSE 'test' END AS split FROM ks),
+kp AS (SELECT minute, failure, risk, {SPLIT} AS split FROM ks),
 ki AS (SELECT risk AS x, sum(failure) AS y, count(*) AS w FROM kp WHERE split = 'calibration' GROUP BY risk),
 kf AS (SELECT x, (SELECT max(low) FROM (SELECT (SELECT min((SELECT CAST(sum(c.y) AS DOUBLE) / sum(c.w) FROM ki c WHERE c.x >= a.x AND c.x <= b.x)) FROM ki b WHERE b.x >= i.x) AS low FROM ki a WHERE a.x <= i.x)) AS fit FROM ki i),
 kl AS (SELECT r.risk, max(x) FILTER (x <= r.risk) AS lo, min(x) FILTER (x >= r.risk) AS hi FROM (SELECT DISTINCT risk FROM kp) r, kf GROUP BY r.risk),
-kc AS (SELECT kl.risk, CASE WHEN lo IS NULL THEN b.fit WHEN hi IS NULL OR hi = lo THEN a.fit ELSE a.fit + (b.fit - a.fit) * (kl.risk - lo) / (hi - lo) END AS calibrated FROM kl LEFT JOIN kf a ON a.x = lo LEFT JOIN kf b ON b.x = hi)"""
+kc AS (SELECT kl.risk, CASE WHEN lo IS NULL THEN b.fit WHEN hi IS NULL OR hi = lo THEN a.fit ELSE a.fit + (b.fit - a.fit) * (kl.risk - lo) / (hi - lo) END AS calibrated FROM kl LEFT JOIN kf a ON a.x = lo LEFT JOIN kf b ON b.x = hi)""".replace("{SPLIT}", minute_split_sql("place", "n"))
 
 
 @query(f"{WITH_MINUTES}, {RISK_SQL}, {ISOTONIC_SQL} SELECT minute, split, failure, round(kp.risk, 6) + 0.0 AS risk, round(calibrated, 6) + 0.0 AS calibrated FROM kp JOIN kc ON kc.risk = kp.risk")
@@ -805,13 +823,15 @@ def isotonic_calibration(spark, sf_dir):
 
 @query()
 def risk_ablation(spark, sf_dir):
-    """Metrics of the classifier with all 89 features and without the 17 of zero responses, on the test split."""
-    full, out = scored_minutes(spark, sf_dir), None
-    ablated = learning.failure_risk(_risk_rows(spark, sf_dir), features.failure_feature_names(False))
-    for name, scored in (("full", full), ("ablated", ablated)):
-        part = metrics.risk_metrics(settled(scored.where("split = 'test'"), "test-risk"), "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Metrics of the classifier with all 89 features and without the 17 of zero responses, fitted side by side, on the test split."""
+    rows = _risk_rows(spark, sf_dir)
+
+    def one(name: str, zero_responses: bool) -> DataFrame:
+        test = settled(scored_minutes(rows, zero_responses).where("split = 'test'"), "test-risk")
+        return metrics.risk_metrics(test, "probability_of_failure", "failure", 0.5, inclusive=True, clip=1e-15).withColumn("features", F.lit(name))
+
+    full, ablated = side_by_side(lambda: one("full", True), lambda: one("ablated", False))
+    return full.unionByName(ablated)
 
 
 # ---------------------------------------------------------------- report data

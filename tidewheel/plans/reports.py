@@ -15,7 +15,7 @@ from tidewheel.functions.columns import rounded
 from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
 from tidewheel.plans import catalog as c
 from tidewheel.plans.catalog import query, r
-from tidewheel.sources.shared import settled
+from tidewheel.sources.shared import settled, side_by_side
 from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace, file_fingerprints, numeric_columns
 
 # ---------------------------------------------------------------- audits
@@ -236,20 +236,23 @@ def learned_rows(spark, sf_dir) -> DataFrame:
     view = c.view5(spark, sf_dir)
     alarms = settled(changepoint.change_points(view), "change-points")
     rows = settled(c.with_split(features.workload_features(view, alarms)), "workload-rows")
-    scored = c.scored_minutes(spark, sf_dir)
 
-    def make() -> DataFrame:
-        hgb, cp = (learning.forecast(rows, features.workload_feature_names(k), "gbt").select("bucket", F.col("forecast").alias(n)) for k, n in ((False, "hgb"), (True, "cp_hgb")))
+    def forecasts(name: str, change_points: bool) -> DataFrame:
+        found = learning.forecast(rows, features.workload_feature_names(change_points), "gbt")
+        return settled(found.select("bucket", F.col("forecast").alias(name)), name)
+
+    def controls() -> DataFrame:
+        scored = settled(c.scored_minutes(c._risk_rows(spark, sf_dir)), "scored-minutes")
         risk = settled(learning.isotonic(scored, "probability_of_failure", "failure"), "calibrated")
         five = control.to_five_minutes(control.adaptive_threshold(risk, c.calibration_rate(risk, "minute"), "minute", "calibrated"), probability="calibrated")
-        actual = rows.where("target_next_5min IS NOT NULL").select("bucket", "split", F.col("target_next_5min").cast("double").alias("actual_workload"), F.col("total_tokens").cast("double").alias("persistence"))
-        key, out = ["bucket"], actual
-        for part, name in ((hgb, "hgb"), (cp, "cp-hgb"), (five, "risk-five")):
-            out = quality.one_to_one(out, settled(part, name), key)
-        out = quality.one_to_one(out, alarms.select("bucket", "change_alarm"), key, "left")
-        return out.withColumn("forecast_workload", F.col("cp_hgb"))
-
-    return c.held("learned-rows", make, rows, scored)
+        return settled(five, "risk-five")
+
+    parts = side_by_side(lambda: forecasts("hgb", False), lambda: forecasts("cp_hgb", True), controls)
+    out = rows.where("target_next_5min IS NOT NULL").select("bucket", "split", F.col("target_next_5min").cast("double").alias("actual_workload"), F.col("total_tokens").cast("double").alias("persistence"))
+    for part in parts:
+        out = quality.one_to_one(out, part, ["bucket"])
+    out = quality.one_to_one(out, alarms.select("bucket", "change_alarm"), ["bucket"], "left")
+    return settled(out.withColumn("forecast_workload", F.col("cp_hgb")), "learned-rows")
 
 
 @query()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read again, where several results are made of it."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Jobs that one call hands to Spark at once.
+AT_ONCE = 8
+
+
+def side_by_side(*calls: Callable) -> list:
+    """What the calls return, made at the same time: independent fits, each of many short jobs."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda call: call(), calls))
