@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words: a sketch before exact counts, then sparse pair joins.
 
-Tasks reduce their texts to a row for each language, source and term before
-anything moves. From these rows count-min sketches of document frequencies are
+Tasks reduce their texts to a row for each language and term, with its sources,
+before anything moves. From these rows count-min sketches of document frequencies are
 merged. A sketch never underestimates, so a term with a cell below the least
 frequency is impossible, and its rows are discarded before they are shuffled.
 What is left is counted exactly, and the sketch's false positives go then.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,8 @@ from tidewheel.llm.support import col, documents, map_batches, slices, stored
 LEAST_DOCUMENTS = 10
 #: Probabilities are whole numbers of a billionth.
 UNIT = 1_000_000_000
-#: Cells of a sketch row (a power of two) and its rows; 3 x 2^22 bits, 1.5 MB, go to each executor.
-WIDTH, DEPTH = 1 << 22, 3
+#: Cells of a sketch row (a power of two) and its rows; a bit of each cell, 1 MB, goes to each executor.
+WIDTH, DEPTH = 1 << 22, 2
 #: Entries that a task gathers before it hands them on.
 HELD = 300_000
 TOP = 10
@@ -37,33 +38,47 @@ TOP = 10
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def _summed(lang: str, by_source: dict[str, tuple[Counter, Counter]]) -> pa.RecordBatch:
+    """A row for each term that a task met in a language, and one with a null term for the sources themselves."""
+    sources = pa.array(list(by_source), pa.string())
+    terms = list(chain.from_iterable(n for n, _ in by_source.values()))
+    n = np.fromiter(chain.from_iterable(n.values() for n, _ in by_source.values()), np.int64, len(terms))
+    docs = np.fromiter(chain.from_iterable(map(d.__getitem__, n) for n, d in by_source.values()), np.int64, len(terms))
+    source = np.repeat(np.arange(len(by_source)), [len(n) for n, _ in by_source.values()])
+    coded = pa.array(terms, pa.binary()).dictionary_encode()
+    code = np.asarray(coded.indices)
+    order = np.argsort(code, kind="stable")
+    many = np.bincount(code, minlength=len(coded.dictionary))
+    total = np.bincount(code, docs, minlength=len(many)).astype(np.int64)
+    zeros = np.zeros(len(by_source), np.int64)
+    inside = [pa.concat_arrays([sources.take(pa.array(source[order])), sources]), *(pa.array(np.concatenate([x[order], zeros])) for x in (n, docs))]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(many), [len(terms) + len(by_source)]]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(inside, names=["source", "n", "docs"]))
+    every = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+    return pa.record_batch([pa.array([lang] * len(every), pa.string()), every, pa.array(np.append(total, 0)), lists], names=["lang", "term", "docs", "sources"])
+
+
 def tallies(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that have it), summed within tasks only; a null term for each group met."""
-    own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
+    """lang, term, docs (rows that have it) and sources (source, n: occurrences, docs), summed within tasks only.
 
-    def rows(found: dict, having: dict):
-        names, terms, n, d = [], [], [], []
-        for group, counts in found.items():
-            names += [group] * (len(counts) + 1)
-            terms += [None, *counts]
-            n += [0, *counts.values()]
-            d += [0, *map(having[group].__getitem__, counts)]
-        langs, sources = zip(*names, strict=True) if names else ((), ())
-        return pa.record_batch([pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    A null term lists the sources met.
+    """
+    own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
 
     def run(batches):
-        found, having = {}, {}
+        found: dict[str, dict] = {}
         for part in slices(batches):
             for lang, source, text in zip(*(col(part, c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 terms = text.encode().translate(_LETTERS).split()
-                found.setdefault((lang, source), Counter()).update(terms)
-                having.setdefault((lang, source), Counter()).update(set(terms))
-            if sum(map(len, found.values())) > HELD:
-                yield rows(found, having)
-                found, having = {}, {}
-        yield rows(found, having)
+                n, having = found.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
+                n.update(terms)
+                having.update(set(terms))
+            if sum(len(n) for by_source in found.values() for n, _ in by_source.values()) > HELD:
+                yield from (_summed(*x) for x in found.items())
+                found = {}
+        yield from (_summed(*x) for x in found.items())
 
-    return map_batches(own, run, "lang string, source string, term string, n long, docs long")
+    return map_batches(own, run, "lang string, term string, docs long, sources array<struct<source:string,n:long,docs:long>>")
 
 
 def _cells(width: int, depth: int) -> list[Column]:
@@ -119,9 +134,10 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, wi
     ignored, whatever their names. An empty table gives an empty result.
     """
     tally = stored(tallies(docs), "divergence-tallies")
-    groups = tally.where("term IS NULL").select("lang", "source").distinct()
+    groups = tally.where("term IS NULL").select("lang", F.explode("sources.source").alias("source")).distinct()
     terms = tally.where("term IS NOT NULL")
-    counted = stored(terms.where(possible(terms, least, width, depth)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
+    survivors = terms.where(possible(terms, least, width, depth)).select("lang", "term", F.explode("sources").alias("s")).select("lang", "term", "s.*")
+    counted = stored(survivors.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     language = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
     kept = counted.drop("docs").join(language, ["lang", "term"])
     # a row for each language and each source of it
