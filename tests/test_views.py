@@ -20,6 +20,7 @@ def test_grid_has_no_gaps(spark):
 def test_incomplete_last_bucket_goes(spark, last, buckets):
     t = trace_of(spark, [0, last])
     assert timeview.trim_incomplete(timeview.time_view(t, 300), t).count() == buckets
+    assert timeview.time_view(t, 300, trim=True).count() == buckets
 
 
 def test_empty_trace_gives_empty_view(spark):
@@ -63,3 +64,25 @@ def test_csv_round_trip_and_fingerprint(spark, tmp_path):
     assert sorted(source.read_csv(spark, f"file://{tmp_path}/t").collect()) == sorted(t.collect())
     files = source.file_fingerprints(spark, f"file://{tmp_path}/t").where("path like '%.csv'").collect()
     assert files and all(len(f.sha256) == 64 for f in files)
+
+
+@pytest.mark.parametrize("name", ["capacity_metrics", "audit_checks", "cp_downstream_robustness", "workload_features"])
+def test_a_query_reads_the_trace_once(spark, monkeypatch, name):
+    """The trace is a scan whose rows are counted."""
+    from pyspark.sql import functions as F
+
+    from tidewheel.plans import catalog, reports
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        read.add(1)
+        return x
+
+    trace = spark.range(0, 400 * 300, 300).select(F.col("id").alias("ts_s"), F.lit("GPT-4").alias("model"), (F.col("id") % 7).alias("request_tokens"), (F.col("id") % 5).alias("response_tokens"), F.lit("API log").alias("log_type"))
+    trace = trace.withColumn("total_tokens", counted(F.col("request_tokens") + F.col("response_tokens")))
+    for module in (catalog, reports):
+        monkeypatch.setattr(module, "events_as_trace", lambda *_: trace)
+    catalog.QUERIES[name](spark, "").count()
+    assert read.value == 400

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import bucket_of, normalised, ratio
+from tidewheel.sources.shared import settled
 
 COUNTS = ("request_count", "request_tokens", "response_tokens", "total_tokens", "zero_response_count", "gpt4_count", "api_count")
 
@@ -14,12 +15,14 @@ COUNTS = ("request_count", "request_tokens", "response_tokens", "total_tokens",
 SLICES = 64
 
 
-def densify(df: DataFrame, key: str, fill: tuple[str, ...]) -> DataFrame:
-    """One row for each integer between the smallest and largest key; ``fill`` is 0 where a row was missing.
+def densify(df: DataFrame, key: str, fill: tuple[str, ...], high: Column | None = None) -> DataFrame:
+    """One row for each integer from the smallest key to the largest, or to the aggregate ``high``; ``fill`` is 0 where a row was missing.
 
-    The grid is made in slices, so no task makes all of it.
+    The grid is made in slices, so no task makes all of it. ``df``, which has a
+    row for a key at most, is written first: it is read for its span and for the grid.
     """
-    span = F.broadcast(df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo IS NOT NULL"))  # one row
+    df = settled(df, "buckets")
+    span = F.broadcast(df.agg(F.min(key).alias("_lo"), (F.max(key) if high is None else high).alias("_hi")).where("_lo <= _hi"))  # one row
     size = F.floor((F.col("_hi") - F.col("_lo")) / SLICES) + 1
     low = F.col("_lo") + F.col("id") * size
     slices = df.sparkSession.range(SLICES).crossJoin(span).where(low <= F.col("_hi"))
@@ -27,10 +30,11 @@ def densify(df: DataFrame, key: str, fill: tuple[str, ...]) -> DataFrame:
     return grid.join(df, key, "left").na.fill(0, list(fill))
 
 
-def time_view(trace: DataFrame, width: int) -> DataFrame:
+def time_view(trace: DataFrame, width: int, trim: bool = False) -> DataFrame:
     """Counts, token sums and shares for each ``width`` seconds, without gaps.
 
-    Categories match exactly. Partial sums are made in each task, so what is
+    With ``trim`` the last bucket goes if the trace ends before the bucket's
+    last second; the trace is read once all the same. Categories match exactly. Partial sums are made in each task, so what is
     shuffled is a row for each bucket and task.
     """
     n = F.col("request_count")
@@ -42,8 +46,10 @@ def time_view(trace: DataFrame, width: int) -> DataFrame:
         F.count_if(F.col("response_tokens") == 0).alias("zero_response_count"),
         F.count_if(F.col("model") == "GPT-4").alias("gpt4_count"),
         F.count_if(F.col("log_type") == "API log").alias("api_count"),
+        F.max("ts_s").alias("_last"),
     )
-    return densify(grouped, "bucket", COUNTS).select(
+    complete = F.floor((F.max("_last") + 1) / width) - 1 if trim else None
+    return densify(grouped, "bucket", COUNTS, complete).select(
         "bucket",
         (F.col("bucket") * width).alias("start_second"),
         ((F.col("bucket") + 1) * width).alias("end_second_exclusive"),

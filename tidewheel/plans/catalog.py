@@ -53,9 +53,8 @@ def r_sql(*names: str) -> str:
 
 
 def view5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five-minute view, written once for all that a query makes of it."""
-    trace = events_as_trace(spark, sf_dir)
-    return settled(timeview.trim_incomplete(timeview.time_view(trace, 300), trace), "view")
+    """The five-minute view, written for all that a query makes of it; a query makes one and hands it on."""
+    return settled(timeview.time_view(events_as_trace(spark, sf_dir), 300, trim=True), "view")
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,9 +384,9 @@ def calibration_rate(risk: DataFrame, key: str) -> float:
     return with_split(risk, key).where("split = 'calibration'").agg(F.avg("failure")).first()[0]
 
 
-def controlled(spark, sf_dir) -> DataFrame:
+def controlled(view: DataFrame) -> DataFrame:
     """The controller over five-minute failures; its target is their rate in the calibration split."""
-    rows = view5(spark, sf_dir).select("bucket", (F.col("zero_response_count") > 0).cast("int").alias("failure"))
+    rows = view.select("bucket", (F.col("zero_response_count") > 0).cast("int").alias("failure"))
     b = Blocks(rows, "bucket", 60)
     share = b.past(F.avg("failure"), "failure", 60)
     risk = b.result("bucket", "failure", F.when(share.isNotNull(), F.least(F.lit(1.0), 2.5 * share)).alias("risk")).where("risk IS NOT NULL")
@@ -396,7 +395,7 @@ def controlled(spark, sf_dir) -> DataFrame:
 
 @query(f"{WITH_CTL} SELECT bucket, failure, round(risk, 6) + 0.0 AS risk, round(before, 6) + 0.0 AS threshold_before_update, trig AS reserve_trigger FROM ctl")
 def adaptive_threshold(spark, sf_dir):
-    return controlled(spark, sf_dir).select("bucket", "failure", *r("risk", "threshold_before_update"), "reserve_trigger")
+    return controlled(view5(spark, sf_dir)).select("bucket", "failure", *r("risk", "threshold_before_update"), "reserve_trigger")
 
 
 @query()
@@ -419,10 +418,10 @@ lp AS (SELECT bucket, actual_workload, 'V' || k AS policy, t AS trigger, CASE WH
        FROM (SELECT *, unnest([1, 2, 3, 4]) AS k, unnest([t1, t2, t3, t4]) AS t FROM pt))"""
 
 
-def policy_rows(spark, sf_dir) -> DataFrame:
-    view = view5(spark, sf_dir)
+def policy_rows(view: DataFrame) -> DataFrame:
+    """Forecasts, risk, thresholds and alarms of each bucket of a view."""
     base = learning.causal_baselines(view).where("actual IS NOT NULL AND moving_average IS NOT NULL AND seasonal_naive IS NOT NULL")
-    risk = controlled(spark, sf_dir).select("bucket", F.col("risk").alias("risk_signal"), F.col("threshold_before_update").alias("adaptive_threshold"))
+    risk = controlled(view).select("bucket", F.col("risk").alias("risk_signal"), F.col("threshold_before_update").alias("adaptive_threshold"))
     alarms = changepoint.change_points(view).select("bucket", "change_alarm")
     rows = quality.one_to_one(settled(base, "forecasts").join(settled(risk, "risk"), "bucket"), settled(alarms, "alarms"), ["bucket"], "left")
     return rows.withColumns({"actual_workload": F.col("actual").cast("double"), "forecast_workload": F.col("moving_average")})
@@ -432,7 +431,7 @@ def _policy_query(name: str):
     sql = f"{WITH_CTL}, {POLICY_SQL} SELECT bucket, trigger, round(capacity, 6) + 0.0 AS capacity FROM lp WHERE policy = '{name}'"
 
     def run(spark, sf_dir):
-        return control.policies(policy_rows(spark, sf_dir)).select("bucket", F.col(f"{name}_trigger").alias("trigger"), rounded(F.col(f"{name}_capacity")).alias("capacity"))
+        return control.policies(policy_rows(view5(spark, sf_dir))).select("bucket", F.col(f"{name}_trigger").alias("trigger"), rounded(F.col(f"{name}_capacity")).alias("capacity"))
 
     QUERIES[f"policy_{name.lower()}"] = run
     ORACLE_SQL[f"policy_{name.lower()}"] = sql
@@ -451,7 +450,7 @@ FROM ls JOIN lq USING (policy) GROUP BY policy"""
 
 @query(f"{WITH_CTL}, {POLICY_SQL}{CAPACITY_SQL}")
 def capacity_metrics(spark, sf_dir):
-    return control.capacity_metrics(control.long_policies(control.policies(policy_rows(spark, sf_dir))))
+    return control.capacity_metrics(control.long_policies(control.policies(policy_rows(view5(spark, sf_dir)))))
 
 
 def on_test(rows: DataFrame) -> DataFrame:
@@ -464,7 +463,7 @@ PR_SPAN_SQL = "(SELECT min(bucket) + floor((max(bucket) - min(bucket) + 1) * (14
 
 @query(f"{WITH_CTL}, {POLICY_SQL}{CAPACITY_SQL}".replace("AS unused FROM lp)", f"AS unused FROM lp WHERE bucket >= {PR_SPAN_SQL})"))
 def capacity_metrics_test(spark, sf_dir):
-    return control.capacity_metrics(control.long_policies(control.policies(on_test(policy_rows(spark, sf_dir)))))
+    return control.capacity_metrics(control.long_policies(control.policies(on_test(policy_rows(view5(spark, sf_dir))))))
 
 
 def forecast_sql(trigger: str, reserve: float) -> str:
@@ -474,13 +473,13 @@ def forecast_sql(trigger: str, reserve: float) -> str:
 
 @query(forecast_sql("1", 1.10))
 def fixed_reserve_control(spark, sf_dir):
-    return control.capacity_metrics(control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 1.10, adaptive=False))
+    return control.capacity_metrics(control.forecast_control(policy_rows(view5(spark, sf_dir)), FORECASTS, 1.10, adaptive=False))
 
 
 @query(forecast_sql("CASE WHEN risk_signal > adaptive_threshold THEN 1 ELSE 0 END", 0.10))
 def adaptive_control_by_forecast(spark, sf_dir):
     """With the multiplier 0.10 that published results were made with; 1.10 would add a reserve instead."""
-    return control.capacity_metrics(control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 0.10, adaptive=True))
+    return control.capacity_metrics(control.forecast_control(policy_rows(view5(spark, sf_dir)), FORECASTS, 0.10, adaptive=True))
 
 
 # ---------------------------------------------------------------- inference
@@ -490,7 +489,7 @@ pd AS (SELECT row_number() OVER (ORDER BY bucket) AS i, greatest(actual_workload
 
 
 def shortage_pairs(spark, sf_dir) -> DataFrame:
-    rows = policy_rows(spark, sf_dir)
+    rows = policy_rows(view5(spark, sf_dir))
 
     def short(f: str):
         return F.greatest(F.col("actual_workload") - F.col(f), F.lit(0.0))
@@ -582,7 +581,7 @@ def block_tests(differences: DataFrame) -> DataFrame:
 @query(f"{TESTS_SQL} SELECT comparison, metric, n, round(observed, 3) + 0.0 AS observed_difference, round(ci_low, 3) + 0.0 AS ci_low, round(ci_high, 3) + 0.0 AS ci_high, p_value + 0.0 AS p_value, round(p_holm, 6) + 0.0 AS p_holm, p_holm < 0.05 AS significant FROM hol JOIN tn USING (comparison, metric)")
 def block_bootstrap_tests(spark, sf_dir):
     """The 14 tests on the locked test split, with Holm's adjustment over all of them."""
-    found = block_tests(test_differences(on_test(policy_rows(spark, sf_dir)), ("persistence", "moving_average")))
+    found = block_tests(test_differences(on_test(policy_rows(view5(spark, sf_dir))), ("persistence", "moving_average")))
     return found.select("comparison", "metric", "n", *(rounded(F.col(c), 3).alias(c) for c in ("observed_difference", "ci_low", "ci_high")), *r("p_value", "p_holm"), "significant")
 
 
@@ -619,7 +618,7 @@ def paired_summary(spark, sf_dir):
 
 def forecast_long(spark, sf_dir) -> DataFrame:
     """A row for each bucket and forecast with shortage, unused and provisioned capacity and absolute control error under the always-on reserve."""
-    long = control.forecast_control(policy_rows(spark, sf_dir), FORECASTS, 1.10, adaptive=False)
+    long = control.forecast_control(policy_rows(view5(spark, sf_dir)), FORECASTS, 1.10, adaptive=False)
     gap = F.col("actual_workload") - F.col("capacity")
     return long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"), F.col("capacity").alias("provisioned"), F.abs(gap).alias("absolute_error"))
 
@@ -723,7 +722,7 @@ def cp_downstream_robustness(spark, sf_dir):
     alarms = changepoint.sensitivity(view, near).crossJoin(F.broadcast(low)).select("config_id", (F.col("position") + F.col("_low")).alias("bucket"), F.lit(1).alias("change_alarm"))
     # nine configurations
     configs = F.broadcast(spark.createDataFrame([(c[0],) for c in near], "config_id int"))
-    rows = settled(policy_rows(spark, sf_dir).drop("change_alarm"), "policy-rows").crossJoin(configs).join(settled(alarms, "alarms"), ["config_id", "bucket"], "left")
+    rows = settled(policy_rows(view).drop("change_alarm"), "policy-rows").crossJoin(configs).join(settled(alarms, "alarms"), ["config_id", "bucket"], "left")
     v4 = control.policies(rows).select("config_id", "actual_workload", F.col("V4_trigger").alias("trigger"), F.col("V4_capacity").alias("capacity"))
     found = control.capacity_metrics(v4, by="config_id")
     names = DELTAS
@@ -761,8 +760,8 @@ def ols_by_sums(spark, sf_dir):
 
 
 TWO_SQL = """x AS (SELECT CAST(actual AS DOUBLE) AS y, persistence AS a, moving_average AS b FROM b WHERE actual IS NOT NULL AND moving_average IS NOT NULL),
-c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
-s AS (SELECT (ay * bb - by * ab) / (aa * bb - ab * ab) AS sa, (by * aa - ay * ab) / (aa * bb - ab * ab) AS sb, ma, mb, my FROM c)"""
+c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
+s AS (SELECT (ya * bb - yb * ab) / (aa * bb - ab * ab) AS sa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS sb, ma, mb, my FROM c)"""
 
 
 @query(f"{WITH_VIEW}, {BASE_SQL}, {TWO_SQL} SELECT round(my - sa * ma - sb * mb, 6) + 0.0 AS intercept, round(sa, 6) + 0.0 AS persistence, round(sb, 6) + 0.0 AS moving_average FROM s")
@@ -853,7 +852,7 @@ def figure_risk_histogram(spark, sf_dir):
 @query(f"""{WITH_CTL}, {POLICY_SQL} SELECT policy, round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.25), 6) + 0.0 AS q25, round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.5), 6) + 0.0 AS q50,
 round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.75), 6) + 0.0 AS q75 FROM lp GROUP BY policy""")
 def figure_shortage_quartiles(spark, sf_dir):
-    long = control.long_policies(control.policies(policy_rows(spark, sf_dir)))
+    long = control.long_policies(control.policies(policy_rows(view5(spark, sf_dir))))
     short = F.greatest(F.col("actual_workload") - F.col("capacity"), F.lit(0.0))
     q = long.groupBy("policy").agg(F.percentile(short, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     return q.select("policy", *(rounded(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))

@@ -55,7 +55,7 @@ BOUND_COLUMNS = {"risk": "risk", "threshold_before_update": "before", "failure":
 @query(c.WITH_CTL + " " + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", count(*) AS rows, count(*) FILTER ({BOUND_COLUMNS[n]} < {a} OR {BOUND_COLUMNS[n]} > {b}) AS outside, count(*) FILTER ({BOUND_COLUMNS[n]} IS NULL) AS missing FROM ctl" for n, (a, b) in BOUNDS.items()))
 def bounds_audit(spark, sf_dir):
     """Risk, threshold and failures within their bounds."""
-    return quality.bound_violations(c.controlled(spark, sf_dir), BOUNDS)
+    return quality.bound_violations(c.controlled(c.view5(spark, sf_dir)), BOUNDS)
 
 
 @query(f"""{SPLIT_SQL}
@@ -85,8 +85,8 @@ def audit_checks(spark, sf_dir):
     view = c.view5(spark, sf_dir)
     rules = timeview.view_violations(view)
     alarms = quality.alarm_spacing(changepoint.change_points(view), 288)
-    control_rows = settled(c.controlled(spark, sf_dir), "control")
-    long = settled(control.long_policies(control.policies(c.policy_rows(spark, sf_dir))), "long-policies")
+    control_rows = settled(c.controlled(view), "control")
+    long = settled(control.long_policies(control.policies(c.policy_rows(view))), "long-policies")
     pairs = long.groupBy("bucket", "policy").count()
     checks = {
         "time_view": rules.select((F.col("token_mismatch") + F.col("too_many_zero_responses") + F.col("missing_buckets")).alias("v")),
