@@ -66,13 +66,27 @@ def bootstrap_summary(replicates: DataFrame, value: str = "mean", level: float =
     )
 
 
+#: Differences up to which p is exact, if no two are of the same size.
+EXACT = 50
+
+
+def exact_p(n: int, statistic: float) -> float:
+    """Two-sided p of a signed-rank statistic: the share of all sign patterns of ranks 1 to n with a sum that is as small, doubled."""
+    patterns = np.zeros(n * (n + 1) // 2 + 1)
+    patterns[0] = 1.0
+    for rank in range(1, n + 1):
+        patterns[rank:] += patterns[:-rank].copy()
+    return min(1.0, 2.0 * float(patterns[: int(statistic) + 1].sum()) / 2.0**n)
+
+
 def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
     """One row: nonzero differences, W+, W-, statistic, z and two-sided p of the signed-rank test.
 
     Zeros are left out and ties share their mean rank. Differences are counted
     by size first, so ranks are made over distinct sizes. z follows the normal
-    approximation with tie correction; without differences the statistic is 0
-    and p is 1.
+    approximation with tie correction, and so does p beyond ``EXACT``
+    differences or where sizes are tied; else p is exact. Without differences
+    the statistic is 0 and p is 1.
     """
     d = pairs.where(F.col(difference) != 0).groupBy(F.abs(difference).alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col(difference) > 0).alias("up"))
     ranked = running_totals(d, "d", ["n"]).withColumn("rank", F.col("_before_n") + (F.col("n") + 1) / 2)
@@ -88,10 +102,10 @@ def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
     z = F.when(spread > 0, (stat - n * (n + 1) / 4) / spread).otherwise(0.0)
 
     @F.pandas_udf("double")
-    def two_sided(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
+    def two_sided(values: pd.Series, n: pd.Series, statistic: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([exact_p(int(k), w) if 0 < k <= EXACT and t == 0 else math.erfc(abs(v) / math.sqrt(2)) for v, k, w, t in zip(values, n, statistic, ties, strict=True)], dtype=float)
 
-    return sums.select("n", "w_plus", "w_minus", stat.alias("statistic"), rounded(z).alias("z"), rounded(two_sided(z)).alias("p_value"))
+    return sums.select("n", "w_plus", "w_minus", stat.alias("statistic"), rounded(z).alias("z"), rounded(two_sided(z, "n", stat, "ties")).alias("p_value"))
 
 
 def iid_bootstrap(pairs: DataFrame, difference: str, replicates: int = 10_000, seed: int = 42, chunk: int = 250) -> DataFrame:

@@ -759,6 +759,23 @@ def ols_by_sums(spark, sf_dir):
     return learning.ols_by_sums(rows, "persistence", "actual").select(*r("intercept", "slope"))
 
 
+HALVES_SQL = """h AS (SELECT bucket // 288 AS day, sum(CASE WHEN bucket % 288 < 144 THEN total_tokens ELSE -total_tokens END) AS d FROM v GROUP BY 1),
+rk AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS rank FROM h WHERE d <> 0),
+w AS (SELECT count(*) AS n, least(coalesce(sum(rank) FILTER (d > 0), 0), coalesce(sum(rank) FILTER (d < 0), 0)) AS statistic FROM rk),
+pt AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(0, (SELECT n * (n + 1) // 2 + 1 FROM w)), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c
+       UNION ALL SELECT k + 1, list_transform(range(0, len(c)), lambda s: c[s + 1] + CASE WHEN s > k THEN c[s - k] ELSE 0.0 END) FROM pt WHERE k < (SELECT n FROM w))"""
+
+
+@query(f"""{WITH_VIEW.replace('WITH ', 'WITH RECURSIVE ', 1)}, {HALVES_SQL}
+SELECT n, CAST(statistic AS DOUBLE) AS statistic, round(least(1.0, 2 * list_sum(c[1:CAST(statistic AS BIGINT) + 1]) / pow(2, n)), 6) + 0.0 AS p_value FROM w, pt WHERE k = n""")
+def daily_signed_rank(spark, sf_dir):
+    """The exact signed-rank test of whether the first half of a day has as many tokens as the second."""
+    view = view5(spark, sf_dir)
+    sign = F.when(F.col("bucket") % 288 < 144, F.col("total_tokens")).otherwise(-F.col("total_tokens"))
+    days = view.groupBy(F.floor(F.col("bucket") / 288).alias("day")).agg(F.sum(sign).alias("d"))
+    return inference.wilcoxon(days, "d").select("n", F.col("statistic").cast("double").alias("statistic"), "p_value")
+
+
 TWO_SQL = """x AS (SELECT CAST(actual AS DOUBLE) AS y, persistence AS a, moving_average AS b FROM b WHERE actual IS NOT NULL AND moving_average IS NOT NULL),
 c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM x),
 s AS (SELECT (ya * bb - yb * ab) / (aa * bb - ab * ab) AS sa, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS sb, ma, mb, my FROM c)"""
