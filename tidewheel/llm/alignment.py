@@ -24,7 +24,7 @@ import hashlib
 import os
 import re
 from collections import defaultdict
-from itertools import chain, count
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.memory import cache
-from tidewheel.llm.support import col, documents, list_array, map_batches, sibling, slices, stored, stored_with
+from tidewheel.llm.support import col, documents, list_array, map_batches, removed, reread, sibling, slices, stored, stored_with
 
 #: Bytes of text beyond which a block ends.
 BLOCK_BYTES = 32 << 20
+#: Stretches that the tokenizers get as one text.
+JOINED = 500
 #: Entries of a dictionary that go into one row.
 WORDS_A_ROW = 1 << 15
 #: Pair counts of at most so many rows (24 bytes each) are broadcast; larger tables are joined by shuffle.
@@ -84,16 +86,46 @@ class Pair:
                 raise ValueError("an entry is empty, or goes on with a space after other characters")
         self.a_size, self.b_size = (np.array([len(e) for e in entries], np.int32) for entries in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids by both, and whether both sides' bytes are a space and the text."""
+    def _both(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts one after another and how many each text has, for either side."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        same = []
-        for t, x, y in zip(texts, a, b, strict=True):
-            want = b" " + t.encode()
-            same.append(b"".join(map(self.a_bytes.__getitem__, x)) == want and b"".join(map(self.b_bytes.__getitem__, y)) == want)
+        out = []
+        for ids in (a, self.b.encode(texts, num_threads=1)):
+            many = np.fromiter(map(len, ids), np.int64, len(ids))
+            out.append((np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())), many))
+        return out
+
+    def alone(self, texts: list[str]) -> tuple[tuple, tuple, np.ndarray]:
+        """Ids and counts of either side, and whether both sides' bytes are a space and the text."""
+        a, b = self._both(texts)
+        same = np.ones(len(texts), bool)
+        for (ids, many), entries in ((a, self.a_bytes), (b, self.b_bytes)):
+            found, ends = list(map(entries.__getitem__, ids.tolist())), np.cumsum(many).tolist()
+            for i, (s, e, t) in enumerate(zip([0, *ends[:-1]], ends, texts, strict=True)):
+                same[i] &= b"".join(found[s:e]) == b" " + t.encode()
         return a, b, same
 
+    def joined(self, texts: list[str]) -> tuple[tuple, tuple, np.ndarray]:
+        """:meth:`alone` for stretches without white space at their ends: many at once, told apart by their bytes."""
+        groups = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
+        (a, a_many), (b, b_many) = self._both([" ".join(g) for g in groups])
+        parts: list[list] = [[], [], [], [], []]
+        a_end, b_end = np.cumsum(a_many), np.cumsum(b_many)
+        for i, group in enumerate(groups):
+            sides = (a[a_end[i] - a_many[i] : a_end[i]], self.a_bytes, self.a_size), (b[b_end[i] - b_many[i] : b_end[i]], self.b_bytes, self.b_size)
+            raw = [t.encode() for t in group]
+            want, ends = b" " + b" ".join(raw), np.cumsum([len(r) + 1 for r in raw])
+            bounds = [np.searchsorted(np.cumsum(size[ids]), ends, "left") + 1 for ids, _, size in sides]
+            if all(b"".join(map(entries.__getitem__, ids.tolist())) == want for ids, entries, _ in sides):
+                found = [(ids, np.diff(bound, prepend=0)) for (ids, _, _), bound in zip(sides, bounds, strict=True)]
+                same = np.ones(len(group), bool)
+            else:
+                *found, same = self.alone(group)
+            for part, x in zip(parts, (*found[0], *found[1], same), strict=True):
+                part.append(x)
+        a, a_many, b, b_many, same = map(np.concatenate, parts)
+        return (a, a_many), (b, b_many), same
+
 
 _pairs: dict[tuple, Pair] = cache("alignment")
 
@@ -105,7 +137,10 @@ def pair(a: str | None = None, b: str | None = None) -> Pair:
 
 
 def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: texts (block, key, codes), and parts of a block's dictionary (block, first, words, counts)."""
+    """Rows of two kinds: texts (block, key, codes), and parts of a block's dictionary (block, first, words, counts).
+
+    codes are 32-bit integers, the lower byte first: rows with binary columns go to and from workers faster than lists.
+    """
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = ["block", "key", "codes", "first", "words", "counts"]
 
@@ -117,7 +152,7 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
             words = list(number)
             for at in range(0, len(words), WORDS_A_ROW):
                 part = slice(at, at + WORDS_A_ROW)
-                yield pa.record_batch([pa.array([block]), pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.array([at], pa.int32()), pa.array([words[part]], pa.list_(pa.string())), pa.array([seen[part]], pa.list_(pa.int64()))], names=names)
+                yield pa.record_batch([pa.array([block]), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), pa.array([words[part]], pa.list_(pa.string())), pa.array([seen[part]], pa.list_(pa.int64()))], names=names)
 
         kind = pa.null()
         for part in slices(batches):
@@ -125,20 +160,18 @@ def blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
             kind, lists = keys.type, []
             for t in col(part, "text").to_pylist():
                 words = stretches(t)
-                lists.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                lists.append(np.fromiter(map(number.__getitem__, words), "<i4", len(words)))
                 held += len(t)
-            codes = np.concatenate(lists)
-            now = np.bincount(codes, minlength=len(number))
+            now = np.bincount(np.concatenate(lists), minlength=len(number))
             now[: len(seen)] += seen
             seen = now
-            own_codes = list_array(codes, np.array([len(x) for x in lists], np.int64), pa.int32())
-            yield pa.record_batch([pa.array(np.full(n, block)), keys, own_codes, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            yield pa.record_batch([pa.array(np.full(n, block)), keys, pa.array([x.tobytes() for x in lists], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
             if held > size:
                 yield from dictionary(kind)
                 block, number, seen, held = block + 1, defaultdict(count().__next__), np.zeros(0, np.int64), 0
         yield from dictionary(kind)
 
-    return map_batches(own, run, f"block long, key {own.schema['key'].dataType.simpleString()}, codes array<int>, first int, words array<string>, counts array<long>")
+    return map_batches(own, run, f"block long, key {own.schema['key'].dataType.simpleString()}, codes binary, first int, words array<string>, counts array<long>")
 
 
 def encoded(texts: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
@@ -148,36 +181,38 @@ def encoded(texts: DataFrame, a: str | None = None, b: str | None = None) -> Dat
         both = pair(a, b)
         for part in slices(batches):
             words = col(part, "text").to_pylist()
-            x, y, same = both.encode(words)
-            out = [col(part, "text"), col(part, "n")]
-            for ids, size in ((x, both.a_size), (y, both.b_size)):
-                many = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum()))
-                out += [list_array(flat, many, pa.int32()), list_array(size[flat], many, pa.int32())]
-            yield pa.record_batch([*out, pa.array(same)], names=["text", "n", "a", "a_size", "b", "b_size", "same"])
+            loose = np.fromiter((w[:1].isspace() or w[-1:].isspace() for w in words), bool, len(words))
+            for mine, how in ((~loose, both.joined), (loose, both.alone)):
+                if not mine.any():
+                    continue
+                own = part.filter(pa.array(mine))
+                *sides, same = how(list(compress(words, mine.tolist())))
+                out = [col(own, "text"), col(own, "n")]
+                for (ids, many), size in zip(sides, (both.a_size, both.b_size), strict=True):
+                    out += [list_array(ids, many, pa.int32()), list_array(size[ids], many, pa.int32())]
+                yield pa.record_batch([*out, pa.array(same)], names=["text", "n", "a", "a_size", "b", "b_size", "same"])
 
     return map_batches(texts.select("text", "n"), run, "text string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>, same boolean")
 
 
-def _ends(tokens: DataFrame) -> DataFrame:
-    """key, n, side, pos, id, end of each token, by lengths summed along a text's side."""
+def _ends(dealt: DataFrame, side: int) -> DataFrame:
+    """key, n, pos, id, end of each token of one side, by lengths summed along the text."""
+    each = dealt.select("key", "n", F.posexplode(F.arrays_zip(F.col("t")[2 * side].alias("id"), F.col("t")[2 * side + 1].alias("size"))).alias("pos", "x"))
+    along = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("key", "n", "pos", F.col("x.id").alias("id"), F.sum("x.size").over(along).alias("end"))
 
-    def tokens_of(side: str) -> Column:
-        zipped = F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))
-        return F.transform(zipped, lambda t: F.struct(F.lit(side).alias("side"), t["id"].alias("id"), t["size"].alias("size")))
 
-    each = tokens.select("key", "n", F.posexplode(F.concat(tokens_of("a"), tokens_of("b"))).alias("pos", "t")).select("key", "n", "pos", "t.side", "t.id", "t.size")
-    along = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return each.select("key", "n", "side", "pos", "id", F.sum("size").over(along).alias("end"))
-
-
-def _grouped(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """key, n, group and the ids of each group of one side: cuts before a token number its group."""
+def _grouped(own: DataFrame, other: DataFrame, name: str, *more: Column) -> DataFrame:
+    """key, group and the ids of each group of one side: cuts before a token number its group."""
     cuts = own.join(other.select("key", "end", F.lit(1).alias("cut")).hint("merge"), ["key", "end"], "left")
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     numbered = cuts.select("key", "n", "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("group"))
     ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return numbered.groupBy("key", "n", "group").agg(F.transform(ids, lambda x: x["id"]).alias(name))
+    return numbered.groupBy("key", "group").agg(F.transform(ids, lambda x: x["id"]).alias(name), *more)
+
+
+#: What lets a text's rows stay in the task that they are in: joins and groups may use a partitioning by the text alone, and groups follow the rows' order.
+TOGETHER = {"spark_sql_requireAllClusterKeysForCoPartition": "false", "spark_sql_execution_useObjectHashAggregateExec": "false"}
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -185,16 +220,15 @@ def align(tokens: DataFrame) -> DataFrame:
 
     ``tokens`` has key (unique), n (carried along), and for both sides the ids
     (a, b) and their lengths in bytes (a_size, b_size), none of them 0. A
-    group's last tokens are its link: no other tokens of it end together. If
-    the session lets joins use a partitioning by some of their keys
-    (``spark.sql.requireAllClusterKeysForCoPartition``), nothing is shuffled
-    after the texts are dealt by key.
+    group's last tokens are its link: no other tokens of it end together. In a
+    session with the settings ``TOGETHER``, nothing is shuffled after the texts
+    are dealt by key.
     """
-    dealt = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    ends = _ends(dealt)
-    a, b = ends.where("side = 'a'"), ends.where("side = 'b'")
-    groups = _grouped(a, b, "a").join(_grouped(b, a, "b").drop("n").hint("merge"), ["key", "group"])
-    return groups.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("group", "a", "b"))).alias("groups"))
+    packed = tokens.select("key", "n", F.array("a", "a_size", "b", "b_size").alias("t"))  # one column, so both sides read the same exchange
+    dealt = packed.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    a, b = _ends(dealt, 0), _ends(dealt, 1)
+    groups = _grouped(a, b, "a", F.first("n").alias("n")).join(_grouped(b, a, "b").hint("merge"), ["key", "group"])
+    return groups.groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("group", "a", "b"))).alias("groups"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -218,8 +252,17 @@ def _described(aligned: DataFrame) -> DataFrame:
 def _without(blocked: DataFrame, words: DataFrame, odd: DataFrame) -> DataFrame:
     """text, n (below 0): stretches of texts that have an odd stretch, whose links don't count."""
     here = words.join(odd.select("text"), "text").groupBy("block").agg(F.collect_set("code").alias("odd"))
-    rows = blocked.where("codes IS NOT NULL").join(here, "block").where(F.arrays_overlap("codes", "odd"))
-    many = rows.select("block", F.explode("codes").alias("code")).groupBy("block", "code").agg(F.count("*").alias("n"))
+    rows = blocked.where("codes IS NOT NULL").join(here, "block").select("block", "codes", "odd")
+
+    def run(batches):
+        for batch in batches:
+            for block, codes, bad in zip(*(col(batch, c).to_pylist() for c in ("block", "codes", "odd")), strict=True):
+                codes = np.frombuffer(codes, "<i4")
+                if np.isin(codes, bad).any():
+                    code, n = np.unique(codes, return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(code), block)), pa.array(code), pa.array(n)], names=["block", "code", "n"])
+
+    many = map_batches(rows, run, "block long, code int, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
     return words.join(many, ["block", "code"]).select("text", (-many["n"]).alias("n"))
 
 
@@ -245,65 +288,67 @@ def cross_align(docs: DataFrame, text: str = "text", key: str = "doc_id", a: str
     words = blocked.where("words IS NOT NULL").select("block", "first", listed).select("block", (F.col("first") + F.col("code")).alias("code"), F.col("w.text").alias("text"), F.col("w.n").alias("n"))
     distinct = words.groupBy("text").agg(F.sum("n").alias("n"))
     tokens, seen = stored_with(encoded(distinct, a, b).withColumn("key", F.monotonically_increasing_id()), "align-tokens", odd=F.count_if(~F.col("same")))
-    good = tokens.where("same")
+    near, odd = sibling(docs.sparkSession, **TOGETHER), None
+    good = reread(tokens, near).where("same")
     if seen["odd"]:
         less = _without(blocked, words, tokens.where("NOT same")).groupBy("text").agg(F.sum("n").alias("less"))
-        good = good.join(less, "text", "left").withColumn("n", F.col("n") + F.coalesce("less", F.lit(0))).drop("less")
-    near = sibling(docs.sparkSession, spark_sql_requireAllClusterKeysForCoPartition="false")
-    aligned = stored(_described(align(stored(good.select("key", "n", "a", "a_size", "b", "b_size"), "align-input", near))), "align-groups", docs.sparkSession)
+        odd = stored(tokens.where("same").join(less, "text", "left").withColumn("n", F.col("n") + F.coalesce("less", F.lit(0))).drop("less"), "align-input")
+        good = reread(odd, near)
+    aligned = stored(_described(align(good)), "align-groups", docs.sparkSession)
     links = aligned.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.a", "l.b")
-    counts, have = stored_with(pair_counts(links), "align-pairs", n=F.count("*"))
-    counts = F.broadcast(counts) if have["n"] <= BROADCAST_PAIRS else counts
+    counted, have = stored_with(pair_counts(links), "align-pairs", n=F.count("*"))
+    counts = F.broadcast(counted) if have["n"] <= BROADCAST_PAIRS else counted
     sums = links.join(counts, ["a", "b"]).groupBy("key").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("total").alias("count_sum"))
     own = tokens.select("key", "text", "same", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
     written = aligned.select("key", "groups", F.size("links").cast("long").alias("n_groups"))
     found = stored(own.join(written, "key", "left").join(sums, "key", "left").select("text", "same", "groups", *_STATS), "align-stretches")
-    none = {c: F.lit(None) for c in ("key", "codes")}
-    entries = words.select("block", "code", "text").join(found, "text").drop("text").select("block", "code", *(none[c].cast(blocked.schema[c].dataType).alias(c) for c in none), "same", "groups", *_STATS)
-    rows = blocked.where("codes IS NOT NULL").select("block", "key", "codes")
-    return _put_together(entries.unionByName(rows, allowMissingColumns=True), blocked.schema["key"].dataType.simpleString(), groups == "digest")
+    removed(tokens, aligned, counted, *([odd] if odd is not None else []))
+    packed = F.concat_ws(":", F.concat_ws(",", F.col("same").cast("int"), *(F.coalesce(c, F.lit(0)) for c in _STATS)), "groups").cast("binary")
+    # written, so that the shuffles by stretch and by block don't lie on the disks together
+    entries = stored(words.select("block", "code", "text").join(found.select("text", packed.alias("entry")), "text").select("block", "code", "entry"), "align-entries")
+    removed(found)
+    entries = entries.select("block", "code", F.lit(None).cast(blocked.schema["key"].dataType).alias("key"), "entry")
+    rows = blocked.where("codes IS NOT NULL").select("block", F.lit(TEXT).alias("code"), "key", F.col("codes").alias("entry"))
+    return _put_together(entries.unionByName(rows), blocked.schema["key"].dataType.simpleString(), groups == "digest")
+
+
+#: Stands in place of a dictionary's code for a text, after all codes.
+TEXT = (1 << 31) - 1
 
 
 def _put_together(rows: DataFrame, key: str, digest: bool) -> DataFrame:
     """The result's rows from each block's dictionary entries and texts."""
     shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a block's entries come first, by code
-    dealt = rows.repartition(shards, "block").sortWithinPartitions("block", F.col("codes").isNotNull(), "code")
+    dealt = rows.repartition(shards, "block").sortWithinPartitions("block", "code")
 
     def run(batches):
-        block = entries = None
-        parts: list[tuple] = []
-
-        def opened():
-            texts = list(chain.from_iterable(p[0] for p in parts))
-            return texts, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], axis=1)
-
+        block, entries, held = None, None, []
         for batch in batches:
-            of, is_text = np.asarray(col(batch, "block")), np.asarray(col(batch, "codes").is_valid())
+            of, is_text = np.asarray(col(batch, "block")), np.asarray(col(batch, "code")) == TEXT
             edge = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (is_text[1:] != is_text[:-1]))) if len(of) else []
             for s, e in zip(edge, [*edge[1:], len(of)], strict=True):
                 part = batch.slice(s, e - s)
                 if of[s] != block:
-                    block, entries, parts = of[s], None, []
+                    block, entries, held = of[s], None, []
                 if not is_text[s]:
-                    stats = np.stack([np.asarray(col(part, c).fill_null(0)) for c in _STATS])
-                    parts.append((col(part, "groups").cast(pa.binary()).to_pylist(), np.asarray(col(part, "same")), stats))
+                    held += col(part, "entry").to_pylist()
                     continue
                 if entries is None:
-                    entries, parts = opened() if parts else ([], np.zeros(0, bool), np.zeros((len(_STATS), 0), np.int64)), []
+                    entries, held = opened(held), []
                 yield described(part, *entries)
 
+    def opened(packed: list[bytes]):
+        heads, _, texts = zip(*(p.partition(b":") for p in packed), strict=True) if packed else ((), (), ())
+        numbers = np.array(b",".join(heads).decode().split(","), np.int64).reshape(-1, 1 + len(_STATS)).T if packed else np.zeros((1 + len(_STATS), 0), np.int64)
+        return texts, numbers[0] == 1, np.ascontiguousarray(numbers[1:])
+
     def described(part, texts, same, stats):
-        lists = col(part, "codes")
-        many = np.asarray(lists.value_lengths()).astype(np.int64)
-        codes = np.asarray(lists.flatten())
-        end = np.cumsum(many)
-        total = np.zeros((len(_STATS), len(many)), np.int64)
-        written, alike = [], np.ones(len(many), bool)
-        for i, (x, y) in enumerate(zip((end - many).tolist(), end.tolist(), strict=True)):
-            mine = codes[x:y]
-            alike[i] = same[mine].all()
-            if alike[i]:
+        total = np.zeros((len(_STATS), part.num_rows), np.int64)
+        written = []
+        for i, codes in enumerate(col(part, "entry").to_pylist()):
+            mine = np.frombuffer(codes, "<i4")
+            if same[mine].all():
                 total[:, i] = stats[:, mine].sum(1)
                 written.append(b";".join(map(texts.__getitem__, mine.tolist())))
             else:

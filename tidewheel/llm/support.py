@@ -58,6 +58,25 @@ def stored(df: DataFrame, label: str, session: SparkSession | None = None) -> Da
     return (session or spark).read.schema(df.schema).parquet(path)
 
 
+def _folder(table: DataFrame) -> str | None:
+    files = table.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
+def reread(table: DataFrame, session: SparkSession) -> DataFrame:
+    """A table that :func:`stored` wrote, in another session."""
+    folder = _folder(table)
+    return session.read.schema(table.schema).parquet(folder) if folder else session.createDataFrame([], table.schema)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once what was made of them is written as well."""
+    for table in tables:
+        if folder := _folder(table):
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sibling(spark: SparkSession, **settings) -> SparkSession:
     """A session of the same application with the same settings but for those given (``_`` for dots); the caller's keeps its own."""
     own = spark.newSession()
