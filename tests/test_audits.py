@@ -1,9 +1,14 @@
 """The audits count planted violations."""
 
+import hashlib
+from urllib.parse import unquote
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.operators import inference, quality
+from tidewheel.sources import trace
 
 PAIRING = """WITH g AS (SELECT key, model, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT count(DISTINCT model) AS m FROM t),
 k AS (SELECT key, count(*) AS have, count(*) FILTER (n > 1) AS repeated FROM g GROUP BY key)
@@ -69,3 +74,46 @@ def test_join_contracts(spark):
         quality.aligned(a, b.where("k = 1"), ["k", "s"])
     with pytest.raises(ValueError, match="not unique"):
         quality.one_to_one(a, b.unionByName(b), ["k", "s"])
+
+
+def test_guards_end_the_query_that_reads_them(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 2.0)], "k long, s string, v double")
+    b = spark.createDataFrame([(1, "x", 5), (2, "x", 6)], "k long, s string, w long")
+    key = ["k", "s"]
+    assert {tuple(r) for r in quality.aligned_once(a, b, key).collect()} == {(1, "x", 1.0, 5), (2, "x", 2.0, 6)}
+    assert {tuple(r) for r in quality.joined_once(a, b.where("k = 1"), key, "left").collect()} == {(1, "x", 1.0, 5), (2, "x", 2.0, None)}
+    assert quality.finite(a, ["v"]).count() == 2
+    faults = {
+        "differ": [quality.aligned_once(a, b.where("k = 1"), key), quality.aligned_once(a.where("k = 2"), b, key)],
+        "not unique": [quality.joined_once(a, b.unionByName(b), key), quality.joined_once(a.unionByName(a), b.where("w < 6"), key, "left"), quality.unique(a.unionByName(a), key)],
+        "v has missing": [quality.finite(a.selectExpr("k", f"if(k = 2, {bad}, v) AS v"), ["v"]) for bad in ("null", "double('nan')", "double('inf')")],
+    }
+    for message, frames in faults.items():
+        for df in frames:
+            with pytest.raises(Exception, match=message):
+                df.collect()
+            with pytest.raises(Exception, match=message):
+                df.write.format("noop").mode("overwrite").save()
+
+
+def test_guards_make_no_job_of_their_own(spark):
+    a = spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.lit(1.0))
+    b = spark.range(50).withColumnRenamed("id", "k").withColumn("w", F.lit(2.0))
+    spark.sparkContext.setJobGroup("guards", "")
+    try:
+        df = quality.finite(quality.joined_once(a, b, ["k"], "left"), ["w"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("guards")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert df.count() == 50
+
+
+def test_files_are_hashed_by_steps(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b").mkdir()
+    data = {"long": bytes(range(256)) * 9000, "a b/50%": b"x", "empty": b"", "step": b"y" * trace.STEP}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {unquote(r.path).split(f"{tmp_path.name}/")[1]: (r.length, r.sha256) for r in trace.file_fingerprints(spark, f"file://{tmp_path}").collect()}
+    assert got == {name: (len(content), hashlib.sha256(content).hexdigest()) for name, content in data.items() if content}

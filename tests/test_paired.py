@@ -43,3 +43,27 @@ def test_query_asks_for_all_metrics(spark, monkeypatch):
     rows = [(i, p, float(i + k), float(k), float(i), 1.0) for i in range(8) for k, p in enumerate(catalog.FORECASTS)]
     monkeypatch.setattr(catalog, "forecast_long", lambda *_: spark.createDataFrame(rows, "bucket long, policy string, shortage double, unused double, provisioned double, absolute_error double"))
     assert len(catalog.QUERIES["paired_policy_tests"](spark, "").collect()) == 12
+
+
+def test_bootstraps_deal_groups_over_parts(spark):
+    rng = np.random.default_rng(9)
+    groups = {"plain": rng.normal(size=500), "tied": np.where(rng.random(4000) < 0.5, 0.0, rng.integers(1, 400, 4000)), "one": np.array([2.5])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("plain", None)]
+    df = spark.createDataFrame(rows, "g string, d double")
+    for part_values in (20, 1 << 14):
+        got = inference.iid_bootstraps(df, ["g"], "d", replicates=1500, part_values=part_values).toPandas()
+        assert got.groupby("g")["replicate"].nunique().to_dict() == dict.fromkeys(groups, 1500)
+        for g, v in groups.items():
+            means, error = got[got.g == g]["mean"], v.std() / math.sqrt(len(v))
+            assert means.mean() == pytest.approx(v.mean(), abs=0.12 * error + 1e-12)
+            assert means.std(ddof=0) == pytest.approx(error, rel=0.08, abs=1e-12)
+
+
+def test_draws_by_weight(spark):
+    rng = np.random.default_rng(10)
+    values, weights = np.array([1.0, 5.0, 9.0]), np.array([1, 2, 1])
+    for many in (np.full(4000, 6), np.full(4000, 5000)):
+        sums = inference.draw_sums(values, weights, many, rng)
+        assert sums.mean() / many[0] == pytest.approx(5.0, rel=0.02)
+        assert sums.std() == pytest.approx(math.sqrt(8.0 * many[0]), rel=0.05)
+    assert inference.draw_sums(values, weights, np.array([0, 0]), rng).tolist() == [0.0, 0.0]

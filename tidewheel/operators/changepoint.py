@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import is_finite
+from tidewheel.operators.selection import exact_quantiles
 from tidewheel.operators.windows import Blocks
 from tidewheel.sources.shared import settled
 
@@ -41,20 +42,22 @@ def change_scores(view: DataFrame, short: int = 12, long: int = 276, y: str = "t
     low = view.agg(F.min(key).alias("_low"))  # one row
     base = view.select(key, F.log1p(y).alias("_z")).crossJoin(F.broadcast(low)).withColumn("position", F.col(key) - F.col("_low"))
     b = Blocks(base, key, short + long)
-    quartiles = F.percentile("_z", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(b.rows(-(short + long - 1), -short))
+    b.frame = b.frame.withColumn("_short", F.avg("_z").over(b.rows(-(short - 1), 0)))
+    b.quantiles("_z", -(short + long - 1), -short, (0.25, 0.5, 0.75), "_q")
     ready = F.col("position") >= short + long - 1
-    out = b.result(key, "position", F.when(ready, F.avg("_z").over(b.rows(-(short - 1), 0))).alias("short_level_log"), F.when(ready, quartiles).alias("_q"))
-    shift = F.abs(F.col("short_level_log") - F.col("_q")[1])
-    scale = (F.col("_q")[2] - F.col("_q")[0]) / IQR_TO_SIGMA
+    out = b.result(key, "position", F.when(ready, F.col("_short")).alias("short_level_log"), *(F.when(ready, F.col(q)).alias(q) for q in ("_q0", "_q1", "_q2")))
+    change = F.col("short_level_log") - F.col("_q1")
+    shift, scale = F.abs(change), (F.col("_q2") - F.col("_q0")) / IQR_TO_SIGMA
     score = F.when(scale > 0, shift / scale).when(shift > 0, F.lit(float("inf"))).when(shift == 0, F.lit(0.0))
-    return out.select(key, "position", "short_level_log", F.col("_q")[1].alias("long_level_log"), scale.alias("robust_scale"), shift.alias("absolute_log_shift"), score.alias("change_score"), F.exp(F.col("short_level_log") - F.col("_q")[1]).alias("short_long_ratio"))
+    return out.select(key, "position", "short_level_log", F.col("_q1").alias("long_level_log"), scale.alias("robust_scale"), shift.alias("absolute_log_shift"), score.alias("change_score"), F.exp(change).alias("short_long_ratio"))
 
 
 def training_threshold(scores: DataFrame, quantile: float = 0.95, train_fraction: float = 12384 / 17566) -> DataFrame:
     """One row: the exact quantile of the finite scores among the first part of the positions."""
     total = scores.agg((F.floor((F.max("position") + 1) * train_fraction)).alias("_n"))  # one row
     train = scores.crossJoin(F.broadcast(total)).where((F.col("position") < F.col("_n")) & is_finite(F.col("change_score")))
-    return train.agg(F.percentile("change_score", quantile).alias("threshold"))
+    found = exact_quantiles(train, [], "change_score", [quantile])
+    return found.agg(F.max(F.col("quantiles")[0]).alias("threshold"))
 
 
 def greedy_alarms(candidates: DataFrame, at: str, gap: int | str, by: list[str]) -> DataFrame:

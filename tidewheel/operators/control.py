@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.columns import rounded, surplus
+from tidewheel.operators.selection import exact_quantiles
 from tidewheel.operators.windows import BLOCK_ROWS, Blocks
 from tidewheel.sources.shared import settled
 
@@ -119,7 +120,8 @@ def long_policies(rows: DataFrame, names=("V1", "V2", "V3", "V4")) -> DataFrame:
 def capacity_metrics(rows: DataFrame, by: str = "policy") -> DataFrame:
     """For each policy: under-provisioning, shortage (mean, p95, tail mean), unused capacity, activation, totals and cost index."""
     held = rows.withColumns({"shortage": surplus(F.col("actual_workload"), F.col("capacity")), "unused": surplus(F.col("capacity"), F.col("actual_workload"))})
-    p95 = held.groupBy(by).agg(F.percentile("shortage", 0.95).alias("p95"))  # a row for each policy
+    held = settled(held.select(by, "actual_workload", "capacity", "trigger", "shortage", "unused"), "capacity-rows")
+    p95 = exact_quantiles(held, [by], "shortage", [0.95], written=True).select(by, F.col("quantiles")[0].alias("p95"))  # a row for each policy
     return held.join(F.broadcast(p95), by).groupBy(by).agg(
         F.count("*").alias("n"),
         rounded(F.avg((F.col("shortage") > 0).cast("double")) * 100).alias("under_provisioned_percent"),

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.functions.columns import rounded
+from tidewheel.operators.selection import exact_quantiles
 from tidewheel.operators.windows import running_totals
 from tidewheel.sources.shared import settled
 
@@ -109,32 +112,78 @@ def wilcoxon(pairs: DataFrame, difference: str) -> DataFrame:
 
 
 def iid_bootstrap(pairs: DataFrame, difference: str, replicates: int = 10_000, seed: int = 42, chunk: int = 250) -> DataFrame:
-    """replicate and mean under the IID bootstrap.
+    """replicate and mean under the IID bootstrap."""
+    return iid_bootstraps(pairs.select(F.lit(0).alias("_test"), difference), ["_test"], difference, replicates, seed, chunk).drop("_test")
 
-    A replicate draws as many rows as there are: first how many from each part
-    of the table, by a multinomial draw that all parts make alike, then those
-    rows within the part. Parts are tasks; their sizes, one number each, are
-    all that is sent to them.
-    """
-    part = pairs.select(F.col(difference).cast("double").alias("d")).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "d")
-    held = settled(part.withColumn("_part", F.spark_partition_id()), "bootstrap-parts")
-    sizes = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
-    names = sorted(sizes)
-    weight = np.array([sizes[k] for k in names], float)
-    n = int(weight.sum())
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(rows["d"].to_numpy(float))
-        place, begin = names.index(key[0]), key[1] * chunk
-        many = min(chunk, replicates - begin)
-        counts = np.random.default_rng([seed, key[1]]).multinomial(n, weight / n, size=many)[:, place]
-        rng = np.random.default_rng([seed, key[1], key[0]])
-        sums = [values[rng.integers(0, len(values), k)].sum() for k in counts.tolist()]
-        return pd.DataFrame({"replicate": begin + np.arange(many), "s": sums})
 
+#: Distinct values that a task draws from, and the most parts of a group; beyond both, parts grow.
+PART_VALUES, MOST_PARTS = 1 << 14, 1 << 13
+#: Cells of a table of draws that a task holds at once.
+CELLS = 1 << 20
+
+
+def draw_sums(values: np.ndarray, weights: np.ndarray, many: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each of ``many`` the sum of so many draws, each from ``values`` by ``weights``.
+
+    Few draws are made one by one; more are made as how often each value comes,
+    so copies of a value cost nothing.
+    """
+    sums, share, upto = np.empty(len(many)), weights / weights.sum(), np.cumsum(weights)
+    step = max(1, CELLS // len(values))
+    for begin in range(0, len(many), step):
+        part = many[begin : begin + step]
+        if part.max(initial=0) <= 4 * len(values):
+            drawn = values[np.searchsorted(upto, rng.integers(0, upto[-1], int(part.sum())), side="right")]
+            ends = np.concatenate([[0.0], np.cumsum(drawn)])[np.concatenate([[0], np.cumsum(part)])]
+            sums[begin : begin + step] = np.diff(ends)
+        else:
+            sums[begin : begin + step] = rng.multinomial(part, share) @ values
+    return sums
+
+
+def iid_bootstraps(pairs: DataFrame, by: list[str], difference: str, replicates: int = 10_000, seed: int = 42, chunk: int = 250, part_values: int = PART_VALUES) -> DataFrame:
+    """The columns ``by``, replicate and mean of the IID bootstrap of each group; null differences are left out.
+
+    Values are counted first. A group's distinct values are dealt out to parts
+    by their hash. A replicate draws as many rows as the group has: first how
+    many from each part, by a multinomial draw that all parts of the group make
+    alike from its parts' sizes, then values within the part. So no group is in
+    one task, and a value that a third of the rows have is one entry.
+    """
+    counted = settled(pairs.select(*by, F.col(difference).cast("double").alias("_d")).where("_d IS NOT NULL").groupBy(*by, "_d").agg(F.count("*").alias("_k")), "values")
+    groups = counted.groupBy(*by).agg(F.least(F.lit(MOST_PARTS), F.ceil(F.count("*") / part_values)).cast("int").alias("_parts"))
+    dealt = settled(counted.join(groups, by).withColumn("_part", F.pmod(F.xxhash64("_d"), F.col("_parts")).cast("int")), "parts")
+    held = dealt.groupBy(*by, "_part").agg(F.sum("_k").alias("_w"))
+    # at most MOST_PARTS numbers a group
+    sizes = held.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_part", "_w"))).alias("_sizes"), F.sum("_w").alias("_n"))
+    sizes = sizes.select(*by, "_n", F.transform("_sizes", lambda s: s["_part"]).alias("_names"), F.transform("_sizes", lambda s: s["_w"]).alias("_weights"), F.crc32(F.to_json(F.struct(*by))).alias("_seed"))
+    entries = dealt.groupBy(*by, "_part").agg(F.array_sort(F.collect_list(F.struct("_d", "_k"))).alias("_held"))  # about part_values entries
     chunks = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(replicates / chunk) - 1))).alias("_chunk")
-    drawn = held.select("d", "_part", chunks).groupBy("_part", "_chunk").applyInPandas(run, "replicate long, s double")
-    return drawn.groupBy("replicate").agg((F.sum("s") / n).alias("mean"))
+    work = entries.select(*by, "_part", F.transform("_held", lambda e: e["_d"]).alias("_values"), F.transform("_held", lambda e: e["_k"]).alias("_counts")).join(sizes, by)
+    work = work.select(*by, "_part", "_n", "_names", "_weights", "_seed", "_values", "_counts", chunks)
+    work = work.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_part", "_chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+
+                def array(name: str, row=row) -> np.ndarray:
+                    return row[name].flatten().to_numpy(zero_copy_only=False)
+
+                chunk_no, part, own_seed, n = (row[c][0].as_py() for c in ("_chunk", "_part", "_seed", "_n"))
+                begin = chunk_no * chunk
+                count, weights = min(chunk, replicates - begin), array("_weights")
+                place = int(np.searchsorted(array("_names"), part))
+                shared = np.random.default_rng([seed, own_seed, chunk_no])
+                many = np.array([shared.multinomial(n, weights / weights.sum())[place] for _ in range(count)])
+                sums = draw_sums(array("_values"), array("_counts"), many, np.random.default_rng([seed, own_seed, chunk_no, part + 1]))
+                same = [pa.concat_arrays([row[c]] * count) for c in by]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(begin + np.arange(count)), pa.array(sums / n)], names=[*by, "replicate", "_s"])
+
+    fields = [f for f in pairs.select(*by).schema]
+    schema = T.StructType([*fields, T.StructField("replicate", T.LongType()), T.StructField("_s", T.DoubleType())])
+    return work.mapInArrow(run, schema).groupBy(*by, "replicate").agg(F.sum("_s").alias("mean"))
 
 
 def paired_differences(long: DataFrame, key: str, model: str, metrics: list[str]) -> DataFrame:
@@ -161,27 +210,18 @@ def pairing_violations(long: DataFrame, key: str, model: str) -> DataFrame:
 def paired_statistics(differences: DataFrame) -> DataFrame:
     """For each pair and metric: n, mean and median difference, W+ and W- of the signed ranks (mean ranks for ties)."""
     by = ["model_a", "model_b", "metric"]
-    plain = differences.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.avg("difference")).alias("mean_difference"), rounded(F.percentile("difference", 0.5)).alias("median_difference"))
+    differences = settled(differences.select(*by, "difference"), "differences")
+    middle = exact_quantiles(differences, by, "difference", [0.5], written=True).select(*by, rounded(F.col("quantiles")[0]).alias("median_difference"))
+    plain = differences.groupBy(*by).agg(F.count("*").alias("n"), rounded(F.avg("difference")).alias("mean_difference")).join(middle, by)
     sizes = differences.where("difference <> 0").groupBy(*by, F.abs("difference").alias("d")).agg(F.count("*").alias("k"), F.count_if(F.col("difference") > 0).alias("up"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", before + (F.col("k") + 1) / 2)
+    ranked = running_totals(sizes, "d", ["k"], by).withColumn("rank", F.col("_before_k") + (F.col("k") + 1) / 2)
     ranks = ranked.groupBy(*by).agg(rounded(F.sum(F.col("up") * F.col("rank")), 3).alias("w_plus"), rounded(F.sum((F.col("k") - F.col("up")) * F.col("rank")), 3).alias("w_minus"))
     return plain.join(ranks, by, "left").na.fill(0.0, ["w_plus", "w_minus"])
 
 
-def paired_bootstrap(differences: DataFrame, replicates: int = 10_000, seed: int = 42, chunk: int = 500) -> DataFrame:
-    """model_a, model_b, metric and mean of each replicate under the IID bootstrap of each pair and metric."""
-    by = ["model_a", "model_b", "metric"]
-
-    def run(key, rows):
-        values = np.sort(rows["difference"].to_numpy(float))
-        rng = np.random.default_rng([seed, key[3], zlib.crc32("|".join(key[:3]).encode())])
-        many = min(chunk, replicates - key[3] * chunk)
-        means = [values[rng.integers(0, len(values), len(values))].mean() for _ in range(many)]
-        return pd.DataFrame({"model_a": key[0], "model_b": key[1], "metric": key[2], "mean": means})
-
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(replicates / chunk) - 1))).alias("chunk")
-    return differences.select(*by, "difference", chunks).groupBy(*by, "chunk").applyInPandas(run, "model_a string, model_b string, metric string, mean double")
+def paired_bootstrap(differences: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """model_a, model_b, metric, replicate and mean under the IID bootstrap of each pair and metric."""
+    return iid_bootstraps(differences, ["model_a", "model_b", "metric"], "difference", replicates, seed)
 
 
 def paired_tests(differences: DataFrame, replicates: int = 10_000, level: float = 0.95) -> DataFrame:

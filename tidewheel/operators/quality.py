@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import rounded
+from tidewheel.functions.columns import is_finite, rounded
+from tidewheel.operators.selection import exact_quantiles
+from tidewheel.sources.shared import settled
 from tidewheel.sources.trace import coerced
 
 
@@ -56,15 +58,16 @@ def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, nulls, uncoercible, least, mean, median, most): for each column its null values, values that are no numbers, and the spread of the others."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns))).alias("p")
-    rows = df.select(pairs).select("p.column", "p.text", coerced(F.col("p.text")).alias("x"))
-    return rows.groupBy("column").agg(
+    rows = settled(df.select(pairs).select("p.column", "p.text", coerced(F.col("p.text")).alias("x")), "values")
+    middle = exact_quantiles(rows, ["column"], "x", [0.5], written=True).select("column", rounded(F.col("quantiles")[0]).alias("median"))
+    spread = rows.groupBy("column").agg(
         F.count_if(F.col("text").isNull()).alias("nulls"),
         F.count_if(F.col("text").isNotNull() & F.col("x").isNull()).alias("uncoercible"),
         rounded(F.min("x")).alias("least"),
         rounded(F.avg("x")).alias("mean"),
-        rounded(F.percentile("x", 0.5)).alias("median"),
         rounded(F.max("x")).alias("most"),
     )
+    return spread.join(middle, "column", "left").select("column", "nulls", "uncoercible", "least", "mean", "median", "most")
 
 
 def assert_unique(df: DataFrame, key: list[str]) -> DataFrame:
@@ -86,6 +89,42 @@ def aligned(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return one_to_one(a, b, key)
 
 
+def _demand(condition: Column, message: str) -> Column:
+    """A filter that keeps all rows, and ends the query with ``message`` at the first row without ``condition``."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
+def unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df``; the query that reads it fails if a key occurs twice.
+
+    Rows are numbered within their key on the partitions that a join on the key
+    needs anyway, so nothing is computed twice. A null is a value of its own.
+    Rows that the query never needs are not checked: those that its filters on
+    the key leave out, or all of them if it joins them with an empty table.
+    """
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    return df.withColumn("_number", number).where(_demand(F.col("_number") == 1, f"key {', '.join(key)} is not unique")).drop("_number")
+
+
+def joined_once(a: DataFrame, b: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """:func:`one_to_one` that checks while it joins; the query that reads it fails instead of this call."""
+    return unique(a, key).join(unique(b, key), key, how)
+
+
+def aligned_once(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """:func:`aligned` that checks while it joins; the query that reads it fails instead of this call."""
+    left, right = unique(a, key).withColumn("_a", F.lit(1)), unique(b, key).withColumn("_b", F.lit(1))
+    both = left.join(right, key, "full_outer")
+    return both.where(_demand(F.col("_a").isNotNull() & F.col("_b").isNotNull(), f"the sides differ in {', '.join(key)}")).drop("_a", "_b")
+
+
+def finite(df: DataFrame, columns: list[str], label: str = "rows") -> DataFrame:
+    """``df``; the query that reads it fails if one of ``columns`` is null, NaN or infinite."""
+    for c in columns:
+        df = df.where(_demand(is_finite(F.col(c).cast("double")), f"{label}: {c} has missing values"))
+    return df
+
+
 def same_keys(a: DataFrame, b: DataFrame, key: list[str]) -> bool:
     """Whether both have the same keys, each as often."""
     both = a.select(*key, F.lit(1).alias("_side")).unionByName(b.select(*key, F.lit(-1).alias("_side")))
@@ -111,10 +150,12 @@ def bound_violations(rows: DataFrame, bounds: dict[str, tuple[float, float]]) ->
 
 def causality_violations(features: DataFrame, view: DataFrame, key: str = "bucket", y: str = "total_tokens", lags: tuple[int, ...] = (1,)) -> DataFrame:
     """One row: feature rows whose lag of any of ``lags`` or whose target differs from the row that it stands for."""
-    joined = features
-    for k in lags:
-        joined = joined.join(view.select((F.col(key) + k).alias(key), F.col(y).alias(f"_lag_{k}")), key, "left")
-    joined = joined.join(view.select((F.col(key) - 1).alias(key), F.col(y).alias("_after")), key, "left")
+    expected = [*(f"_lag_{k}" for k in lags), "_after"]
+    shifts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(step).cast("long").alias("step")) for i, step in enumerate([*lags, -1])))
+    # each row of the view is sent to the rows that it should be seen from, once for all shifts
+    seen = view.select(F.col(key), F.col(y).alias("_y"), F.explode(shifts).alias("s")).select((F.col(key) + F.col("s.step")).alias(key), F.col("s.i").alias("_i"), "_y")
+    seen = seen.groupBy(key).agg(*(F.max(F.when(F.col("_i") == i, F.col("_y"))).alias(n) for i, n in enumerate(expected)))
+    joined = features.select(key, *(f"lag_{k}" for k in lags), "target_next_5min").join(seen, key, "left")
     wrong = F.greatest(*((~F.col(f"lag_{k}").eqNullSafe(F.col(f"_lag_{k}"))).cast("int") for k in lags), F.lit(0))
     return joined.agg(F.count("*").alias("rows"), F.count_if(wrong == 1).alias("wrong_lag"), F.count_if(~F.col("target_next_5min").eqNullSafe(F.col("_after"))).alias("wrong_target"))
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.sources.shared import settled
 
@@ -60,6 +63,25 @@ class Blocks:
         """
         return F.col(f"_sum_{column}") - F.lag(f"_sum_{column}", n).over(self.window)
 
+    def quantiles(self, column: str, first: int, last: int, probabilities: Sequence[float], name: str) -> None:
+        """Add ``name``0, ``name``1, ...: exact quantiles of ``column`` over the rows from ``first`` to ``last`` (at most 0), null unless the frame has all its rows.
+
+        The window slides over a block's rows in an ordered list that takes up
+        one value and drops another a row, so a row costs the logarithm of the
+        window. Null, NaN and infinite values count as missing.
+        """
+        key, names = self.key, [f"{name}{i}" for i in range(len(probabilities))]
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by(key)
+            slide = pd.Series(table[column].to_numpy()).astype(float).rolling(last - first + 1)
+            for label, p in zip(names, probabilities, strict=True):
+                table = table.append_column(label, pa.array(slide.quantile(p).shift(-last), pa.float64(), from_pandas=True))
+            return table
+
+        schema = T.StructType([*self.frame.schema.fields, *(T.StructField(label, T.DoubleType()) for label in names)])
+        self.frame = self.frame.groupBy(*self.series, "_block").applyInArrow(run, schema)
+
     def result(self, *columns) -> DataFrame:
         """The named columns, each row once."""
         return self.frame.select(*columns, "_own", "_block").where("_own = _block").drop("_own", "_block")

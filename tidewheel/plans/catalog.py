@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import metrics
 from tidewheel.functions.columns import rounded, surplus
 from tidewheel.operators import boosting, changepoint, control, features, inference, learning, quality, timeview
+from tidewheel.operators.selection import exact_quantiles
 from tidewheel.operators.windows import Blocks
 from tidewheel.sources.shared import settled, side_by_side
 from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace
@@ -423,7 +424,9 @@ def policy_rows(view: DataFrame) -> DataFrame:
     base = learning.causal_baselines(view).where("actual IS NOT NULL AND moving_average IS NOT NULL AND seasonal_naive IS NOT NULL")
     risk = controlled(view).select("bucket", F.col("risk").alias("risk_signal"), F.col("threshold_before_update").alias("adaptive_threshold"))
     alarms = changepoint.change_points(view).select("bucket", "change_alarm")
-    rows = quality.one_to_one(settled(base, "forecasts").join(settled(risk, "risk"), "bucket"), settled(alarms, "alarms"), ["bucket"], "left")
+    # every forecast must have its threshold; an alarm may be missing
+    rows = quality.finite(quality.joined_once(base, risk, ["bucket"], "left"), ["risk_signal", "adaptive_threshold"], "policies")
+    rows = settled(quality.joined_once(rows, alarms, ["bucket"], "left"), "policy-rows")
     return rows.withColumns({"actual_workload": F.col("actual").cast("double"), "forecast_workload": F.col("moving_average")})
 
 
@@ -612,8 +615,10 @@ def iid_bootstrap_ci(spark, sf_dir):
 
 @query(f"{PAIR_SQL} SELECT count(*) AS n, round(avg(d), 6) + 0.0 AS mean_difference, round(quantile_cont(d, 0.5), 6) + 0.0 AS median_difference, count(*) FILTER (d > 0) AS worse, count(*) FILTER (d < 0) AS better FROM pd")
 def paired_summary(spark, sf_dir):
-    d = F.col("d")
-    return shortage_pairs(spark, sf_dir).agg(F.count("*").alias("n"), rounded(F.avg(d)).alias("mean_difference"), rounded(F.percentile(d, 0.5)).alias("median_difference"), F.count_if(d > 0).alias("worse"), F.count_if(d < 0).alias("better"))
+    d, pairs = F.col("d"), settled(shortage_pairs(spark, sf_dir), "pairs")
+    middle = exact_quantiles(pairs, [], "d", [0.5], written=True).select(rounded(F.col("quantiles")[0]).alias("median_difference"))
+    counts = pairs.agg(F.count("*").alias("n"), rounded(F.avg(d)).alias("mean_difference"), F.count_if(d > 0).alias("worse"), F.count_if(d < 0).alias("better"))
+    return counts.join(middle, how="left")  # one row each
 
 
 def forecast_long(spark, sf_dir) -> DataFrame:
@@ -871,7 +876,7 @@ round(quantile_cont(greatest(actual_workload - capacity, 0.0), 0.75), 6) + 0.0 A
 def figure_shortage_quartiles(spark, sf_dir):
     long = control.long_policies(control.policies(policy_rows(view5(spark, sf_dir))))
     short = F.greatest(F.col("actual_workload") - F.col("capacity"), F.lit(0.0))
-    q = long.groupBy("policy").agg(F.percentile(short, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(long.withColumn("shortage", short), ["policy"], "shortage", (0.25, 0.5, 0.75), "q")
     return q.select("policy", *(rounded(F.col("q")[i]).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
 
 

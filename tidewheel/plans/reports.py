@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import metrics
 from tidewheel.functions.columns import rounded
-from tidewheel.operators import changepoint, control, features, inference, learning, quality, timeview
+from tidewheel.operators import changepoint, control, features, inference, learning, manifest, quality, timeview
 from tidewheel.plans import catalog as c
 from tidewheel.plans.catalog import query, r
-from tidewheel.sources.shared import settled, side_by_side
+from tidewheel.sources.shared import fresh_path, settled, side_by_side
 from tidewheel.sources.trace import EVENTS_AS_TRACE_SQL, events_as_trace, file_fingerprints, numeric_columns
 
 # ---------------------------------------------------------------- audits
@@ -63,7 +63,7 @@ SELECT a.bucket, a.split, round(a.persistence, 6) + 0.0 AS persistence, round(a.
 def aligned_forecasts(spark, sf_dir):
     """Two forecasts joined on bucket and split, which must be unique and the same on both sides."""
     rows = settled(c.with_split(learning.causal_baselines(c.view5(spark, sf_dir))).where("split = 'test' AND moving_average IS NOT NULL"), "forecasts")
-    both = quality.aligned(rows.select("bucket", "split", "persistence"), rows.select("bucket", "split", "moving_average"), ["bucket", "split"])
+    both = quality.aligned_once(rows.select("bucket", "split", "persistence"), rows.select("bucket", "split", "moving_average"), ["bucket", "split"])
     return both.select("bucket", "split", *r("persistence", "moving_average"))
 
 
@@ -108,6 +108,68 @@ def artifact_manifest(spark, sf_dir):
     return file_fingerprints(spark, f"{sf_dir}/events.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
 
 
+COMPARED = ["shortage", "unused", "provisioned", "absolute_error"]
+
+
+def audit_stored(spark, root: str, models: list[str]) -> DataFrame:
+    """Eight kinds of checks of a stored run with the stages forecasts, control, metrics and tests."""
+    forecasts, rows, figures, tests = (manifest.stored(spark, root, s) for s in ("forecasts", "control", "metrics", "tests"))
+    pairs = len(models) * (len(models) - 1) // 2
+    return manifest.report(
+        {
+            "as_listed": manifest.file_faults(spark, root),
+            "forecasts": manifest.forecast_faults(forecasts, "bucket"),
+            "models": manifest.model_faults(rows, "policy", models),
+            "interval_pairing": manifest.pairing_faults(rows, forecasts, "bucket", "policy", models),
+            "shared_activation": manifest.activation_faults(rows, "policy", "trigger"),
+            "inference": manifest.inference_faults(tests, pairs, len(COMPARED)),
+            "metrics_recomputed": manifest.recomputed_faults(figures, control.capacity_metrics(rows), "policy"),
+        }
+    )
+
+
+STORED_SQL = c.forecast_sql("CASE WHEN risk_signal > adaptive_threshold THEN 1 ELSE 0 END", 0.10).split(", ls AS (")[0]
+
+
+@query(f"""{STORED_SQL},
+f AS (SELECT count(*) AS n, count(*) - count(DISTINCT bucket) + count(*) FILTER (actual_workload IS NULL OR persistence IS NULL OR seasonal_naive IS NULL OR moving_average IS NULL) AS bad FROM pr),
+k AS (SELECT bucket, count(*) AS n, count(DISTINCT policy) AS m FROM lp GROUP BY bucket),
+a AS (SELECT policy, avg(trigger) AS share FROM lp GROUP BY policy),
+ck AS (SELECT 'as_listed: forecasts' AS "check", (SELECT n FROM f) AS rows, 0 AS violations
+    UNION ALL SELECT 'as_listed: control', (SELECT count(*) FROM lp), 0
+    UNION ALL SELECT 'as_listed: metrics', (SELECT count(*) FROM a), 0
+    UNION ALL SELECT 'as_listed: tests', (SELECT count(*) FROM a x JOIN a y ON x.policy < y.policy) * 4, 0
+    UNION ALL SELECT 'forecasts', n, bad FROM f
+    UNION ALL SELECT 'models', count(*), count(*) FILTER (capacity IS NULL OR actual_workload IS NULL OR trigger IS NULL) + 3 - count(DISTINCT policy) FROM lp
+    UNION ALL SELECT 'interval_pairing', count(*), count(*) FILTER (n <> 3 OR m <> 3) FROM k
+    UNION ALL SELECT 'shared_activation', count(*), count(*) FILTER (abs(share - (SELECT arg_min(share, policy) FROM a)) > 1e-5) FROM a
+    UNION ALL SELECT 'inference', (SELECT count(*) FROM a x JOIN a y ON x.policy < y.policy) * 4, 0
+    UNION ALL SELECT 'metrics_recomputed', count(*), 0 FROM a)
+SELECT "check", CAST(rows AS BIGINT) AS rows, CAST(violations AS BIGINT) AS violations, violations = 0 AS passed FROM ck""")
+def stored_run_audit(spark, sf_dir):
+    """A run of the baselines under the adaptive reserve is stored, read back and audited; tests have 1,000 replicates."""
+    rows = c.policy_rows(c.view5(spark, sf_dir))
+    long = settled(control.forecast_control(rows, c.FORECASTS, 0.10, adaptive=True), "forecast-control")
+    tests = inference.paired_tests(inference.paired_differences(control_costs(long), "bucket", "policy", COMPARED), replicates=1000)
+    root = fresh_path(spark, "run")
+    manifest.store(
+        {
+            "forecasts": rows.select("bucket", "actual_workload", *c.FORECASTS),
+            "control": long.select("bucket", "policy", "actual_workload", "trigger", "capacity"),
+            "metrics": control.capacity_metrics(long),
+            "tests": tests,
+        },
+        root,
+    )
+    return audit_stored(spark, root, c.FORECASTS)
+
+
+def control_costs(long: DataFrame) -> DataFrame:
+    """Shortage, unused and provisioned capacity and absolute error of each bucket and forecast."""
+    gap = F.col("actual_workload") - F.col("capacity")
+    return long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"), F.col("capacity").alias("provisioned"), F.abs(gap).alias("absolute_error"))
+
+
 # ---------------------------------------------------------------- tables
 
 FORECAST_SQL = f"""{c.WITH_VIEW}, {c.BASE_SQL}, f AS (SELECT * FROM (SELECT bucket, CAST(actual AS DOUBLE) AS a, persistence, seasonal_naive, moving_average FROM b WHERE actual IS NOT NULL AND {c.TEST_SQL})
@@ -250,8 +312,8 @@ def learned_rows(spark, sf_dir) -> DataFrame:
     parts = side_by_side(lambda: forecasts("hgb", False), lambda: forecasts("cp_hgb", True), controls)
     out = rows.where("target_next_5min IS NOT NULL").select("bucket", "split", F.col("target_next_5min").cast("double").alias("actual_workload"), F.col("total_tokens").cast("double").alias("persistence"))
     for part in parts:
-        out = quality.one_to_one(out, part, ["bucket"])
-    out = quality.one_to_one(out, alarms.select("bucket", "change_alarm"), ["bucket"], "left")
+        out = quality.joined_once(out, part, ["bucket"])
+    out = quality.joined_once(out, alarms.select("bucket", "change_alarm"), ["bucket"], "left")
     return settled(out.withColumn("forecast_workload", F.col("cp_hgb")), "learned-rows")
 
 
@@ -274,7 +336,5 @@ def learned_forecast_control(spark, sf_dir):
     """Persistence and both learned forecasts under the adaptive reserve, with all paired tests."""
     rows = learned_rows(spark, sf_dir).where("split = 'test'")
     long = control.forecast_control(rows, ["persistence", "hgb", "cp_hgb"], 0.10, adaptive=True)
-    gap = F.col("actual_workload") - F.col("capacity")
-    costs = long.select("bucket", "policy", F.greatest(gap, F.lit(0.0)).alias("shortage"), F.greatest(-gap, F.lit(0.0)).alias("unused"), F.col("capacity").alias("provisioned"), F.abs(gap).alias("absolute_error"))
-    pairs = inference.paired_differences(costs, "bucket", "policy", ["shortage", "unused", "provisioned", "absolute_error"])
+    pairs = inference.paired_differences(control_costs(long), "bucket", "policy", COMPARED)
     return inference.paired_tests(settled(pairs, "policy-pairs"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote, urlparse
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,9 +63,35 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Bytes that a file is read by.
+STEP = 1 << 20
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file under ``path``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of each file under ``path``, read in steps of 1 MiB: a task holds one step, however long the file.
+
+    Spark lists the files and deals them out by length without reading them. As
+    in all its scans, files without bytes, and those whose names begin with a
+    dot or underscore, are not listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[_sha256(uri) for uri in batch["path"]])
+
+    return files.mapInPandas(digests, "path string, length long, sha256 string")
+
+
+def _sha256(uri: str) -> str:
+    # local URIs come with one slash and percent signs, which the file system does not know
+    place = unquote(urlparse(uri).path) if uri.startswith("file:") else None
+    files, name = (fs.LocalFileSystem(), place) if place else fs.FileSystem.from_uri(uri)
+    digest = hashlib.sha256()
+    with files.open_input_stream(name) as stream:
+        while step := stream.read(STEP):
+            digest.update(step)
+    return digest.hexdigest()
 
 
 def coerced(column: Column) -> Column:
