@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,15 @@ def test_scores_with_ties(spark):
     assert metrics.average_precision(df, "s", "y").first()[0] == pytest.approx(ap, abs=1e-6)
 
 
+def test_roc_auc_of_one_class(spark):
+    def auc(*rows):
+        return metrics.roc_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()[0]
+
+    assert math.isnan(auc((0.1, 1), (0.4, 1))) and math.isnan(auc((0.1, 0), (0.4, 0)))
+    assert auc() is None
+    assert auc((0.1, 0), (0.4, 1)) == 1.0
+
+
 def test_bins_are_closed_on_the_left(spark):
     df = spark.createDataFrame([(0.1, 1), (1.0, 1), (0.0, 0)], "s double, y int")
     assert sorted(r.bin for r in metrics.ece_bins(df, "s", "y").collect()) == [1, 2, 10]

@@ -18,6 +18,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def quotient(part: Column, whole: Column) -> Column:
+    """part / whole; NaN, not an error, where both are 0, as SQL engines with IEEE division have it."""
+    return F.when(whole == 0, F.lit(math.nan)).otherwise(part / whole)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

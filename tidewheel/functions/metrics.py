@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.functions.columns import rounded
+from tidewheel.functions.columns import quotient, rounded
 from tidewheel.operators.windows import running_totals
 
 #: Left edges of ten equal bins, as literals, so that both engines cut alike.
@@ -31,10 +31,11 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the tie-aware area under the ROC curve."""
+    """One row: the tie-aware area under the ROC curve, NaN if there are only positives or only negatives, null without rows."""
     c = running_totals(score_counts(df, score, label).withColumn("neg", F.col("n") - F.col("pos")), "s", ["neg"])
     parts = c.select("pos", "neg", (F.col("pos") * (F.col("_before_neg") + F.col("neg") / 2)).alias("won"))
-    return parts.agg(rounded(F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    # as double: the number of pairs can exceed a long
+    return parts.agg(rounded(quotient(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
