@@ -39,12 +39,12 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the sum of precision times gained recall over distinct scores, from the highest on."""
+    """One row: the sum of precision times gained recall over distinct scores, from the highest on; NaN without positives, null without rows."""
     # from the highest score on is from the lowest negative score on
     c = running_totals(score_counts(df, score, label).withColumn("s", -F.col("s")), "s", ["pos", "n"])
     precision = (F.col("_before_pos") + F.col("pos")) / (F.col("_before_n") + F.col("n"))
     steps = c.select("pos", precision.alias("precision"))
-    return steps.agg(rounded(F.sum(F.col("precision") * F.col("pos")) / F.sum("pos")).alias("average_precision"))
+    return steps.agg(rounded(quotient(F.sum(F.col("precision") * F.col("pos")), F.sum("pos"))).alias("average_precision"))
 
 
 def ece_bins(df: DataFrame, score: str, label: str, digits: int | None = 6) -> DataFrame:
