@@ -245,6 +245,17 @@ def all_ids(library, rows):
 AWKWARD = [(500, "a \n b  c\t d   e"), (501, "it's  'tis \n\n  x "), (502, "<|endoftext|> y"), (503, "　  z \x0b"), (504, " lead"), (505, "trail ")]
 
 
+def test_strings_of_a_column():
+    import pyarrow as pa
+
+    from tidewheel.llm import support
+
+    texts = ["", "a", "\u00e4 \u2581", "\U0001f600", "x" * 100, "a\x00b"]
+    column = pa.array(texts)
+    assert support.strings(column) == texts and support.strings(column.slice(2, 3)) == texts[2:5] and support.strings(column[:0]) == []
+    assert all(type(t) is str for t in support.strings(column))
+
+
 def test_token_files_round_trip(spark, library, tmp_path):
     rows = texts() + AWKWARD
     want = all_ids(library, rows)

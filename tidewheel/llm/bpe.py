@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from tidewheel.llm.memory import HEAD, Memory, cache
+from tidewheel.llm.support import strings
 
 #: Stretches that a worker remembers, and their characters and ids together.
 CACHE_STRETCHES = 400_000
@@ -90,11 +91,11 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         counts = np.asarray(lists.value_lengths()).astype(np.int64)
         distinct = lists.flatten().dictionary_encode()
-        code = memory.numbers(distinct.dictionary.to_pylist())
+        code = memory.numbers(strings(distinct.dictionary))
         codes = code[np.asarray(distinct.indices)]
         # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under a key of its own
         head = np.cumsum(counts) - counts
-        first = pc.if_else(whole, texts, lists.flatten().take(pa.array(head))).to_pylist()
+        first = strings(pc.if_else(whole, texts, lists.flatten().take(pa.array(head))))
         codes[head] = memory.numbers([HEAD + t for t in first])
         if unknown := memory.unknown():
             self._learn(unknown)

@@ -178,6 +178,11 @@ def col(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The values as Python strings, several times faster than by ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int64)

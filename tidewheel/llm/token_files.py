@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.bpe import encoder, ids_crc32
-from tidewheel.llm.support import col, documents, fresh_path, list_array, map_batches, slices
+from tidewheel.llm.support import BATCH_BYTES, col, documents, fresh_path, list_array, map_batches, slices
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 16 << 20
@@ -38,7 +38,8 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
 
     def run(batches):
         shard, at = TaskContext.get().partitionId(), 0
-        for part in slices(batches):
+        # the more texts at once, the more of their stretches are looked up together
+        for part in slices(batches, limit=BATCH_BYTES):
             ids, sizes = encoder(tokenizer, added).encode(col(part, "text"))
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
