@@ -504,6 +504,16 @@ def test_giant_text_takes_the_scan_at_defaults(spark, monkeypatch):
     assert pieces.piece_digests(table(spark, EMPTY)).count() == 0
 
 
+def test_stretches_are_taken_apart_together(monkeypatch):
+    calls, own = [], pieces.to_points
+    monkeypatch.setattr(pieces, "to_points", lambda text: calls.append(text) or own(text))
+    texts = ["alpha beta  gamma", " lead", "\u2581 mark \u00e4\U0001f600", "", "trail ", "beta \u00e4"]
+    codec = pieces.Codec()
+    ids, sizes = codec.encode(texts)
+    assert len(calls) == 1
+    assert codec.decode(ids, sizes) == [t.encode() for t in texts]
+
+
 def test_sentencepiece_query_round_trips(spark):
     got = rows_of(registry.QUERIES["op8_sentencepiece"](spark, SF))
     ids = rows_of(pieces.encode_pieces(spark.read.parquet(f"{SF}/documents.parquet")))

@@ -49,7 +49,7 @@ class Memory:
         if None in found:
             new = dict.fromkeys(compress(keys, [f is None for f in found]))
             self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-            found = map(self.codes.__getitem__, keys)
+            found = [self.codes[k] if f is None else f for k, f in zip(keys, found, strict=True)]
         return np.fromiter(found, np.int64, len(keys))
 
     def unknown(self) -> list[str]:

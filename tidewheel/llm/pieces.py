@@ -31,11 +31,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.memory import Memory, cache
-from tidewheel.llm.support import col, documents, list_array, map_batches, slices
+from tidewheel.llm.support import col, documents, list_array, map_batches, slices, strings
 from tidewheel.llm.words import mix, prefix_hash, range_hash
 
 MARK = 0x2581
@@ -155,7 +156,7 @@ def _forward(scores: np.ndarray, base: np.ndarray, length: int, best: np.ndarray
     Returns the length of the winning last piece for each lane and place (0: an entry state or unreached).
     """
     last = np.zeros((len(base), length + reach), np.int8)
-    limit = scores.shape[1]
+    limit, furthest = scores.shape[1], int(base.max())
     for t in range(1, length + reach):
         low = max(1, t - length + 1)
         sizes = np.arange(reach, low - 1, -1)
@@ -163,8 +164,11 @@ def _forward(scores: np.ndarray, base: np.ndarray, length: int, best: np.ndarray
         if not len(sizes):
             continue
         begin = base[:, None] + t - sizes[None, :]
-        value = best[:, reach + t - sizes] + scores[sizes - 1, np.minimum(begin, limit - 1)]
-        value[begin + sizes > limit] = -np.inf
+        if furthest + t <= limit:
+            value = best[:, reach + t - sizes] + scores[sizes - 1, begin]
+        else:
+            value = best[:, reach + t - sizes] + scores[sizes - 1, np.minimum(begin, limit - 1)]
+            value[begin + sizes > limit] = -np.inf
         choice = value.argmax(1)
         top = value[np.arange(len(base)), choice]
         # an entry state stands for a piece that began before the lane, so it is longer than any other
@@ -317,10 +321,10 @@ class Codec:
         return out, many
 
     def _learn(self, stretches: list[str]):
-        points = [to_points(" " + s) for s in stretches]
-        size = np.array([len(p) for p in points])
+        # each stretch with its space, one after another
+        flat = to_points(" " + " ".join(stretches))
+        size = np.fromiter(map(len, stretches), np.int64, len(stretches)) + 1
         end = np.cumsum(size)
-        flat = np.concatenate(points)
         sizes = solve_small(self.vocabulary, flat, end - size, end)
         ids, many = self._ids(flat, sizes)
         total = np.concatenate([[0], np.cumsum(many)])
@@ -398,7 +402,7 @@ def codec(path: str | None = None) -> Codec:
 def _encoded(batches, path: str | None):
     """doc_id column, ids and their count for each text, slice by slice."""
     for part in slices(batches, limit=SLICE_BYTES):
-        ids, sizes = codec(path).encode([t or "" for t in col(part, "text").to_pylist()])
+        ids, sizes = codec(path).encode(strings(pc.fill_null(col(part, "text"), "")))
         yield col(part, "doc_id"), ids, sizes
 
 
