@@ -477,6 +477,52 @@ def test_memory_forgets_what_was_used_longest_ago():
     assert "here" in small.memory.codes
 
 
+def test_a_word_is_one_stretch_whatever_follows_it():
+    from tidewheel.llm import bpe
+
+    encoder = bpe.Encoder()
+    encoder.encode(["a word word. word, word\nword word!! Étude Étude. Étude\nÉtude"])
+    assert sorted(encoder.memory.codes) == sorted(["\ud800a", "word", "\ud800.", "\ud800,", "\ud800\n", "\ud800word", "\ud800!!", "Étude", "\ud800Étude"])
+
+
+def test_stretches_of_any_characters_have_the_librarys_ids(library):
+    from tokenizers import Tokenizer
+
+    from tidewheel.llm import bpe
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = [*"abé×÷ßÿĀя日か²1'’.…_-Ã", "e\u0301", "the", "The", "'s", "'re", "***", "\r\n", "\n\n", "<|endoftext|>", "<|end", "oftext|>", "\U0001f600", *"\n\n\t\x00\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff", *[" "] * 14, "   "]
+    rng = np.random.default_rng(5)
+    texts = [None, "", *("".join(rng.choice(signs, n)) for n in rng.integers(1, 40, 3000))]
+    for added, own in ((True, plain), (False, library)):
+        want = [[*e.ids, 0] for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        encoder = bpe.Encoder(added=added)
+        encoder.memory.stretches = 500
+        for a, b in ((0, 1), (0, 3), (3, 50), (50, len(texts)), (0, 50)):
+            ids, sizes = encoder.encode(texts[a:b])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[a:b]
+
+
+def test_other_split_patterns_are_cut_at_spaces_alone(library, tmp_path):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    from tidewheel.llm import bpe
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    split = pre_tokenizers.Split(Regex(r"\s?\S+|\s+(?!\S)|\s+"), "isolated")
+    other.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(f"{tmp_path}/other.json")
+    text = "the.The word,word word.\nWord x"
+    ids, _ = bpe.Encoder(f"{tmp_path}/other.json").encode([text, "", text])
+    want = [*other.encode(text, add_special_tokens=False).ids, 0]
+    assert ids.tolist() == [*want, 0, *want]
+
+
+def test_token_query_joins_rows_with_offsets_once(spark):
+    plan = registry.QUERIES["op5_token_files"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "strategy=broadcast" in plan
+
+
 def test_codec_forgets_and_escapes():
     small, whole = pieces.Codec(), pieces.Codec()
     small.memory.stretches = 30

@@ -3,26 +3,30 @@
 A byte-level BPE vocabulary never merges across the pieces of its split
 pattern, and that pattern ends a piece before each space that is not followed
 by more white space. So the ids of a text are the ids of its stretches between
-spaces, in order. Each worker keeps the ids of up to ``CACHE_STRETCHES`` of them,
-those used last, and lets the library encode only others, many of them joined to
-one text; the bytes of the ids tell where each ends. Literals of added tokens in
-a text are ordinary text, or, with ``added``, get their own id as the library
-does by default; such texts are encoded whole.
+spaces, in order. The pattern of the ``ByteLevel`` pre-tokenizer also ends a
+piece where a run of letters ends, and after a newline that stands between two
+characters that are no white space; with it stretches end there too, so a word
+is one stretch whatever follows it. Each worker keeps the ids of up to
+``CACHE_STRETCHES`` of them, those used last, and lets the library encode only
+others, many of them joined to one text; the bytes of the ids tell where each
+ends. Literals of added tokens in a text are ordinary text, or, with ``added``,
+get their own id as the library does by default; such texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidewheel.llm.memory import HEAD, Memory, cache
-from tidewheel.llm.support import strings
+from tidewheel.llm.memory import ColumnMemory, cache
+from tidewheel.llm.support import strings, text_buffers
 
 #: Stretches that a worker remembers, and their characters and ids together.
 CACHE_STRETCHES = 400_000
@@ -32,8 +36,14 @@ JOINED = 500
 END = 0
 #: A space inside a run of white space that goes on behind it: a cut there could change the pieces.
 _SPACE = r"[\s\v\x{85}\p{Z}\x{1c}-\x{1f}]"
-#: First characters of stretches that are encoded on their own: white space, none, or a key's mark.
-_ODD = frozenset(["", HEAD, *(chr(i) for i in range(0x3001) if chr(i).isspace())])
+_ASCII = np.arange(256) < 0x80
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+#: Bytes after a space with which a stretch can be joined to others: they begin no white space.
+_JOINS = ~_WHITE & ~np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: What a byte is: a letter, another ASCII character, an ASCII character that is no white space.
+IS_LETTER, IS_OTHER, IS_SOLID = 1, 2, 4
+_KINDS = (IS_LETTER * _LETTER + IS_OTHER * (_ASCII & ~_LETTER) + IS_SOLID * (_ASCII & ~_WHITE)).astype(np.uint8).tobytes()
 _UNSAFE = rf"{_SPACE} ({_SPACE}|\z)"
 
 
@@ -54,31 +64,53 @@ class Encoder:
             raise ValueError("an added token has a space")
         #: texts that are encoded whole: cuts at their spaces could change the ids, or they hold an added token
         self.whole = "|".join([_UNSAFE, *map(re.escape, literals)])
-        self.memory = Memory(CACHE_STRETCHES, CACHE_SIGNS)
-
-    def _learn(self, stretches: list):
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        #: whether the split pattern is known to end pieces where runs of letters end
+        self.fine = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        self.memory = ColumnMemory(CACHE_STRETCHES, CACHE_SIGNS)
+
+    def _stretches(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """Stretches of all texts one after another, and where those of each text end. They make up the texts; a space begins one."""
+        data, offsets = text_buffers(texts)
+        cut = data == 0x20
+        if self.fine and len(data):
+            kind = np.frombuffer(bytearray(data.tobytes().translate(_KINDS)), np.uint8)
+            # U+00C0 to U+00FF are letters but for two
+            at = np.flatnonzero(data == 0xC3) + 1
+            kind[at[(data[at] != 0x97) & (data[at] != 0xB7)]] = IS_LETTER | IS_SOLID
+            cut[1:] |= (kind[:-1] & (kind[1:] >> 1) & 1).view(bool)
+            # nothing is cut after the newline if what is around it could be white space
+            at = np.flatnonzero(data[1:-1] == 0x0A) + 1
+            at = at[(kind[at - 1] & IS_SOLID > 0) & ((kind[at + 1] & IS_SOLID > 0) | (data[at + 1] == 0xC3))] + 1
+            cut[at] = True
+        for i in np.flatnonzero(np.asarray(pc.match_substring_regex(texts, self.whole))):
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)), np.searchsorted(starts, offsets[1:])
+
+    def _learn(self, stretches: pa.StringArray):
         """Encode stretches and give their ids to the memory, in order of their numbers.
 
-        Those that begin with white space, or have no space before them, are
-        encoded on their own: joined to others they could be cut differently.
+        Those that begin with white space behind their space, or have no space before
+        them, are encoded on their own: joined to others they could be cut differently.
         """
-        alone = [i for i, k in enumerate(stretches) if k[:1] in _ODD]
-        odd = np.zeros(len(stretches), bool)
-        odd[alone] = True
-        words = list(compress(stretches, (~odd).tolist()))
-        lone = [stretches[i][1:] if stretches[i][:1] == HEAD else " " + stretches[i] for i in alone]
-        texts = [" " + " ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)] + lone
+        data, offsets = text_buffers(stretches)
+        size = np.diff(offsets)
+        second = np.minimum(offsets[:-1] + 1, len(data) - 1)
+        joins = (size > 1) & (data[offsets[:-1]] == 0x20) & _JOINS[data[second]]
+        words, lone = stretches.filter(pa.array(joins)), strings(stretches.filter(pa.array(~joins)))
+        row, at = text_buffers(words)
+        row, at = row.tobytes(), at[[*range(0, len(words), JOINED), len(words)]].tolist()
+        texts = [row[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)] + lone
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, sum(map(len, encoded)))
-        # bytes of each stretch with its space, and of the lone ones
-        size = np.concatenate([pc.binary_length(pa.array(part, pa.string())).to_numpy() + more for part, more in ((words, 1), (lone, 0))]).astype(np.int64)
-        bound = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size), "left") + 1
-        bound[size == 0] = 0
-        bound = np.maximum.accumulate(bound)
-        lengths = np.diff(bound, prepend=0)
-        order = np.empty(len(stretches), np.int64)
-        order[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(stretches))
-        bound, lengths = bound[order], lengths[order]
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        found = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum(size[order]), "left") + 1
+        bound, lengths = np.empty_like(found), np.empty_like(found)
+        bound[order], lengths[order] = found, np.diff(found, prepend=0)
         self.memory.learn(stretches, flat, bound, lengths)
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +119,15 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         memory = self.memory
-        whole = pc.match_substring_regex(texts, self.whole)
-        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
-        counts = np.asarray(lists.value_lengths()).astype(np.int64)
-        distinct = lists.flatten().dictionary_encode()
-        code = memory.numbers(strings(distinct.dictionary))
-        codes = code[np.asarray(distinct.indices)]
-        # a text's first stretch, or all of it where cuts are unsafe, has no space before it and is kept under a key of its own
-        head = np.cumsum(counts) - counts
-        first = strings(pc.if_else(whole, texts, lists.flatten().take(pa.array(head))))
-        codes[head] = memory.numbers([HEAD + t for t in first])
-        if unknown := memory.unknown():
+        stretches, last = self._stretches(texts)
+        distinct = stretches.dictionary_encode()
+        code = memory.numbers(distinct.dictionary)
+        if len(unknown := memory.unknown()):
             self._learn(unknown)
-        flat, ends = memory.ids_of(codes)
-        text_end = np.concatenate([[0], ends])[np.cumsum(counts)]
-        sizes = np.diff(np.concatenate([[0], text_end])) + 1
+        memory.touch(code)
+        flat, ends = memory.gather(code[np.asarray(distinct.indices)])
+        text_end = np.concatenate([[0], ends])[last]
+        sizes = np.diff(text_end, prepend=0) + 1
         out = np.insert(flat, text_end, END)
         memory.trim()
         return out, sizes

@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import compress, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A key that begins with this lone surrogate, which no valid text has, stands for a text's beginning.
 HEAD = "\ud800"
@@ -36,13 +38,16 @@ class Memory:
 
     def __init__(self, stretches: int, signs: int):
         self.stretches, self.signs = stretches, signs
-        self.codes: dict[str, int] = {}
+        self._clear()
         self.ids = np.zeros(1 << 16, np.int32)
         # for each stretch: where its ids are, how many, its characters and ids, the last call that met it and how many did
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths, self.size, self.last, self.met = (np.zeros(1 << 14, np.int32) for _ in range(4))
         self.known = self.used = self.held = self.calls = 0
 
+    def _clear(self):
+        self.codes: dict[str, int] = {}
+
     def numbers(self, keys: list[str]) -> np.ndarray:
         """The number of each key; new ones get the next numbers, in order."""
         found = list(map(self.codes.get, keys))
@@ -56,7 +61,7 @@ class Memory:
         """Keys that have a number but no ids yet."""
         return list(islice(self.codes, self.known, None)) if len(self.codes) > self.known else []
 
-    def learn(self, keys: list[str], ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
+    def learn(self, keys, ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray):
         """Ids of the next keys without: those of key ``i`` end at ``ends[i]`` of ``ids``."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -65,7 +70,7 @@ class Memory:
         at = slice(self.known, self.known + len(keys))
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[at], self.lengths[at] = self.used + ends - lengths, lengths
-        self.size[at] = lengths + np.fromiter(map(len, keys), np.int64, len(keys))
+        self.size[at] = lengths + self._signs(keys)
         self.last[at], self.met[at] = -1, 0
         self.used += len(ids)
         self.known += len(keys)
@@ -73,15 +78,33 @@ class Memory:
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the keys with these numbers one after another, and the end of each key's."""
+        self.touch(codes)
+        return self.gather(codes)
+
+    def touch(self, codes: np.ndarray):
+        """This call met the keys with these numbers."""
         self.met[codes[self.last[codes] != self.calls]] += 1  # once for each key
         self.last[codes] = self.calls
-        return self._gather(codes)
 
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.lengths[codes].astype(np.int64)
-        ends = np.cumsum(lengths)
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`ids_of`, without a note of the call."""
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(total)], ends
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        at = np.repeat((self.starts[codes] - (ends - lengths)).astype(kind), lengths)
+        at += np.arange(total, dtype=kind)
+        return self.ids[at], ends
+
+    @staticmethod
+    def _signs(keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(len, keys), np.int64, len(keys))
+
+    def _keep(self, stays: np.ndarray):
+        """Forget the other keys; returns those that stay."""
+        keys = list(compress(self.codes, stays.tolist()))
+        self.codes = dict(zip(keys, range(len(keys)), strict=True))
+        return keys
 
     def trim(self):
         """Ends a call: forget half if the memory is full."""
@@ -94,11 +117,43 @@ class Memory:
         stays = np.zeros(self.known, bool)
         stays[order[: min(most, self.stretches // 2)]] = True
         kept = np.flatnonzero(stays)
-        ids, ends = self._gather(kept)
+        ids, ends = self.gather(kept)
         lengths, last, met = self.lengths[kept], self.last[kept], self.met[kept]
-        keys = list(compress(self.codes, stays.tolist()))
-        self.codes = dict(zip(keys, range(len(keys)), strict=True))
+        keys = self._keep(stays)
         self.known = self.used = self.held = 0
         self.ids = np.zeros(max(1 << 16, len(ids)), np.int32)
         self.learn(keys, ids, ends, lengths)
         self.last[: len(keys)], self.met[: len(keys)] = last, met
+
+
+class ColumnMemory(Memory):
+    """A memory whose keys are a string column, looked up a column at once; bytes count as characters.
+
+    Keys are stretches as they stand in texts, with the space before them if there is one.
+    """
+
+    def _clear(self):
+        self.keys = pa.array([], pa.string())
+
+    @property
+    def codes(self) -> dict[str, int]:
+        """The numbers of the keys; those with a space before them without it, others behind ``HEAD``."""
+        return {k[1:] if k[:1] == " " else HEAD + k: i for i, k in enumerate(self.keys.to_pylist())}
+
+    def numbers(self, keys: pa.StringArray) -> np.ndarray:
+        known = len(self.keys)
+        # the first occurrence of a value gives it its number
+        coded = pa.concat_arrays([self.keys, keys]).dictionary_encode()
+        self.keys = coded.dictionary
+        return np.asarray(coded.indices)[known:]
+
+    def unknown(self) -> pa.StringArray:
+        return self.keys.slice(self.known)
+
+    @staticmethod
+    def _signs(keys: pa.StringArray) -> np.ndarray:
+        return np.asarray(pc.binary_length(keys))
+
+    def _keep(self, stays: np.ndarray) -> pa.StringArray:
+        self.keys = self.keys.filter(pa.array(stays))
+        return self.keys

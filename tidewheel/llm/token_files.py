@@ -55,14 +55,17 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", key: str =
     writer.parquet(path)
 
 
+def shard_offsets(spark, path: str) -> DataFrame:
+    """shard and before (ids of all shards before it), without reading ids; a row for each partition that wrote."""
+    totals = spark.read.schema(SCHEMA).parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.select("shard", before.alias("before"))
+
+
 def read_metadata(spark, path: str) -> DataFrame:
     """doc_id, n_tokens and start (ids of all documents before it), without reading ids."""
     meta = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "shard", "shard_start", "n_tokens")
-    # one row a shard; there are as many shards as partitions that wrote them
-    totals = meta.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
-    before = F.coalesce(F.sum("held").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("shard", before.alias("before"))
-    return meta.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "shard", "shard_start")
+    return meta.join(F.broadcast(shard_offsets(spark, path)), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "shard", "shard_start")
 
 
 def read_tokens(spark, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -92,5 +95,4 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, added=True)
     read = token_digests(read_tokens(spark, path))
-    totals = read_metadata(spark, path).groupBy("shard").agg(F.min(F.col("start") - F.col("shard_start")).alias("before"))
-    return read.join(totals, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(F.broadcast(shard_offsets(spark, path)), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
